@@ -17,6 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Bytes of text that one bucket holds on average, at most.
 BUCKET_BYTES = 32 << 20
 #: Ids that are null sort after every other id.
@@ -24,6 +26,7 @@ NULL_ID = np.iinfo(np.int64).max
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
