@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, top_k
+from . import decontaminate, language, mixing, quality, top_k
 from .blocks import read
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -39,6 +39,13 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    ensemble = quality.train(docs, labels.where(fold(5) != 0))
+    scored = quality.scored(docs, ensemble, keep=["doc_id"]).withColumn("doc_id", F.col("row.doc_id"))
+    return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     n_hit = decontaminate.hits(F.col("spans"))
@@ -52,6 +59,82 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Parts of each domain, language and source; nodes that are not named have 1.
+MIX = {("web",): 5, ("books",): 3, ("code",): 2} | {(d, x): w for d in ("web", "books", "code") for x, w in (("en", 6), ("de", 2), ("fr", 2), ("es", 1))}
+#: Documents carry no domain; their source's number tells it here.
+DOMAIN = "case when source is null then null when cast(substring(source, 4, 9) as int) < 10 then 'web' when cast(substring(source, 4, 9) as int) < 15 then 'books' else 'code' end"
+#: The mixture has half as many tokens as there are.
+MIX_PARTS = (1, 2)
+MIX_SEED, MIX_EPOCHS = 17, 3
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    path = {"domain": F.expr(DOMAIN.replace("cast(", "try_cast(")), "lang": F.col("lang"), "source": F.col("source")}
+    total = F.expr(f"supply * {MIX_PARTS[0]} div {MIX_PARTS[1]}")
+    return mixing.mix(docs, path, MIX, total, mixing.word_count(F.col("text")), seed=MIX_SEED, epochs=MIX_EPOCHS)
+
+
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixed(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return rows.select(F.col("row.doc_id").alias("doc_id"), "domain", "lang", "source", "n_tokens", "epoch", "taken")
+
+
+def _divide_sql(given: str, parent: list[str], own: str, depth: int) -> str:
+    """The children of one level: what each is given of its family's budget."""
+    family = f"PARTITION BY {', '.join(parent)}" if parent else ""
+    node = "[" + ", ".join([*parent, own]) + "]"
+    keys = ", ".join([*parent, own])
+    return f"""
+n{depth} AS (
+  SELECT {keys}, sum(supply) * {MIX_EPOCHS} AS capacity FROM leaves GROUP BY {keys}
+), w{depth} AS (
+  SELECT n{depth}.*, g.budget, coalesce(w.weight, 1)::HUGEINT AS weight FROM n{depth} JOIN {given} g {"USING (" + ", ".join(parent) + ")" if parent else "ON true"}
+  LEFT JOIN weights w ON w.node = {node}
+), a{depth} AS (
+  SELECT *, coalesce(sum(capacity) OVER (l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
+    sum(weight) OVER (l ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS above
+  FROM w{depth} WINDOW l AS ({family} ORDER BY capacity::DOUBLE / weight::DOUBLE, {own})
+), b{depth} AS (
+  SELECT *, capacity * above <= (budget - below) * weight AS filled FROM a{depth}
+), c{depth} AS (
+  SELECT *, budget - coalesce(sum(CASE WHEN filled THEN capacity END) OVER f, 0) AS rest, sum(CASE WHEN NOT filled THEN weight END) OVER f AS open
+  FROM b{depth} WINDOW f AS ({family})
+), d{depth} AS (
+  SELECT *, CASE WHEN filled THEN capacity ELSE rest * weight // open END AS part FROM c{depth}
+), e{depth} AS (
+  SELECT *, budget - sum(part) OVER ({family}) AS odd, row_number() OVER ({family} ORDER BY filled, {own}) AS nth FROM d{depth}
+), g{depth} AS (
+  SELECT {keys}, part + CASE WHEN NOT filled AND nth <= odd THEN 1 ELSE 0 END AS budget FROM e{depth}
+)"""
+
+
+OP4_PATH = ["domain", "lang", "source"]
+OP4_SQL = f"""
+WITH weights AS (
+  SELECT * FROM (VALUES {", ".join(f"([{', '.join(repr(x) for x in k)}], {w})" for k, w in MIX.items())}) AS t(node, weight)
+), base AS (
+  SELECT doc_id, coalesce({DOMAIN.replace("cast(", "try_cast(")}, '(none)') AS domain, coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
+    len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS n_tokens
+  FROM documents
+), docs AS (SELECT * FROM base WHERE n_tokens > 0
+), leaves AS (
+  SELECT domain, lang, source, sum(n_tokens)::HUGEINT AS supply FROM docs GROUP BY ALL
+), g0 AS (
+  SELECT least(coalesce(sum(supply), 0) * {MIX_PARTS[0]} // {MIX_PARTS[1]}, coalesce(sum(supply), 0) * {MIX_EPOCHS}) AS budget FROM leaves
+), {",".join(_divide_sql(f"g{i}", OP4_PATH[:i], x, i + 1) for i, x in enumerate(OP4_PATH))}
+, plan AS (
+  SELECT domain, lang, source, budget // supply AS whole, budget % supply AS rest FROM leaves JOIN g3 USING (domain, lang, source)
+), keyed AS (
+  SELECT docs.*, whole, rest, md5('{MIX_SEED}:' || (whole + 1) || ':' || coalesce(doc_id::VARCHAR, '')) AS key FROM docs JOIN plan USING (domain, lang, source)
+), placed AS (
+  SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key, n_tokens ROWS UNBOUNDED PRECEDING) - n_tokens AS start FROM keyed
+)
+SELECT doc_id, domain, lang, source, n_tokens, unnest(range(1, whole::BIGINT + 1))::INTEGER AS epoch, n_tokens AS taken FROM placed WHERE whole > 0
+UNION ALL
+SELECT doc_id, domain, lang, source, n_tokens, (whole + 1)::INTEGER, least(n_tokens, rest - start)::BIGINT FROM placed WHERE start < rest
+"""
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read(spark, sf_dir, "documents"), digests=True)
 
@@ -68,8 +151,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_top_k, op3_decontaminate, op5_substring_dedup, op7_suffix_dedup, op10_language)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_quality, op3_decontaminate, op4_mix_sources, op5_substring_dedup, op7_suffix_dedup, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_top_k": OP1_SQL}
+    return {"op1_exact_top_k": OP1_SQL, "op4_mix_sources": OP4_SQL}
