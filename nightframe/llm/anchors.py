@@ -185,7 +185,7 @@ def shared_anchors(most: int):
         return pa.table(
             {
                 "bucket": pa.array([buckets[of[a]] for a in begin], pa.int32()),
-                "data": pa.array([h[a:b].tobytes() for a, b in zip(begin, ends, strict=True)], pa.binary()),
+                "data": pa.array([pack(h=h[a:b]) for a, b in zip(begin, ends, strict=True)], pa.binary()),
             }
         )
 
@@ -196,7 +196,7 @@ class Shared:
     """Looks anchors up among those that shared_anchors sent to a bucket."""
 
     def __init__(self, table: pa.Table):
-        got = [np.frombuffer(x, U64) for x in table["data"].to_pylist()]
+        got = [unpack(x)["h"] for x in table["data"].to_pylist()]
         self.h = np.sort(np.concatenate(got)) if got else np.zeros(0, U64)
 
     def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

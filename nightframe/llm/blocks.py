@@ -9,11 +9,13 @@ the corpus sends one message a bucket, not one a document.
 from __future__ import annotations
 
 import pickle
+import tempfile
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,23 +23,48 @@ from ..session import ship
 
 #: Bytes of text that one bucket holds on average, at most.
 BUCKET_BYTES = 32 << 20
+#: Rows of a table of ids or words that may be broadcast.
+BROADCAST_ROWS = 1_000_000
 #: Ids that are null sort after every other id.
 NULL_ID = np.iinfo(np.int64).max
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship(spark)
+    ensure_checkpoint_dir(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """The folder of spark.checkpoint.dir. Where that is unset, a local session gets one of its
+    own, as in tests; a cluster needs a folder that all its machines share."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and context.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast if it has been counted to be small; else Spark joins it by a shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def bucket_count(docs: DataFrame, text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> int:
-    """Buckets for all of docs: three a shuffle partition, or more if they would be too large."""
+    """Buckets for all of docs: two a shuffle partition, or more if they would be too large."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(3 * shuffle_partitions(docs.sparkSession), -(-int(total) // bucket_bytes))
+    return max(2 * shuffle_partitions(docs.sparkSession), -(-int(total) // bucket_bytes))
+
+
+def part_count(buckets: int) -> int:
+    """Parts that own the hashes which buckets send: fewer than buckets, as each pair of a
+    bucket and a part is a message."""
+    return -(-buckets // 2)
 
 
 def bucketed(docs: DataFrame, n: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -49,11 +76,11 @@ def bucketed(docs: DataFrame, n: int, doc_id: str = "doc_id", text: str = "text"
 
 
 def pack(**arrays) -> bytes:
-    return pickle.dumps(arrays, protocol=5)
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
 
 
 def unpack(data: bytes) -> dict:
-    return pickle.loads(data)
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
 
 
 class Bucket:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import anchors as an
-from .blocks import Bucket, bucket_count, bucketed, unpack
+from .blocks import Bucket, bucket_count, bucketed, part_count
 
 LENGTH, GRAM = 50, 22
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -142,7 +142,8 @@ def _sender(parts: int, k: int, length: int):
             for part, i in an.by_part(number, an.part_of(h[own], parts)):
                 i = own[i]
                 lcp, tails = front_code(m[i, : length + w - 1])
-                out.add(part, kind=0, lcp=lcp, tails=tails, right_n=right_n[i].astype(np.uint8), left_n=left_n[i].astype(np.uint8), doc=doc[i], row=row[i].astype(np.int32), at=at[i])
+                rows, of = np.unique(row[i], return_inverse=True)
+                out.add(part, kind=0, lcp=lcp, tails=tails, right_n=right_n[i].astype(np.uint8), left_n=left_n[i].astype(np.uint8), rows=rows.astype(np.int32), docs=bucket.ids[rows], of=of.astype(np.min_scalar_type(len(rows))), at=at[i].astype(np.min_scalar_type(int(at[i].max()))))
         return out.table()
 
     return send
@@ -167,7 +168,8 @@ def _finder(k: int, length: int):
             order = np.argsort(run, kind="stable")  # a run's rows come out in its own order
             take = np.empty(len(run), np.int64)
             take[order] = np.arange(len(run))
-            right_n, left_n, doc, row, at = (np.concatenate([x[n] for x in runs])[take].astype(np.int64) for n in ("right_n", "left_n", "doc", "row", "at"))
+            right_n, left_n, at = (np.concatenate([x[n].astype(np.int64) for x in runs])[take] for n in ("right_n", "left_n", "at"))
+            doc, row = (np.concatenate([x[n][x["of"]] for x in runs])[take].astype(np.int64) for n in ("docs", "rows"))
             hit = an.resolve(text, lcp, right_n, left_n, doc, k, length)
             i, lo, hi = an.spans_of_windows(hit, at, length)
             bucket = np.array([b for b, _ in inbox.texts])[run]
@@ -210,4 +212,5 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_id
     n = bucket_count(docs, text)
     rows = bucketed(docs, n, doc_id, text)
     finish, schema = (_finish, SCHEMA) if digests else (_keep_text, "doc_id long, kept binary, removed array<struct<start:long,end:long>>")
-    return an.anchored(rows, n, lambda b: b.bytes_and_offsets(), _sender(n, gram, length), _finder(gram, length), finish, schema, gram, length, crowded)
+    parts = part_count(n)
+    return an.anchored(rows, parts, lambda b: b.bytes_and_offsets(), _sender(parts, gram, length), _finder(gram, length), finish, schema, gram, length, crowded)
