@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, quality, top_k
+from . import decontaminate, language, mixing, quality, sanitise, token_counts, top_k
 from .blocks import read
+from .jaccard import jaccard_groups
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 
@@ -139,10 +140,30 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read(spark, sf_dir, "documents"), digests=True)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(read(spark, sf_dir, "documents"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(read(spark, sf_dir, "documents"), digests=True)
 
 
+def op8_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sanitise.sanitise(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        *[F.size(k).cast("long").alias(f"n_{k}") for k in sanitise.KINDS],
+        F.sha2(sanitise.spell(sanitise.KINDS), 256).alias("base_sha256"),
+        sanitise.spell((*sanitise.KINDS, "term")).alias("spans"),
+    )
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    counts = token_counts.token_counts(docs, token_counts.head_body_tail(F.col("text")), keep=["doc_id"])
+    return counts.select(F.col("row.doc_id").alias("doc_id"), "section", "n_chars", F.col("n_tokens").cast("long").alias("n_tokens"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held_out = fold(3) == 1
@@ -150,8 +171,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_quality, op3_decontaminate, op4_mix_sources, op5_substring_dedup, op7_suffix_dedup, op10_language)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_quality, op3_decontaminate, op4_mix_sources, op5_substring_dedup, op6_jaccard_join, op7_suffix_dedup, op8_sanitise, op9_token_counts, op10_language, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
