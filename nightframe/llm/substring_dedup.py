@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import anchors as an
-from .blocks import Bucket, bucket_count, bucketed, hashes_of, space_words
+from .blocks import Bucket, bucket_count, bucketed, hashes_of, part_count, space_words
 
 LENGTH, GRAM = 13, 7
 #: Words are Python objects here, so buckets are smaller than elsewhere.
@@ -174,4 +174,5 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc
     n = bucket_count(docs, text, BUCKET_BYTES)
     rows = bucketed(docs, n, doc_id, text)
     finish, schema = (_finish, SCHEMA) if digests else (_keep_text, "doc_id long, kept string, removed array<struct<start:long,end:long>>")
-    return an.anchored(rows, n, _values, _sender(n, gram, length), _finder(gram, length), finish, schema, gram, length, crowded)
+    parts = part_count(n)
+    return an.anchored(rows, parts, _values, _sender(parts, gram, length), _finder(gram, length), finish, schema, gram, length, crowded)
