@@ -37,6 +37,19 @@ _POW: dict[str, np.ndarray] = {}
 BYTES = np.random.default_rng(7).integers(1, 1 << 63, 256, U64)
 
 
+#: Hashes that are sent have 48 bits. Sorted, their upper 16 compress to almost nothing, and
+#: chance meetings, which cost time but change no result, stay rare up to 1e14 hashes.
+LOW48 = U64((1 << 48) - 1)
+
+
+def split48(h: np.ndarray) -> dict[str, np.ndarray]:
+    return {"hi": (h >> U64(32)).astype(np.uint16), "lo": (h & U64(0xFFFFFFFF)).astype(np.uint32)}
+
+
+def join48(x: dict) -> np.ndarray:
+    return (x["hi"].astype(U64) << U64(32)) | x["lo"].astype(U64)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POW.get("r", ())) < n:
         size = max(n, SLICE + 4096)
@@ -103,7 +116,7 @@ class Anchors:
         if v.dtype == np.uint8:
             v = BYTES[v]
         w = length - k + 1
-        h = kgrams(v, k)
+        h = kgrams(v, k) & LOW48
         low = sliding(np.minimum, h, w)
         last = (self.ends[:-1, None] - np.arange(1, length)[None, :]).ravel()
         low[last] = 0  # windows that begin there would reach into the next piece
@@ -153,13 +166,13 @@ def _dealt(bucket: int, h: np.ndarray, parts: int, **more: np.ndarray) -> pa.Tab
         {
             "part": pa.array([part[r[0]] for r in rows], pa.int32()),
             "bucket": pa.array([bucket] * len(rows), pa.int32()),
-            "data": pa.array([pack(h=h[r], **{k: v[r] for k, v in more.items()}) for r in rows], pa.binary()),
+            "data": pa.array([pack(**split48(h[r]), **{k: v[r] for k, v in more.items()}) for r in rows], pa.binary()),
         }
     )
 
 
 def part_of(h: np.ndarray, parts: int) -> np.ndarray:
-    return ((h >> U64(33)) % U64(parts)).astype(np.int32)
+    return (((h * U64(0xD6E8FEB86659FD93)) >> U64(33)) % U64(parts)).astype(np.int32)
 
 
 def shared_anchors(most: int):
@@ -169,9 +182,9 @@ def shared_anchors(most: int):
     def share(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         buckets = table["bucket"].to_numpy()
         sent = [unpack(x) for x in table["data"].to_pylist()]
-        h = np.concatenate([x["h"] for x in sent])
+        h = np.concatenate(list(map(join48, sent)))
         n = np.concatenate([x["n"] for x in sent]).astype(np.int64)
-        of = np.repeat(np.arange(len(sent)), [len(x["h"]) for x in sent])
+        of = np.repeat(np.arange(len(sent)), [len(x["lo"]) for x in sent])
         order = np.argsort(h, kind="stable")
         begin, run = grouped(h[order])
         total = np.add.reduceat(n[order], begin)[run]
@@ -185,7 +198,7 @@ def shared_anchors(most: int):
         return pa.table(
             {
                 "bucket": pa.array([buckets[of[a]] for a in begin], pa.int32()),
-                "data": pa.array([pack(h=h[a:b]) for a, b in zip(begin, ends, strict=True)], pa.binary()),
+                "data": pa.array([pack(**split48(h[a:b])) for a, b in zip(begin, ends, strict=True)], pa.binary()),
             }
         )
 
@@ -196,7 +209,7 @@ class Shared:
     """Looks anchors up among those that shared_anchors sent to a bucket."""
 
     def __init__(self, table: pa.Table):
-        got = [unpack(x)["h"] for x in table["data"].to_pylist()]
+        got = [join48(unpack(x)) for x in table["data"].to_pylist()]
         self.h = np.sort(np.concatenate(got)) if got else np.zeros(0, U64)
 
     def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

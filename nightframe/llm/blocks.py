@@ -46,6 +46,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df.checkpoint(), after which the shuffle files that made it are deleted: nothing reads
+    them again, as the lineage is cut and the rows are in the shared folder."""
+    spark = df.sparkSession
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        return df.checkpoint()
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, to be broadcast if it has been counted to be small; else Spark joins it by a shuffle."""
     return F.broadcast(df) if df.count() <= rows else df

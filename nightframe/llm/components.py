@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import ensure_checkpoint_dir
+from .blocks import checkpointed, ensure_checkpoint_dir
 
 EDGES = "a long, b long"
 
@@ -70,10 +70,10 @@ def components(edges: DataFrame) -> DataFrame:
     node that is greater than its component's least."""
     ensure_checkpoint_dir(edges.sparkSession)
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") != F.col("b"))
-    edges = edges.repartition("b").mapInArrow(_contract, EDGES).distinct().checkpoint()
+    edges = checkpointed(edges.repartition("b").mapInArrow(_contract, EDGES).distinct())
     state = None
     while True:
-        edges = _star(_star(edges, True), False).checkpoint()
+        edges = checkpointed(_star(_star(edges, True), False))
         new = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if new == state:
             break

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors as an
-from .blocks import LOWER, NULL_ID, Bucket, bucket_count, bucketed, ensure_checkpoint_dir, grouped, hashes_of, pack, part_count, space_words, unpack
+from .blocks import LOWER, NULL_ID, Bucket, bucket_count, bucketed, checkpointed, ensure_checkpoint_dir, grouped, hashes_of, pack, part_count, space_words, unpack
 from .components import Union, components
 
 SHINGLE, PART, WHOLE = 5, 75, 100
@@ -105,7 +105,7 @@ def _counted(bucket: int, h: np.ndarray, parts: int) -> pa.Table:
     """Messages of a bucket: its distinct tokens, and how many of its sets have each."""
     if not len(h):
         return an.spans_table([], [], [])
-    h = np.sort(h)
+    h = np.sort(h & an.LOW48)
     begin, _ = grouped(h)
     n = np.diff(np.r_[begin, len(h)])
     return an._dealt(bucket, h[begin], parts, n=np.minimum(n, 255).astype(np.uint8))
@@ -121,7 +121,7 @@ def _first(parts: int, shingle: int, part: int, whole: int):
 
 def _remaining(s: Sets, shared: an.Shared, part: int, whole: int) -> list[int]:
     """Sets with a prefix token, under A, that another set has; copies of a set in other buckets count."""
-    return [i for i, x in enumerate(s.sets) if shared(x[: prefix(len(x), part, whole)])[0].any()]
+    return [i for i, x in enumerate(s.sets) if shared(x[: prefix(len(x), part, whole)] & an.LOW48)[0].any()]
 
 
 def _second(parts: int, shingle: int, part: int, whole: int):
@@ -138,9 +138,9 @@ def _frequencies(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """To each bucket, its tokens that two sets have, with the bits of their number."""
     buckets = table["bucket"].to_numpy()
     sent = [unpack(x) for x in table["data"].to_pylist()]
-    h = np.concatenate([x["h"] for x in sent])
+    h = np.concatenate(list(map(an.join48, sent)))
     n = np.concatenate([x["n"] for x in sent]).astype(np.int64)
-    of = np.repeat(np.arange(len(sent)), [len(x["h"]) for x in sent])
+    of = np.repeat(np.arange(len(sent)), [len(x["lo"]) for x in sent])
     order = np.argsort(h, kind="stable")
     begin, run = grouped(h[order])
     total = np.add.reduceat(n[order], begin)[run]
@@ -151,7 +151,7 @@ def _frequencies(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     begin, _ = grouped(of[order])
     ends = [*begin[1:], len(order)]
     bits = np.minimum(np.log2(total) * 8, 255).astype(np.uint8)
-    return pa.table({"bucket": pa.array([buckets[of[order[a]]] for a in begin], pa.int32()), "data": pa.array([pack(h=h[order[a:b]], n=bits[a:b]) for a, b in zip(begin, ends, strict=True)], pa.binary())})
+    return pa.table({"bucket": pa.array([buckets[of[order[a]]] for a in begin], pa.int32()), "data": pa.array([pack(**an.split48(h[order[a:b]]), n=bits[a:b]) for a, b in zip(begin, ends, strict=True)], pa.binary())})
 
 
 #: One row for each document (kind 0: doc_id, n, set's fingerprint if it has candidates), set
@@ -166,7 +166,7 @@ def _third(parts: int, shingle: int, part: int, whole: int):
         bucket = Bucket(docs)
         s = Sets(bucket, shingle)
         got = [unpack(x) for x in told["data"].to_pylist()]
-        h = np.concatenate([x["h"] for x in got]) if got else np.zeros(0, U64)
+        h = np.concatenate(list(map(an.join48, got))) if got else np.zeros(0, U64)
         f = np.concatenate([x["n"] for x in got]) if got else np.zeros(0, np.uint8)
         order = np.argsort(h)
         h, f = h[order], f[order]
@@ -175,8 +175,9 @@ def _third(parts: int, shingle: int, part: int, whole: int):
             if not len(h):
                 break
             n = len(x)
-            at = np.minimum(np.searchsorted(h, x), len(h) - 1)
-            freq = np.where(h[at] == x, f[at], 0)
+            low = x & an.LOW48
+            at = np.minimum(np.searchsorted(h, low), len(h) - 1)
+            freq = np.where(h[at] == low, f[at], 0)
             shared = np.flatnonzero(freq > 0)
             shared = shared[np.argsort(freq[shared], kind="stable")]  # x is in the order of the hash
             place = np.arange(n - len(shared), n)  # tokens of this set alone come first
@@ -265,7 +266,7 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, part: int = PART, wh
     shared = first.groupBy("part").applyInArrow(an.shared_anchors(1 << 30), "bucket int, data binary")
     second = groups.cogroup(shared.groupBy("bucket")).applyInArrow(_second(parts, shingle, part, whole), _MESSAGE)
     told = second.groupBy("part").applyInArrow(_frequencies, "bucket int, data binary")
-    third = groups.cogroup(told.groupBy("bucket")).applyInArrow(_third(parts, shingle, part, whole), THIRD).checkpoint()
+    third = checkpointed(groups.cogroup(told.groupBy("bucket")).applyInArrow(_third(parts, shingle, part, whole), THIRD))
 
     sets = third.where("kind = 1").select("a", "data")
     rows = third.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "print")
@@ -285,7 +286,7 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, part: int = PART, wh
     entries = third.where("kind = 3").select("data").mapInArrow(_entries, "t long, doc long, n int, least int, most int")
     entries = entries.join(inner.withColumnRenamed("node", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc"))
     mixed = entries.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("t")
-    entries = entries.join(mixed, "t").select("t", "doc", "n", "least", "most", "c").checkpoint()
+    entries = checkpointed(entries.join(mixed, "t").select("t", "doc", "n", "least", "most", "c"))
     other = entries.select("t", *[F.col(x).alias(f"{x}_2") for x in ("doc", "n", "least", "most", "c")])
     across = entries.join(other, (entries["t"] == other["t"]) & (F.col("c") < F.col("c_2")) & F.col("n").between(F.col("least_2"), F.col("most_2")) & F.col("n_2").between(F.col("least"), F.col("most")))
     across = across.select(F.col("doc").alias("a"), F.col("doc_2").alias("b")).distinct()

@@ -29,6 +29,8 @@ TRAIN_ROWS, TRAIN_CHARS = 60, 20_000
 #: Bytes of all languages' step tables together; with very many languages each gets less text.
 TABLE_BYTES = 256 << 20
 SEGMENT = 256
+#: Characters of texts that are parsed at once.
+CHUNK = 1 << 20
 LETTERS = 60
 UNDETERMINED = "und"
 
@@ -143,6 +145,18 @@ class Model:
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """Languages and scores; texts are taken CHUNK characters at a time, at least one."""
+        lang: list[str] = []
+        score: list[float] = []
+        begin = size = 0
+        for i, t in enumerate([*texts, None]):
+            if i == len(texts) or (size and size + len(t or "") > CHUNK):
+                a, b = self._predict(texts[begin:i])
+                lang, score, begin, size = lang + a, score + b, i, 0
+            size += len(t or "")
+        return lang, score
+
+    def _predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         out, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
         if not self.languages:
             return out, scores
@@ -172,10 +186,8 @@ def _is_letter(codes: np.ndarray) -> np.ndarray:
 def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
     """From rows with a text and a language: bounded, and the same rows every time."""
     ok = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.xxhash64(F.col(doc_id).cast("string")).alias("h"), F.col(text).alias("text"))
-    window = Window.partitionBy("lang").orderBy("h", F.xxhash64("text"))
     # the choice is made without the texts; then only those of the chosen rows are fetched
     chosen = ok.select("lang", "h", F.xxhash64("text").alias("t")).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))).where(F.col("n") <= rows).select("lang", "h", "t").distinct()
-    del window
     got = ok.withColumn("t", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "h", "t"], "left_semi").select("lang", "h", "t", F.substring("text", 1, chars).alias("text"))
     texts: dict[str, list] = {}
     for r in got.toLocalIterator():

@@ -149,7 +149,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sanitise.sanitise(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = sanitise.sanitise(read(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.select(
         F.col("row.doc_id").alias("doc_id"),
         *[F.size(k).cast("long").alias(f"n_{k}") for k in sanitise.KINDS],

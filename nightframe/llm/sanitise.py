@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import ensure_checkpoint_dir, small
+from .blocks import checkpointed, ensure_checkpoint_dir, small
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -107,23 +107,23 @@ def _terms(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), "")
 
 
-def sanitise(docs: DataFrame, text: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """row (the columns of docs), email, ip, card, phone and term: the spans of each document,
+def sanitise(docs: DataFrame, text: str = "text", keep: list[str] | None = None, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """row (the columns of docs, or those named), email, ip, card, phone and term: the spans of each document,
     those of terms with the class that stands for them, empty for removal, as `value`."""
     ensure_checkpoint_dir(docs.sparkSession)
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), t.alias("text")).withColumn("key", F.md5("text"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), t.alias("text")).withColumn("key", F.md5("text"))
     bases = keyed.where(F.col("text").contains("@") | F.col("text").rlike("[0-9]"))
     bases = bases.select("key", *[base_spans(F.col("text"), k).alias(k) for k in KINDS])
     bases = bases.where(F.greatest(*[F.size(k) for k in KINDS]) > 0)
     bases = bases.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.first(k).alias(k) for k in KINDS])
-    bases = bases.withColumn("entities", _entities()).checkpoint()
+    bases = checkpointed(bases.withColumn("entities", _entities()))
     total = keyed.count()
 
     # entities in several texts, and the terms of those texts
     met = bases.select("key", "n", F.explode("entities").alias("entity"))
     known = met.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count(F.lit(1)).alias("texts")).where((F.col("texts") >= support) & (F.col("n_e") < total)).drop("texts")
-    met = met.join(known, "entity").checkpoint()
+    met = checkpointed(met.join(known, "entity"))
     of = met.select("key").distinct()
     near = keyed.join(small(of), "key", "left_semi").select("key", "text").dropDuplicates(["key"])
     near = near.join(bases.select("key", sorted_base().alias("base")), "key")
@@ -132,7 +132,7 @@ def sanitise(docs: DataFrame, text: str = "text", support: int = SUPPORT, genera
     pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("texts"), F.first("n_e").alias("n_e")).where(F.col("texts") >= support)
     # n(t) is at least n(e, t), which bounds what the term can disclose
     most = lambda n_t: F.log(F.col("n_et") * float(total) / (F.col("n_e") * n_t)) / F.log(float(total) / F.col("n_e"))
-    pairs = pairs.where(most(F.col("n_et")) >= generalise).checkpoint()
+    pairs = checkpointed(pairs.where(most(F.col("n_et")) >= generalise))
     asked = pairs.select("term").distinct()
     n_t = keyed.select(F.explode(_terms(F.col("text"))).alias("term")).join(small(asked), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     told = pairs.join(n_t, "term").withColumn("share", most(F.greatest("n_t", "n_et"))).where(F.col("share") >= generalise)
