@@ -5,8 +5,9 @@ A document's tokens are the 64-bit hashes of its distinct shingles of SHINGLE wo
 share a token among the first n - ceil(n * PART / WHOLE) + 1 of each, under any order of all
 tokens. The orders are:
 
-A. by hash. Buckets send each distinct token of their prefixes once; documents none of whose
-   prefix tokens is in another document leave.
+A. by hash. If two sets are alike, their prefixes longer by l - 1 tokens share l. Buckets send
+   each distinct token of such longer prefixes once; documents of whose tokens there fewer are
+   in other documents than any partner would share leave. So do most that share a passage only.
 B. rarest first, by the number of remaining documents that have the token, then by hash.
    Tokens that very many documents have come last, so they seldom are in a prefix. A token's
    place in the set limits the sizes of possible partners, and entries that no partner fits
@@ -15,8 +16,9 @@ C. by falling hash.
 
 Candidates come from order B and must share prefix tokens under A and C as well before their
 sets are intersected. Pairs inside a bucket are decided there. Between buckets, each token's
-documents are linked like a chain first; components of the links found make further pairs of
-one component needless, and all pairs of different components that share a token follow. So
+documents are linked like a chain first, then to the largest component that has the token;
+components of the links found make further pairs of one component needless, and all pairs of
+different components that share a token follow. So
 no link between different texts is lost, and a large group of near copies never becomes all
 of its pairs. Equal sets are one set.
 
@@ -33,31 +35,46 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import anchors as an
-from .blocks import LOWER, NULL_ID, Bucket, bucket_count, bucketed, checkpointed, ensure_checkpoint_dir, grouped, hashes_of, pack, part_count, space_words, unpack
+from .blocks import LOWER, NULL_ID, Bucket, bucket_count, bucketed, checkpointed, ensure_checkpoint_dir, grouped, hashes_of, pack, part_count, small, space_words, unpack
 from .components import Union, components
 
 SHINGLE, PART, WHOLE = 5, 75, 100
 BUCKET_BYTES = 8 << 20
+#: The share of its least overlap that a set must find in other sets' longer prefixes, as 1 / LONGER.
+LONGER = 6
+#: Before all pairs between components are tried, so many times PAIRS pairs at most of two
+#: components that share tokens are.
+TURNS, PAIRS = 3, 8
 U64 = np.uint64
 _MESSAGE = "part int, bucket int, data binary"
 
 
 def tokens(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
-    """The sorted distinct token hashes of a text."""
+    """The sorted hashes, of 48 bits, of a text's distinct tokens, which 64 bits tell apart."""
     words = space_words(text.translate(LOWER))
     if not words:
         return np.zeros(0, U64)
-    return np.unique(an.kgrams(hashes_of(words), min(shingle, len(words))) ^ U64(min(shingle, len(words)) << 1))
+    return np.sort(np.unique(an.kgrams(hashes_of(words), min(shingle, len(words))) ^ U64(min(shingle, len(words)) << 1)) & an.LOW48)
 
 
 def prefix(n: int, part: int, whole: int) -> int:
     return n - -(-n * part // whole) + 1 if n else 0
 
 
+def needed(n: int, part: int, whole: int) -> int:
+    """Tokens that a set of n tokens shares with any partner within both longer prefixes."""
+    return max(1, -(-n * part // whole) // LONGER)
+
+
+def longer_prefix(n: int, part: int, whole: int) -> int:
+    """As long as the largest possible partner of a set of n tokens needs it."""
+    return min(n, prefix(n, part, whole) - 1 + needed(n * whole // part, part, whole)) if n else 0
+
+
 def similar(x: np.ndarray, y: np.ndarray, part: int, whole: int) -> bool:
     """Whether sorted sets are alike; prefixes under orders A and C are tried first."""
     p, q = prefix(len(x), part, whole), prefix(len(y), part, whole)
@@ -105,7 +122,7 @@ def _counted(bucket: int, h: np.ndarray, parts: int) -> pa.Table:
     """Messages of a bucket: its distinct tokens, and how many of its sets have each."""
     if not len(h):
         return an.spans_table([], [], [])
-    h = np.sort(h & an.LOW48)
+    h = np.sort(h)
     begin, _ = grouped(h)
     n = np.diff(np.r_[begin, len(h)])
     return an._dealt(bucket, h[begin], parts, n=np.minimum(n, 255).astype(np.uint8))
@@ -114,22 +131,36 @@ def _counted(bucket: int, h: np.ndarray, parts: int) -> pa.Table:
 def _first(parts: int, shingle: int, part: int, whole: int):
     def send(key: tuple[pa.Scalar, ...], docs: pa.Table) -> pa.Table:
         s = Sets(Bucket(docs), shingle)
-        return _counted(key[0].as_py(), np.concatenate([x[: prefix(len(x), part, whole)] for x in s.sets] or [np.zeros(0, U64)]), parts)
+        return _counted(key[0].as_py(), np.concatenate([x[: longer_prefix(len(x), part, whole)] for x in s.sets] or [np.zeros(0, U64)]), parts)
 
     return send
 
 
 def _remaining(s: Sets, shared: an.Shared, part: int, whole: int) -> list[int]:
-    """Sets with a prefix token, under A, that another set has; copies of a set in other buckets count."""
-    return [i for i, x in enumerate(s.sets) if shared(x[: prefix(len(x), part, whole)] & an.LOW48)[0].any()]
+    """Sets that may have a partner by the longer prefixes under A; copies of a set in other buckets count."""
+    return [i for i, x in enumerate(s.sets) if np.count_nonzero(shared(x[: longer_prefix(len(x), part, whole)])[0]) >= needed(len(x), part, whole)]
+
+
+#: What the second step leaves: of each document its id, number of tokens and, with candidates,
+#: its set's fingerprint (kind 0); the sets that remain, with the least id of the bucket that has
+#: each (kind 1); and for each part the bucket's tokens (kind 2: the part as n).
+SECOND = "kind int, bucket int, doc long, n int, print binary, data binary"
 
 
 def _second(parts: int, shingle: int, part: int, whole: int):
     def send(key: tuple[pa.Scalar, ...], docs: pa.Table, shared: pa.Table) -> pa.Table:
-        s = Sets(Bucket(docs), shingle)
+        bucket = Bucket(docs)
+        s = Sets(bucket, shingle)
         keep = _remaining(s, an.Shared(shared), part, whole)
         number = (docs if docs.num_rows else shared)["bucket"][0].as_py()
-        return _counted(number, np.concatenate([s.sets[i] for i in keep] or [np.zeros(0, U64)]), parts)
+        sent = _counted(number, np.concatenate([s.sets[i] for i in keep] or [np.zeros(0, U64)]), parts)
+        n, k, m = len(bucket), len(keep), sent.num_rows
+        kind = np.repeat(np.array([0, 1, 2], np.int32), [n, k, m])
+        doc = pa.chunked_array([bucket.doc_id.combine_chunks() if isinstance(bucket.doc_id, pa.ChunkedArray) else bucket.doc_id, pa.array([s.doc[i] for i in keep], pa.int64()), pa.nulls(m, pa.int64())])
+        size = pa.array([*s.n, *[len(s.sets[i]) for i in keep], *sent["part"].to_pylist()], pa.int32())
+        prints = pa.array([*[s.prints[j] if j >= 0 else None for j in s.of], *[None] * (k + m)], pa.binary())
+        data = pa.array([*[None] * n, *[pack(**an.split48(s.sets[i])) for i in keep], *sent["data"].to_pylist()], pa.binary())
+        return pa.table([pa.array(kind), pa.array(np.full(n + k + m, number, np.int32)), doc, size, prints, data], ["kind", "bucket", "doc", "n", "print", "data"])
 
     return send
 
@@ -154,30 +185,29 @@ def _frequencies(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"bucket": pa.array([buckets[of[order[a]]] for a in begin], pa.int32()), "data": pa.array([pack(**an.split48(h[order[a:b]]), n=bits[a:b]) for a, b in zip(begin, ends, strict=True)], pa.binary())})
 
 
-#: One row for each document (kind 0: doc_id, n, set's fingerprint if it has candidates), set
-#: (kind 1: the least id and the tokens) and link inside the bucket (kind 2: two ids); all
-#: entries of a bucket's tokens (kind 3: tokens, ids, sizes, sizes of partners), and for each
-#: part those of its tokens, one for each component inside the bucket (kind 4: the part as n).
-THIRD = "kind int, a long, b long, n int, least int, most int, print binary, data binary"
+#: Links inside the bucket (kind 2: two ids); all entries of a bucket's tokens (kind 3: tokens,
+#: ids, sizes, sizes of partners), and for each part those of its tokens, one for each
+#: component inside the bucket (kind 4: the part as n).
+THIRD = "kind int, a long, b long, n int, data binary"
 
 
-def _third(parts: int, shingle: int, part: int, whole: int):
-    def send(key: tuple[pa.Scalar, ...], docs: pa.Table, told: pa.Table) -> pa.Table:
-        bucket = Bucket(docs)
-        s = Sets(bucket, shingle)
+def _third(parts: int, part: int, whole: int):
+    def send(key: tuple[pa.Scalar, ...], remaining: pa.Table, told: pa.Table) -> pa.Table:
+        remaining = remaining.sort_by("doc")
+        docs = remaining["doc"].to_pylist()
+        sets = [an.join48(unpack(x)) for x in remaining["data"].to_pylist()]
         got = [unpack(x) for x in told["data"].to_pylist()]
         h = np.concatenate(list(map(an.join48, got))) if got else np.zeros(0, U64)
         f = np.concatenate([x["n"] for x in got]) if got else np.zeros(0, np.uint8)
         order = np.argsort(h)
         h, f = h[order], f[order]
         entries: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        for i, x in enumerate(s.sets):
+        for i, x in enumerate(sets):
             if not len(h):
                 break
             n = len(x)
-            low = x & an.LOW48
-            at = np.minimum(np.searchsorted(h, low), len(h) - 1)
-            freq = np.where(h[at] == low, f[at], 0)
+            at = np.minimum(np.searchsorted(h, x), len(h) - 1)
+            freq = np.where(h[at] == x, f[at], 0)
             shared = np.flatnonzero(freq > 0)
             shared = shared[np.argsort(freq[shared], kind="stable")]  # x is in the order of the hash
             place = np.arange(n - len(shared), n)  # tokens of this set alone come first
@@ -190,72 +220,105 @@ def _third(parts: int, shingle: int, part: int, whole: int):
             if ok.any():
                 k = int(ok.sum())
                 entries.append((x[shared[ok]], np.full(k, i), np.full(k, n), np.full(k, least), most[ok]))
-        rows: dict[str, list] = {c: [] for c in ("kind", "a", "b", "n", "least", "most", "print", "data")}
+        rows: dict[str, list] = {c: [] for c in ("kind", "a", "b", "n", "data")}
 
-        def add(kind: int, a=None, b=None, n=None, least=None, most=None, print=None, data=None) -> None:  # noqa: A002
-            for c, v in zip(rows, (kind, a, b, n, least, most, print, data), strict=True):
+        def add(kind: int, a=None, b=None, n=None, data=None) -> None:
+            for c, v in zip(rows, (kind, a, b, n, data), strict=True):
                 rows[c].append(v)
 
-        in_play: set[int] = set()
         if entries:
             t, i, n, least, most = (np.concatenate(c) for c in zip(*entries, strict=True))
             order = np.lexsort((i, n, t))
-            t, i, n, least, most = t[order], i[order], n[order], least[order], most[order]
+            t, i, n, least, most = (c[order] for c in (t, i, n, least, most))
             near = (t[1:] == t[:-1]) & (n[:-1] >= least[1:]) & (n[1:] <= most[:-1])
             union = Union()
             tried: set[tuple[int, int]] = set()
             for x, y in zip(i[:-1][near].tolist(), i[1:][near].tolist(), strict=True):
                 if (x, y) not in tried and union.root(x) != union.root(y):
                     tried.add((x, y))
-                    if similar(s.sets[x], s.sets[y], part, whole):
+                    if similar(sets[x], sets[y], part, whole):
                         union.join(x, y)
-                        add(2, s.doc[x], s.doc[y])
-            in_play = set(i.tolist())
-            doc = np.array(s.doc, np.int64)[i]
-            entry = {"t": t, "doc": doc, "n": n.astype(np.int32), "least": least.astype(np.int32), "most": most.astype(np.int32)}
-            add(3, data=pack(**entry))
+                        add(2, docs[x], docs[y])
+            size = np.fromiter(map(len, sets), np.int32, len(sets))
+            entry = {"t": t, "i": i, "short": n * whole // part - most}
+            add(3, data=_packed(entry, docs, size))
             root = np.fromiter(map(union.root, i.tolist()), np.int64, len(i))
             order = np.lexsort((root, t))
             one = order[np.r_[True, (t[order][1:] != t[order][:-1]) | (root[order][1:] != root[order][:-1])]]
             for to, r in an.by_part(0, an.part_of(t[one], parts)):
-                add(4, n=to, data=pack(**{c: v[one[r]] for c, v in entry.items()}))
-        for j in in_play:
-            add(1, s.doc[j], n=len(s.sets[j]), data=s.sets[j].tobytes())
-        ids = bucket.doc_id.to_pylist()
-        for doc, n, j in zip(ids, s.n, s.of, strict=True):
-            add(0, doc, n=n, print=s.prints[j] if j >= 0 else None)
-        return pa.table([pa.array(rows["kind"], pa.int32()), pa.array(rows["a"], pa.int64()), pa.array(rows["b"], pa.int64()), *(pa.array(rows[c], pa.int32()) for c in ("n", "least", "most")), *(pa.array(rows[c], pa.binary()) for c in ("print", "data"))], list(rows))
+                add(4, n=to, data=_packed({c: v[one[r]] for c, v in entry.items()}, docs, size))
+        return pa.table([pa.array(rows["kind"], pa.int32()), pa.array(rows["a"], pa.int64()), pa.array(rows["b"], pa.int64()), pa.array(rows["n"], pa.int32()), pa.array(rows["data"], pa.binary())], list(rows))
 
     return send
 
 
-def _chain(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+def _packed(entry: dict[str, np.ndarray], docs: list[int], size: np.ndarray) -> bytes:
+    """Entries sorted by token; documents and their sizes are named once."""
+    used, i = np.unique(entry["i"], return_inverse=True)
+    return pack(**an.split48(entry["t"]), i=i.astype(np.uint32), short=entry["short"].astype(np.uint32), doc=np.array(docs, np.int64)[used], n=size[used])
+
+
+def _unpacked(data: bytes, part: int, whole: int) -> dict[str, np.ndarray]:
+    """t, doc, n, least and most: the sizes of possible partners."""
+    x = unpack(data)
+    n = x["n"][x["i"]].astype(np.int64)
+    return {"t": an.join48(x), "doc": x["doc"][x["i"]], "n": n, "least": -(-n * part // whole), "most": n * whole // part - x["short"]}
+
+
+def _chain(part: int, whole: int):
     """Of each token's sets, those next to each other in size, as pairs of ids."""
-    sent = [unpack(x) for x in table["data"].to_pylist()]
-    t, doc, n, least, most = (np.concatenate([x[c] for x in sent]) for c in ("t", "doc", "n", "least", "most"))
-    order = np.lexsort((doc, n, t))
-    t, doc, n, least, most = t[order], doc[order], n[order], least[order], most[order]
-    near = (t[1:] == t[:-1]) & (doc[1:] != doc[:-1]) & (n[:-1] >= least[1:]) & (n[1:] <= most[:-1])
-    pairs = np.unique(np.sort(np.stack([doc[:-1][near], doc[1:][near]], axis=1), axis=1), axis=0)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    def chain(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        sent = [_unpacked(x, part, whole) for x in table["data"].to_pylist()]
+        t, doc, n, least, most = (np.concatenate([x[c] for x in sent]) for c in ("t", "doc", "n", "least", "most"))
+        order = np.lexsort((doc, n, t))
+        t, doc, n, least, most = (c[order] for c in (t, doc, n, least, most))
+        near = (t[1:] == t[:-1]) & (doc[1:] != doc[:-1]) & (n[:-1] >= least[1:]) & (n[1:] <= most[:-1])
+        pairs = np.unique(np.sort(np.stack([doc[:-1][near], doc[1:][near]], axis=1), axis=1), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return chain
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for x in map(unpack, batch["data"].to_pylist()):
-            yield pa.RecordBatch.from_arrays([pa.array(x["t"].astype(np.int64)), *(pa.array(x[c]) for c in ("doc", "n", "least", "most"))], ["t", "doc", "n", "least", "most"])
+def _entries(part: int, whole: int):
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch["data"].to_pylist():
+                e = _unpacked(x, part, whole)
+                yield pa.RecordBatch.from_arrays([pa.array(e["t"].astype(np.int64)), pa.array(e["doc"]), *(pa.array(e[c].astype(np.int32)) for c in ("n", "least", "most"))], ["t", "doc", "n", "least", "most"])
+
+    return entries
 
 
 def _decide(part: int, whole: int):
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch["x"], batch["y"]
-            same = [similar(np.frombuffer(p.as_buffer(), U64), np.frombuffer(q.as_buffer(), U64), part, whole) for p, q in zip(x, y, strict=True)]
+            same = [similar(an.join48(unpack(x)), an.join48(unpack(y)), part, whole) for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(same, pa.bool_()))
 
     return decide
 
 
+def _between(entries: DataFrame, inner: DataFrame) -> DataFrame:
+    """Entries of the tokens that several components have, with their component c."""
+    entries = entries.select("t", "doc", "n", "least", "most").join(small(inner).withColumnRenamed("node", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc"))
+    mixed = checkpointed(entries.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("t"))
+    return checkpointed(entries.join(small(mixed), "t").select("t", "doc", "n", "least", "most", "c"))
+
+
+def _to_largest(entries: DataFrame, turn: int) -> DataFrame:
+    """Pairs a, b of one set of each component with one of the component that has most sets of
+    a token; of two components PAIRS pairs at most. They join large groups cheaply; what they
+    leave out, the search of all pairs finds."""
+    one = F.min(F.struct(F.xxhash64("doc", "t", F.lit(turn)).alias("h"), "doc", "n", "least", "most")).alias("x")
+    each = entries.groupBy("t", "c").agg(F.count(F.lit(1)).alias("sets"), one)
+    most = each.groupBy("t").agg(F.max(F.struct("sets", "c", "x")).alias("hub"))
+    met = each.join(most, "t").where("c <> hub.c and x.n between hub.x.least and hub.x.most and hub.x.n between x.least and x.most")
+    met = met.select("c", F.col("hub.c").alias("d"), F.col("x.doc").alias("a"), F.col("hub.x.doc").alias("b")).distinct()
+    nth = F.row_number().over(Window.partitionBy("c", "d").orderBy(F.xxhash64("a", "b"), "a", "b"))
+    return met.withColumn("nth", nth).where(F.col("nth") <= PAIRS).select("a", "b").distinct()
+
+
 def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, part: int = PART, whole: int = WHOLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: the least id that links lead to."""
     ensure_checkpoint_dir(docs.sparkSession)
@@ -264,31 +327,39 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, part: int = PART, wh
     groups = bucketed(docs, n, doc_id, text).groupBy("bucket")
     first = groups.applyInArrow(_first(parts, shingle, part, whole), _MESSAGE)
     shared = first.groupBy("part").applyInArrow(an.shared_anchors(1 << 30), "bucket int, data binary")
-    second = groups.cogroup(shared.groupBy("bucket")).applyInArrow(_second(parts, shingle, part, whole), _MESSAGE)
-    told = second.groupBy("part").applyInArrow(_frequencies, "bucket int, data binary")
-    third = checkpointed(groups.cogroup(told.groupBy("bucket")).applyInArrow(_third(parts, shingle, part, whole), THIRD))
+    second = checkpointed(groups.cogroup(shared.groupBy("bucket")).applyInArrow(_second(parts, shingle, part, whole), SECOND))
+    sent = second.where("kind = 2").select(F.col("n").alias("part"), "bucket", "data")
+    told = sent.groupBy("part").applyInArrow(_frequencies, "bucket int, data binary")
+    remaining = second.where("kind = 1").select("bucket", "doc", "data")
+    third = checkpointed(remaining.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_third(parts, part, whole), THIRD))
 
-    sets = third.where("kind = 1").select("a", "data")
-    rows = third.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "print")
+    rows = second.where("kind = 0").select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "print")
     copies = rows.where("print is not null")
     least = copies.groupBy("print").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("most")).where("b < most")
-    copies = copies.join(least, "print").select(F.col("doc_id").alias("a"), "b")
+    copies = copies.join(small(least), "print").select(F.col("doc_id").alias("a"), "b")
 
     def alike(pairs: DataFrame) -> DataFrame:
-        with_x = pairs.join(sets.select("a", F.col("data").alias("x")), "a")
-        both = with_x.join(sets.select(F.col("a").alias("b"), F.col("data").alias("y")), "b")
+        pairs = checkpointed(pairs)
+        asked = small(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct())
+        sets = remaining.join(asked, "doc", "left_semi")
+        with_x = pairs.join(sets.select(F.col("doc").alias("a"), F.col("data").alias("x")), "a")
+        both = with_x.join(sets.select(F.col("doc").alias("b"), F.col("data").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(_decide(part, whole), "a long, b long")
 
-    chained = third.where("kind = 4").select("n", "data").groupBy("n").applyInArrow(_chain, "a long, b long").distinct()
+    chained = third.where("kind = 4").select("n", "data").groupBy("n").applyInArrow(_chain(part, whole), "a long, b long").distinct()
     links = third.where("kind = 2").select("a", "b").union(copies).union(alike(chained))
     inner = components(links)
 
-    entries = third.where("kind = 3").select("data").mapInArrow(_entries, "t long, doc long, n int, least int, most int")
-    entries = entries.join(inner.withColumnRenamed("node", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc"))
-    mixed = entries.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("t")
-    entries = checkpointed(entries.join(mixed, "t").select("t", "doc", "n", "least", "most", "c"))
+    entries = third.where("kind = 3").select("data").mapInArrow(_entries(part, whole), "t long, doc long, n int, least int, most int")
+    entries = _between(entries, inner)
+    for turn in range(TURNS):
+        new = checkpointed(alike(_to_largest(entries, turn)))
+        if new.isEmpty():
+            break
+        inner = components(inner.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new))
+        entries = _between(entries, inner)
     other = entries.select("t", *[F.col(x).alias(f"{x}_2") for x in ("doc", "n", "least", "most", "c")])
     across = entries.join(other, (entries["t"] == other["t"]) & (F.col("c") < F.col("c_2")) & F.col("n").between(F.col("least_2"), F.col("most_2")) & F.col("n_2").between(F.col("least"), F.col("most")))
     across = across.select(F.col("doc").alias("a"), F.col("doc_2").alias("b")).distinct()
     final = components(inner.select(F.col("node").alias("a"), F.col("component").alias("b")).union(alike(across)))
-    return rows.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return rows.join(small(final).withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
