@@ -2,11 +2,15 @@ r"""Personal data by patterns and by information-theoretic disclosure (operator
 
 Patterns find emails, IP addresses, cards and phone numbers; matches are leftmost and do not
 overlap within a kind, and those that fail their test are dropped. Each value found is a
-protected entity. The corpus tells how strongly other terms reveal it: with document counts,
-PMI(e, t) = log(n(e, t) * n / (n(e) * n(t))) against IC(e) = log(n / n(e)), what there is to
-know about it. A term that discloses more than GENERALISE of IC is replaced by a class in the
-documents that hold the entity, one above REMOVE is taken out. An entity and a term must meet
-in SUPPORT different texts, so that a document's other words are not evidence by themselves.
+protected entity, and so are the parts that values share: an email's name and domain, an IP
+address's network, a card's issuer, a phone number without its last four digits. The kind is
+none, as the label in a value's place tells it. The corpus tells how strongly other terms reveal
+an entity: with document counts, PMI(e, t) = log(P(e | t) / P(e)) against IC(e) = -log P(e),
+what there is to know about it, where P(e) = n(e) / n and P(e | t) is smoothed,
+(n(e, t) + DOUBT * P(e)) / (n(t) + DOUBT). So entities of a single document are judged as well,
+and a word that is met once is weaker evidence than one that is met with the entity each time.
+A term that discloses more than GENERALISE of IC is replaced by a class in the documents that
+hold the entity, one above REMOVE is taken out.
 Terms are runs of letters and digits, lower-cased, outside the pattern matches.
 
 The patterns are those asked for, written so that Java's matcher neither recurses nor starts
@@ -33,7 +37,9 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TERM = r"[\p{L}\p{N}]+"
-SUPPORT, GENERALISE, REMOVE = 3, 0.9, 0.98
+GENERALISE, REMOVE = 0.9, 0.98
+#: Documents of doubt: how many without a say each term is counted with.
+DOUBT = 1.0
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -82,10 +88,15 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 def _entities() -> Column:
-    """What the spans name: emails in lower case, digits of the rest."""
-    of = {"email": F.lower, "ip": lambda v: v, "card": _digits, "phone": _digits}
-    named = lambda k: F.transform(k, lambda x: F.concat(F.lit(f"{k}:"), of[k](x["value"])))
-    return F.array_distinct(F.concat(*map(named, KINDS)))
+    """What the spans name: emails in lower case, digits of the rest, and the parts of each."""
+    named = lambda k, of, part="": F.transform(k, lambda x: F.concat(F.lit(f"{k}{part}:"), of(x["value"])))
+    but_four = lambda v: F.regexp_replace(_digits(v), "[0-9]{4}$", "")
+    return F.array_distinct(F.concat(
+        named("email", F.lower), named("email", lambda v: F.substring_index(F.lower(v), "@", 1), " name"), named("email", lambda v: F.substring_index(F.lower(v), "@", -1), " domain"),
+        named("ip", lambda v: v), named("ip", lambda v: F.substring_index(v, ".", 3), " network"),
+        named("card", _digits), named("card", lambda v: F.substring(_digits(v), 1, 6), " issuer"),
+        named("phone", _digits), named("phone", but_four, " exchange"),
+    ))
 
 
 def blank(text: Column, spans: Column) -> Column:
@@ -107,7 +118,7 @@ def _terms(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), "")
 
 
-def sanitise(docs: DataFrame, text: str = "text", keep: list[str] | None = None, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def sanitise(docs: DataFrame, text: str = "text", keep: list[str] | None = None, doubt: float = DOUBT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """row (the columns of docs, or those named), email, ip, card, phone and term: the spans of each document,
     those of terms with the class that stands for them, empty for removal, as `value`."""
     ensure_checkpoint_dir(docs.sparkSession)
@@ -120,22 +131,26 @@ def sanitise(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
     bases = checkpointed(bases.withColumn("entities", _entities()))
     total = keyed.count()
 
-    # entities in several texts, and the terms of those texts
     met = bases.select("key", "n", F.explode("entities").alias("entity"))
-    known = met.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count(F.lit(1)).alias("texts")).where((F.col("texts") >= support) & (F.col("n_e") < total)).drop("texts")
+    known = met.groupBy("entity").agg(F.sum("n").alias("n_e")).where(F.col("n_e") < total)
     met = checkpointed(met.join(known, "entity"))
-    of = met.select("key").distinct()
-    near = keyed.join(small(of), "key", "left_semi").select("key", "text").dropDuplicates(["key"])
-    near = near.join(bases.select("key", sorted_base().alias("base")), "key")
-    near = near.select("key", "text", blank(F.col("text"), F.col("base")).alias("rest"))
-    pairs = near.select("key", F.explode(_terms(F.col("rest"))).alias("term")).join(met, "key")
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("texts"), F.first("n_e").alias("n_e")).where(F.col("texts") >= support)
-    # n(t) is at least n(e, t), which bounds what the term can disclose
-    most = lambda n_t: F.log(F.col("n_et") * float(total) / (F.col("n_e") * n_t)) / F.log(float(total) / F.col("n_e"))
-    pairs = checkpointed(pairs.where(most(F.col("n_et")) >= generalise))
-    asked = pairs.select("term").distinct()
-    n_t = keyed.select(F.explode(_terms(F.col("text"))).alias("term")).join(small(asked), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    told = pairs.join(n_t, "term").withColumn("share", most(F.greatest("n_t", "n_et"))).where(F.col("share") >= generalise)
+    most = met.agg(F.max("n_e")).first()[0] or 1
+    near = keyed.join(small(bases.select("key")), "key", "left_semi").select("key", "text").dropDuplicates(["key"])
+    near = near.join(bases.select("key", "n", sorted_base().alias("base")), "key")
+    near = checkpointed(near.select("key", "n", blank(F.col("text"), F.col("base")).alias("rest")))
+
+    def share(n_et: Column, n_e: Column, n_t: Column) -> Column:
+        p = n_e / float(max(total, 2))  # of fewer documents no entity is known
+        return F.log((n_et + doubt * p) / (n_t + doubt) / p) / -F.log(p)
+
+    n_e, n_t = F.col("n_e"), F.col("n_t")
+    words = keyed.select(F.explode(_terms(F.col("text"))).alias("term"), F.lit(1).alias("n"))
+    # of entities less frequent than a term, the most frequent is the one it can tell most of
+    counts = words.groupBy("term").agg(F.sum("n").alias("n_t")).where((n_t <= most) | (share(F.lit(most), F.lit(most), n_t) >= generalise))
+    counts = checkpointed(counts)
+    pairs = near.select("key", F.explode(_terms(F.col("rest"))).alias("term")).join(small(counts), "term").join(met, "key")
+    pairs = pairs.where(share(F.least(n_e, n_t), n_e, n_t) >= generalise).groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
+    told = pairs.withColumn("share", share(F.col("n_et"), n_e, F.greatest("n_t", "n_et"))).where(F.col("share") >= generalise)
     told = told.select("entity", F.struct("term", F.when(F.col("share") >= remove, "").when(F.col("term").rlike("[0-9]"), "[NUMBER]").otherwise("[TERM]").alias("instead")).alias("t"))
     terms = met.select("key", "entity").join(told, "entity").groupBy("key").agg(F.array_sort(F.collect_set("t")).alias("terms"))
     hidden = near.join(terms, "key")

@@ -237,6 +237,18 @@ def test_terms_that_disclose(spark):
     assert "[EMAIL]" in text[60] and "joe@" not in text[60] and "Zanzibar" not in text[60] and text[3] == filler[3]
 
 
+def test_every_entity_is_judged(spark):
+    """A value of one document, and parts that values of several documents share."""
+    filler = [f"common words fill text {i % 50} of the corpus" for i in range(3000)]
+    told = ["write to ann@one.example about Zanzibar, common words"] + [f"ask u{i}@corp.example of Timbuktu, common words" for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(filler + told)), "doc_id long, text string")
+    rows = {r.row.doc_id: r for r in sanitise.sanitise(docs).collect()}
+    hidden = lambda i: {told[i][s.start : s.end]: s.value for s in rows[3000 + i].term}
+    assert hidden(0)["Zanzibar"] == "[TERM]" and not {"common", "words"} & set(hidden(0))
+    assert all(hidden(i)["Timbuktu"] == "" or hidden(i)["Timbuktu"] == "[TERM]" for i in range(1, 31))
+    assert all(not rows[i].term for i in range(3000))
+
+
 def test_quality(spark):
     rng = random.Random(1)
     good = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40)) + "." for _ in range(150)]
