@@ -135,7 +135,8 @@ def sanitise(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
     known = met.groupBy("entity").agg(F.sum("n").alias("n_e")).where(F.col("n_e") < total)
     met = checkpointed(met.join(known, "entity"))
     most = met.agg(F.max("n_e")).first()[0] or 1
-    near = keyed.join(small(bases.select("key")), "key", "left_semi").select("key", "text").dropDuplicates(["key"])
+    held = small(bases.select("key"))
+    near = keyed.join(held, "key", "left_semi").select("key", "text").dropDuplicates(["key"])
     near = near.join(bases.select("key", "n", sorted_base().alias("base")), "key")
     near = checkpointed(near.select("key", "n", blank(F.col("text"), F.col("base")).alias("rest")))
 
@@ -144,13 +145,15 @@ def sanitise(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
         return F.log((n_et + doubt * p) / (n_t + doubt) / p) / -F.log(p)
 
     n_e, n_t = F.col("n_e"), F.col("n_t")
-    words = keyed.select(F.explode(_terms(F.col("text"))).alias("term"), F.lit(1).alias("n"))
+    # as n(e, t), n(t) is counted outside the matches
+    words = keyed.join(held, "key", "left_anti").select(F.explode(_terms(F.col("text"))).alias("term"), F.lit(1).cast("long").alias("n"))
+    words = words.unionByName(near.select(F.explode(_terms(F.col("rest"))).alias("term"), "n"))
     # of entities less frequent than a term, the most frequent is the one it can tell most of
     counts = words.groupBy("term").agg(F.sum("n").alias("n_t")).where((n_t <= most) | (share(F.lit(most), F.lit(most), n_t) >= generalise))
     counts = checkpointed(counts)
     pairs = near.select("key", F.explode(_terms(F.col("rest"))).alias("term")).join(small(counts), "term").join(met, "key")
     pairs = pairs.where(share(F.least(n_e, n_t), n_e, n_t) >= generalise).groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
-    told = pairs.withColumn("share", share(F.col("n_et"), n_e, F.greatest("n_t", "n_et"))).where(F.col("share") >= generalise)
+    told = pairs.withColumn("share", share(F.col("n_et"), n_e, n_t)).where(F.col("share") >= generalise)
     told = told.select("entity", F.struct("term", F.when(F.col("share") >= remove, "").when(F.col("term").rlike("[0-9]"), "[NUMBER]").otherwise("[TERM]").alias("instead")).alias("t"))
     terms = met.select("key", "entity").join(told, "entity").groupBy("key").agg(F.array_sort(F.collect_set("t")).alias("terms"))
     hidden = near.join(terms, "key")

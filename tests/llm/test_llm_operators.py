@@ -249,6 +249,15 @@ def test_every_entity_is_judged(spark):
     assert all(not rows[i].term for i in range(3000))
 
 
+def test_terms_are_counted_outside_matches(spark):
+    """A name inside addresses is not a document that has the name."""
+    filler = [f"common words fill text {i % 50} of the corpus" for i in range(2000)]
+    told = [f"write to bobsmith@corp{i % 2}.example, common words" + " of Bobsmith" * (i < 10) for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(filler + told)), "doc_id long, text string")
+    rows = {r.row.doc_id: r for r in sanitise.sanitise(docs).collect()}
+    assert all("Bobsmith" in {told[i][s.start : s.end] for s in rows[2000 + i].term} for i in range(10))
+
+
 def test_quality(spark):
     rng = random.Random(1)
     good = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40)) + "." for _ in range(150)]
