@@ -9,8 +9,8 @@ an entity: with document counts, PMI(e, t) = log(P(e | t) / P(e)) against IC(e)
 what there is to know about it, where P(e) = n(e) / n and P(e | t) is smoothed,
 (n(e, t) + DOUBT * P(e)) / (n(t) + DOUBT). So entities of a single document are judged as well,
 and a word that is met once is weaker evidence than one that is met with the entity each time.
-A term that discloses more than GENERALISE of IC is replaced by a class in the documents that
-hold the entity, one above REMOVE is taken out.
+A term that discloses more than GENERALISE of IC is replaced by a class in all documents, with
+or without the entity; one above REMOVE is taken out.
 Terms are runs of letters and digits, lower-cased, outside the pattern matches.
 
 The patterns are those asked for, written so that Java's matcher neither recurses nor starts
@@ -146,22 +146,28 @@ def sanitise(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
 
     n_e, n_t = F.col("n_e"), F.col("n_t")
     # as n(e, t), n(t) is counted outside the matches
-    words = keyed.join(held, "key", "left_anti").select(F.explode(_terms(F.col("text"))).alias("term"), F.lit(1).cast("long").alias("n"))
-    words = words.unionByName(near.select(F.explode(_terms(F.col("rest"))).alias("term"), "n"))
+    far = keyed.join(held, "key", "left_anti").select("key", F.explode(_terms(F.col("text"))).alias("term"))
+    words = far.select("term", F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("n_far"))
+    words = words.unionByName(near.select(F.explode(_terms(F.col("rest"))).alias("term"), "n", F.lit(0).cast("long").alias("n_far")))
     # of entities less frequent than a term, the most frequent is the one it can tell most of
-    counts = words.groupBy("term").agg(F.sum("n").alias("n_t")).where((n_t <= most) | (share(F.lit(most), F.lit(most), n_t) >= generalise))
+    counts = words.groupBy("term").agg(F.sum("n").alias("n_t"), F.sum("n_far").alias("n_far")).where((n_t <= most) | (share(F.lit(most), F.lit(most), n_t) >= generalise))
     counts = checkpointed(counts)
-    pairs = near.select("key", F.explode(_terms(F.col("rest"))).alias("term")).join(small(counts), "term").join(met, "key")
-    pairs = pairs.where(share(F.least(n_e, n_t), n_e, n_t) >= generalise).groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
+    by_near = near.select("key", F.explode(_terms(F.col("rest"))).alias("term"))
+    pairs = by_near.join(small(counts), "term").join(met, "key")
+    pairs = pairs.where(share(F.least(n_e, n_t), n_e, n_t) >= generalise).groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"), F.first("n_far").alias("n_far"))
     told = pairs.withColumn("share", share(F.col("n_et"), n_e, n_t)).where(F.col("share") >= generalise)
-    told = told.select("entity", F.struct("term", F.when(F.col("share") >= remove, "").when(F.col("term").rlike("[0-9]"), "[NUMBER]").otherwise("[TERM]").alias("instead")).alias("t"))
-    terms = met.select("key", "entity").join(told, "entity").groupBy("key").agg(F.array_sort(F.collect_set("t")).alias("terms"))
-    hidden = near.join(terms, "key")
+    instead = F.when(F.col("share") >= remove, "").when(F.col("term").rlike("[0-9]"), "[NUMBER]").otherwise("[TERM]")
+    told = checkpointed(told.groupBy("term").agg(F.min(instead).alias("instead"), F.first("n_far").alias("n_far")))
+    # only terms that stand in documents without an entity are sought there
+    at = by_near.join(small(told), "term").unionByName(far.join(small(told.where("n_far > 0")), "term"))
+    terms = checkpointed(at.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("term", "instead"))).alias("terms")))
+    others = keyed.join(small(terms.select("key")), "key", "left_semi").join(held, "key", "left_anti").select("key", F.col("text").alias("rest")).dropDuplicates(["key"])
+    hidden = near.select("key", "rest").unionByName(others).join(terms, "key")
     hidden = hidden.withColumn("names", F.transform("terms", lambda x: x["term"])).select("key", "terms", spans_where(F.col("rest"), TERM, lambda m: F.array_contains(F.col("names"), F.lower(m))).alias("found"))
     instead = lambda x: F.element_at(F.filter("terms", lambda y: y["term"] == F.lower(x["value"])), 1)["instead"]
     hidden = hidden.select("key", F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), instead(x).alias("value"))).alias("term"))
 
-    out = keyed.select("row", "key").join(bases.select("key", *KINDS).join(hidden, "key", "left"), "key", "left")
+    out = keyed.select("row", "key").join(bases.select("key", *KINDS).join(hidden, "key", "full"), "key", "left")
     return out.select("row", *[F.coalesce(k, F.array().cast(SPAN)).alias(k) for k in (*KINDS, "term")])
 
 

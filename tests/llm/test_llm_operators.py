@@ -258,6 +258,14 @@ def test_terms_are_counted_outside_matches(spark):
     assert all("Bobsmith" in {told[i][s.start : s.end] for s in rows[2000 + i].term} for i in range(10))
 
 
+def test_disclosing_terms_are_treated_everywhere(spark):
+    filler = [f"common words fill text {i % 50} of the corpus" for i in range(2000)]
+    told = ["write to joe@corp.example about Zanzibar, common words"] * 30 + ["Zanzibar, common words"] * 2
+    docs = spark.createDataFrame(list(enumerate(filler + told)), "doc_id long, text string")
+    text = {r.d: r.t for r in sanitise.sanitise(docs).select(F.col("row.doc_id").alias("d"), sanitise.redacted(F.col("row.text")).alias("t")).collect()}
+    assert len(text) == 2032 and all("Zanzibar" not in text[i] and "common words" in text[i] for i in range(2000, 2032)) and text[3] == filler[3]
+
+
 def test_quality(spark):
     rng = random.Random(1)
     good = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40)) + "." for _ in range(150)]
