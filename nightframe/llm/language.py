@@ -3,8 +3,8 @@
 Labelled text of each language becomes a suffix automaton. A text is parsed against each
 automaton into phrases, each the longest match that begins where the last phrase ended; the
 fewer phrases, times the bits to name a place in the labelled text, for each symbol, the
-nearer the language. The automaton is written as a table of steps, and a task walks all
-segments of its documents through it in lockstep.
+nearer the language. The automaton is written as a table of steps over the symbols that its
+language has, and a task walks all segments of its documents through it in lockstep.
 
 Training: at most TRAIN_CHARS characters of whole texts a language, from at most TRAIN_ROWS
 labelled rows a language, chosen by a hash of their id. Letters are lower-cased; runs of other
@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TRAIN_ROWS, TRAIN_CHARS = 60, 20_000
-#: Bytes of all languages' step tables together; with very many languages each gets less text.
+#: Bytes of all languages' step tables together; an automaton too large for its share is walked
+#: by its sorted steps instead.
 TABLE_BYTES = 256 << 20
 SEGMENT = 256
 #: Characters of texts that are parsed at once.
 CHUNK = 1 << 20
-LETTERS = 60
 UNDETERMINED = "und"
 
 
@@ -65,14 +65,23 @@ class Automaton:
                     link[q] = link[new] = copy
             last = new
 
+    def size(self, symbols: int) -> int:
+        """Bytes of the table."""
+        return len(self.step) * symbols * 4
+
+    def begin(self, symbols: int) -> np.ndarray:
+        """The state that each symbol leads to from the root, or -1."""
+        begin = np.full(symbols, -1, np.int64)
+        for c, s in self.step[0].items():
+            begin[c] = s
+        return begin
+
     def table(self, symbols: int) -> np.ndarray:
         """[state * symbols + c] = (place of the next state's row) * 4 + phrases that end here.
         A symbol with no step ends the phrase and begins the next one; unseen ones are phrases
         of their own."""
         n = len(self.step)
-        begin = np.full(symbols, -1, np.int64)
-        for c, s in self.step[0].items():
-            begin[c] = s
+        begin = self.begin(symbols)
         fresh = np.where(begin >= 0, begin * symbols * 4, 1)  # from the root
         out = np.tile(fresh + 1, (n, 1))  # elsewhere the running phrase ends first
         out[0] = fresh
@@ -82,29 +91,64 @@ class Automaton:
         return out.astype(np.int32).ravel()
 
 
+class Table:
+    """Steps of an automaton by its table: (states, symbols) to (states, phrases that end)."""
+
+    def __init__(self, automaton: Automaton, symbols: int):
+        self.steps = automaton.table(symbols)
+
+    def __call__(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        step = self.steps[state + c]
+        return step >> 2, step & 3
+
+
+class Sparse:
+    """The same by binary search among its steps, for large alphabets."""
+
+    def __init__(self, automaton: Automaton, symbols: int):
+        self.begin = automaton.begin(symbols) * symbols
+        steps = sorted((s * symbols + c, t * symbols) for s, row in enumerate(automaton.step) for c, t in row.items())
+        self.key, self.to = np.array([*steps, (-1, 0)][: max(1, len(steps))], np.int64).T.copy()
+
+    def __call__(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = state + c
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        hit = self.key[at] == key
+        begin = self.begin[c]
+        ends = np.where(hit, 0, (state != 0).astype(np.int64) + (begin < 0))
+        return np.where(hit, self.to[at], np.maximum(begin, 0)), ends
+
+
 class Model:
-    """Symbols: 0 is a space, 1 any letter outside the alphabet, then the alphabet."""
+    """Symbols: 0 is a space, 1 any letter outside the alphabet, then the alphabet: all letters
+    of all languages. Each language numbers those that it has itself in the same way."""
 
-    def __init__(self, texts: dict[str, str]):
+    def __init__(self, texts: dict[str, str], table_bytes: int = TABLE_BYTES):
         self.languages = sorted(texts)
         joined = np.concatenate([_codes(t) for t in texts.values()]) if texts else np.zeros(0, np.uint32)
-        letters, count = np.unique(joined[_is_letter(joined)], return_counts=True)
-        self.alphabet = np.sort(letters[np.lexsort((letters, -count))[:LETTERS]])
-        self.symbols = len(self.alphabet) + 2
-        self.tables, self.bits = [], []
+        self.alphabet = np.unique(joined[_is_letter(joined)])
+        self.tables, self.bits, self.own = [], [], []
         for language in self.languages:
             s, _ = self.encode([texts[language]])
-            self.tables.append(Automaton([c for c in s.tolist() if c != 1]).table(self.symbols))
+            own = np.ones(len(self.alphabet) + 2, np.int32)
+            own[0] = 0
+            has = np.unique(s[s > 1])
+            own[has] = np.arange(len(has)) + 2
+            self.own.append(own)
+            automaton = Automaton(own[s].tolist())
+            small = automaton.size(len(has) + 2) * len(self.languages) <= table_bytes
+            self.tables.append((Table if small else Sparse)(automaton, len(has) + 2))
             self.bits.append(log2(len(s) + 2))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The symbols of all texts in a row, and how many each has; runs of spaces are one."""
         codes = _codes("\n".join(texts))
-        low = np.minimum(codes, 0xFFFF)
-        key = np.zeros(0x10000, np.int8)
-        key[self.alphabet[self.alphabet < 0xFFFF]] = np.flatnonzero(self.alphabet < 0xFFFF) + 2
-        s = key[low]
-        other = np.flatnonzero((s == 0) & (codes >= 65))
+        s = np.zeros(len(codes), np.int32)
+        other = np.flatnonzero(codes >= 65)
+        at = np.searchsorted(self.alphabet, codes[other])
+        known = self.alphabet[np.minimum(at, len(self.alphabet) - 1)] == codes[other] if len(self.alphabet) else np.zeros(len(other), bool)
+        s[other[known]] = at[known] + 2
+        other = other[~known]
         s[other[_is_letter(codes[other])]] = 1
         line = codes == 10
         size = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -134,12 +178,11 @@ class Model:
             b, m, o = begin[lo : lo + 8192], length[lo : lo + 8192], of[lo : lo + 8192]
             columns = np.ascontiguousarray(wide[b[:, None] + np.arange(int(m[0]))[None, :]].T).astype(np.int32)
             live = np.searchsorted(-m, -np.arange(1, int(m[0]) + 1), side="right")
-            for k, table in enumerate(self.tables):
-                state, count = np.zeros(len(b), np.int32), np.zeros(len(b), np.int32)
+            for k, (table, own) in enumerate(zip(self.tables, self.own, strict=True)):
+                state, count = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
                 for column, a in zip(columns, live.tolist(), strict=True):
-                    step = table[state[:a] + column[:a]]
-                    count[:a] += step & 3
-                    state[:a] = step >> 2
+                    state[:a], ends = table(state[:a], own[column[:a]])
+                    count[:a] += ends
                 count += state != 0
                 out[:, k] += np.bincount(o, count, len(size))
         return out
@@ -192,8 +235,7 @@ def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     texts: dict[str, list] = {}
     for r in got.toLocalIterator():
         texts.setdefault(r.lang, []).append((r.h, r.t, r.text))
-    each = min(chars, TABLE_BYTES // max(1, len(texts) * 4 * 2 * (LETTERS + 2)))
-    return Model({k: "\n".join(dict.fromkeys(t for _, _, t in sorted(v))).lower().replace("\n", " ")[:each] for k, v in texts.items()})
+    return Model({k: "\n".join(dict.fromkeys(t for _, _, t in sorted(v))).lower().replace("\n", " ")[:chars] for k, v in texts.items()})
 
 
 def _predictor(model):

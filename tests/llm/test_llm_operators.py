@@ -304,6 +304,18 @@ def test_cross_parse_counts_longest_matches():
     assert model.phrases(symbols, size)[:, 0].tolist() == [2, 2, 1, 0]
 
 
+@pytest.mark.parametrize("table_bytes", [language.TABLE_BYTES, 0])
+def test_languages_with_many_letters(table_bytes):
+    rng = random.Random(5)
+    letters = {"aa": [chr(97 + i) for i in range(26)], "el": [chr(0x3B1 + i) for i in range(24)], "ru": [chr(0x430 + i) for i in range(32)], "ja": [chr(0x4E00 + i) for i in range(300)], "jb": [chr(0x5E00 + i) for i in range(300)], "go": [chr(0x10330 + i) for i in range(20)]}
+    text = lambda k, n: " ".join("".join(rng.choice(letters[k]) for _ in range(4)) for _ in range(n))
+    model = language.Model({k: text(k, 1500) for k in letters}, table_bytes)
+    assert model.predict([text(k, 20) for k in letters])[0] == list(letters)
+    plain = language.Model({"l": "abcab"}, table_bytes)
+    assert plain.phrases(*plain.encode(["abcabcab", "zz", "a", ""]))[:, 0].tolist() == [2, 2, 1, 0]
+    assert language.Model({"l": ""}, table_bytes).predict(["ab", "𠀀"])[0] == ["l", "l"]
+
+
 def test_mix_budgets(spark):
     rows = [(i, "w " * 10, "a", "x") for i in range(10)] + [(100 + i, "w " * 10, "a", "y") for i in range(2)] + [(200 + i, "w " * 7, "b", "z") for i in range(30)] + [(300, None, "b", "z"), (301, "", None, None), (302, "w w", None, None), (None, "w " * 3, "b", "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
