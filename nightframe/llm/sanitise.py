@@ -123,7 +123,7 @@ def sanitise(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
     those of terms with the class that stands for them, empty for removal, as `value`."""
     ensure_checkpoint_dir(docs.sparkSession)
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), t.alias("text")).withColumn("key", F.md5("text"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), t.alias("text")).withColumn("key", F.unhex(F.md5("text")))
     bases = keyed.where(F.col("text").contains("@") | F.col("text").rlike("[0-9]"))
     bases = bases.select("key", *[base_spans(F.col("text"), k).alias(k) for k in KINDS])
     bases = bases.where(F.greatest(*[F.size(k) for k in KINDS]) > 0)
@@ -134,11 +134,10 @@ def sanitise(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
     met = bases.select("key", "n", F.explode("entities").alias("entity"))
     known = met.groupBy("entity").agg(F.sum("n").alias("n_e")).where(F.col("n_e") < total)
     met = checkpointed(met.join(known, "entity"))
-    most = met.agg(F.max("n_e")).first()[0] or 1
     held = small(bases.select("key"))
     near = keyed.join(held, "key", "left_semi").select("key", "text").dropDuplicates(["key"])
-    near = near.join(bases.select("key", "n", sorted_base().alias("base")), "key")
-    near = checkpointed(near.select("key", "n", blank(F.col("text"), F.col("base")).alias("rest")))
+    near = near.join(bases.select("key", "n", sorted_base().alias("base")), "key").join(met.groupBy("key").agg(F.max("n_e").alias("most")), "key", "left")
+    near = checkpointed(near.select("key", "n", F.coalesce("most", F.lit(1)).alias("most"), blank(F.col("text"), F.col("base")).alias("rest")))
 
     def share(n_et: Column, n_e: Column, n_t: Column) -> Column:
         p = n_e / float(max(total, 2))  # of fewer documents no entity is known
@@ -149,17 +148,16 @@ def sanitise(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
     far = keyed.join(held, "key", "left_anti").select("key", F.explode(_terms(F.col("text"))).alias("term"))
     words = far.select("term", F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("n_far"))
     words = words.unionByName(near.select(F.explode(_terms(F.col("rest"))).alias("term"), "n", F.lit(0).cast("long").alias("n_far")))
-    # of entities less frequent than a term, the most frequent is the one it can tell most of
-    counts = words.groupBy("term").agg(F.sum("n").alias("n_t"), F.sum("n_far").alias("n_far")).where((n_t <= most) | (share(F.lit(most), F.lit(most), n_t) >= generalise))
-    counts = checkpointed(counts)
-    by_near = near.select("key", F.explode(_terms(F.col("rest"))).alias("term"))
-    pairs = by_near.join(small(counts), "term").join(met, "key")
+    counts = words.groupBy("term").agg(F.sum("n").alias("n_t"), F.sum("n_far").alias("n_far"))
+    by_near = near.select("key", "most", F.explode(_terms(F.col("rest"))).alias("term"))
+    # of a text's entities less frequent than a term, the most frequent is the one it can tell most of
+    pairs = by_near.join(counts, "term").where((n_t <= F.col("most")) | (share(F.col("most"), F.col("most"), n_t) >= generalise)).drop("most").join(met, "key")
     pairs = pairs.where(share(F.least(n_e, n_t), n_e, n_t) >= generalise).groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"), F.first("n_far").alias("n_far"))
     told = pairs.withColumn("share", share(F.col("n_et"), n_e, n_t)).where(F.col("share") >= generalise)
     instead = F.when(F.col("share") >= remove, "").when(F.col("term").rlike("[0-9]"), "[NUMBER]").otherwise("[TERM]")
     told = checkpointed(told.groupBy("term").agg(F.min(instead).alias("instead"), F.first("n_far").alias("n_far")))
     # only terms that stand in documents without an entity are sought there
-    at = by_near.join(small(told), "term").unionByName(far.join(small(told.where("n_far > 0")), "term"))
+    at = by_near.drop("most").join(small(told), "term").unionByName(far.join(small(told.where("n_far > 0")), "term"))
     terms = checkpointed(at.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("term", "instead"))).alias("terms")))
     others = keyed.join(small(terms.select("key")), "key", "left_semi").join(held, "key", "left_anti").select("key", F.col("text").alias("rest")).dropDuplicates(["key"])
     hidden = near.select("key", "rest").unionByName(others).join(terms, "key")
