@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .aggregates import clipped_median, median
 
 KEY = "frame_id"
@@ -113,7 +114,7 @@ def components(mask: DataFrame) -> DataFrame:
         root = new.select(KEY, (F.col("least") % (1 << 20)).cast("int").alias("rx"), F.floor(F.col("least") / (1 << 20)).cast("int").alias("ry"), "x", "y", "label", "least")
         jump = new.select(KEY, F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("least").alias("further"))
         new = root.join(jump, [KEY, "rx", "ry"]).select(KEY, "x", "y", F.least("least", "further").alias("label"), F.col("label").alias("old"))
-        new = new.checkpoint()
+        new = checkpointed(new)
         if new.where("label <> old").isEmpty():
             return new.select(KEY, "x", "y", "label")
         nodes = new.drop("old")

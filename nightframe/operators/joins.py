@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sphere as S
+from ..session import spread, worked_out
 
 
 def _zones(low: Column, high: Column, size: float) -> Column:
@@ -19,7 +20,8 @@ def _zones(low: Column, high: Column, size: float) -> Column:
 
 
 def cone_join(stars: DataFrame, frames: DataFrame, radius_deg: float, ra: str = "ra_deg", dec: str = "dec_deg", ra0: str = "ra0", dec0: str = "dec0", cell_deg: float | None = None) -> DataFrame:
-    """Rows of stars within radius_deg of each frame's axis, with `axis_dot`.
+    """Rows of stars within radius_deg of each frame's axis, with `axis_dot` and the star's unit
+    vector `star_u`.
 
     The sky is cut into zones of declination and cells of right ascension. A frame takes all
     cells that its cone can touch: the wider the nearer to a pole, all of a zone at the pole,
@@ -36,19 +38,33 @@ def cone_join(stars: DataFrame, frames: DataFrame, radius_deg: float, ra: str =
     first, last = F.floor((F.col(ra0) - reach) / width), F.floor((F.col(ra0) + reach) / width)
     last = F.least(last, first + cells - 1)
     right = right.withColumn("cell", F.explode(F.transform(F.sequence(first.cast("int"), last.cast("int")), lambda c: F.pmod(c, F.lit(cells)))))
-    both = left.join(right, ["zone", "cell"]).drop("zone", "cell")
-    axis = S.dot(S.unit(F.col(ra0), F.col(dec0)), S.unit(F.col(ra), F.col(dec)))
-    return both.withColumn("axis_dot", axis).where(F.col("axis_dot") >= math.cos(math.radians(radius_deg)))
+    left = spread(left, "zone", "cell").withColumn("star_u", S.unit(F.col(ra), F.col(dec)).struct())
+    right = right.withColumn("frame_u", S.unit(F.col(ra0), F.col(dec0)).struct())
+    both = left.join(right, ["zone", "cell"])
+    return worked_out(both, axis_dot=S.dot(F.col("frame_u"), F.col("star_u"))).drop("zone", "cell", "frame_u").where(F.col("axis_dot") >= math.cos(math.radians(radius_deg)))
+
+
+def with_rotation(frames: DataFrame) -> DataFrame:
+    """frames with `rot`, worked out once a frame."""
+    return frames.withColumn("rot", S.rotation(F.col("ra0"), F.col("dec0"), F.col("roll")).struct())
+
+
+#: Of a star seen from a frame.
+CAMERA = ("cam_x", "cam_y", "cam_z")
+
+
+def with_camera(stars: DataFrame, frames: DataFrame, radius_deg: float) -> DataFrame:
+    """Cone join with the stars' camera vectors."""
+    near = cone_join(stars, with_rotation(frames), radius_deg)
+    return worked_out(near, **dict(zip(CAMERA, S.to_camera(F.col("rot"), F.col("star_u")), strict=True)))
 
 
 def stars_in_frames(stars: DataFrame, frames: DataFrame, radius_deg: float, k1: float = 0.0) -> DataFrame:
     """Cone join, projection and the frame's bounds: frame_id, the star's columns, x, y, w, h."""
-    near = cone_join(stars, frames, radius_deg)
-    rot = S.rotation(F.col("ra0"), F.col("dec0"), F.col("roll"))
-    near = near.withColumn("rot", rot).withColumn("cam", S.to_camera(F.col("rot"), S.unit(F.col("ra_deg"), F.col("dec_deg"))))
-    near = near.withColumn("px", S.project(F.col("cam"), F.col("focal"), F.lit(k1), F.col("w"), F.col("h")))
-    seen = near.where(S.in_bounds(F.col("px.x"), F.col("px.y"), F.col("w"), F.col("h")))
-    return seen.select("frame_id", *stars.columns, F.col("px.x").alias("x"), F.col("px.y").alias("y"), "w", "h")
+    near = with_camera(stars, frames, radius_deg)
+    seen, x, y = S.project(S.Vector(*map(F.col, CAMERA)), F.col("focal"), F.lit(k1), F.col("w"), F.col("h"))
+    px = worked_out(near.where(seen), x=x, y=y).where(S.in_bounds(F.col("x"), F.col("y"), F.col("w"), F.col("h")))
+    return px.select("frame_id", *stars.columns, "x", "y", "w", "h")
 
 
 def radius_join(left: DataFrame, right: DataFrame, keys: list[str], r: float, x: str = "x", y: str = "y", suffix: str = "_2") -> DataFrame:

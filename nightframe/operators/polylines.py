@@ -18,10 +18,10 @@ def segments(lines: DataFrame) -> DataFrame:
 def tessellate(lines: DataFrame, step_deg: float = 1.0) -> DataFrame:
     """Segments cut into pieces of at most step_deg along the great circle: line_id, seq, piece
     (0 for a line's first vertex only), ra, dec."""
-    s = segments(lines).withColumn("u", S.unit(F.col("ra"), F.col("dec"))).withColumn("v", S.unit(F.col("ra2"), F.col("dec2")))
+    s = segments(lines).withColumn("u", S.unit(F.col("ra"), F.col("dec")).struct()).withColumn("v", S.unit(F.col("ra2"), F.col("dec2")).struct())
     s = s.withColumn("pieces", F.greatest(F.lit(1), F.ceil(S.separation(F.col("u"), F.col("v")) / step_deg)).cast("int"))
     s = s.withColumn("piece", F.explode(F.sequence(F.lit(1), F.col("pieces"))))
-    s = s.withColumn("p", S.slerp(F.col("u"), F.col("v"), F.col("piece") / F.col("pieces")))
+    s = s.withColumn("p", S.slerp(F.col("u"), F.col("v"), F.col("piece") / F.col("pieces")).struct())
     ra, dec = S.ra_dec(F.col("p"))
     own = s.select("line_id", "seq", "piece", F.when(F.col("pieces") == 1, F.col("ra2")).otherwise(ra).alias("ra"), F.when(F.col("pieces") == 1, F.col("dec2")).otherwise(dec).alias("dec"))
     first = lines.withColumn("n", F.row_number().over(Window.partitionBy("line_id").orderBy("seq"))).where("n = 1")

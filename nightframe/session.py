@@ -1,4 +1,4 @@
-"""Getting the package to the executors."""
+"""What needs the session itself: getting the package to the executors, and checkpoints."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
@@ -21,3 +22,44 @@ def ship(spark: SparkSession) -> None:
     shutil.copytree(root, folder / "src" / root.name, ignore=shutil.ignore_patterns("__pycache__"))
     context.addPyFile(shutil.make_archive(str(folder / root.name), "zip", folder / "src"))
     _shipped.add(context.applicationId)
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """The folder of spark.checkpoint.dir. Where that is unset, a local session gets one of its
+    own, as in tests; a cluster needs a folder that all its machines share."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and context.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df.checkpoint(), after which the shuffle files that made it are deleted: nothing reads
+    them again, as the lineage is cut and the rows are in the shared folder."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        return df.select("*").checkpoint()  # the setting counts when a DataFrame is made
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """A table of fewer pieces than there are cores, dealt out by columns, as the join to come
+    multiplies its rows; larger ones as they are."""
+    context = df.sparkSession.sparkContext
+    return df.repartition(context.defaultParallelism, *by) if df.rdd.getNumPartitions() < context.defaultParallelism else df
+
+
+def worked_out(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns as a step of their own. Filters that follow read the values; Spark would
+    otherwise move them below the projection and repeat the expressions in each."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
