@@ -50,6 +50,11 @@ def join48(x: dict) -> np.ndarray:
     return (x["hi"].astype(U64) << U64(32)) | x["lo"].astype(U64)
 
 
+def narrow(n: np.ndarray) -> np.ndarray:
+    """Counts in the smallest type that holds them."""
+    return n.astype(np.min_scalar_type(int(n.max(initial=0))))
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POW.get("r", ())) < n:
         size = max(n, SLICE + 4096)
@@ -151,7 +156,7 @@ def anchor_messages(values_of: Callable[[Bucket], tuple[np.ndarray, np.ndarray]]
         begin, run = grouped(h)
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-        n = np.minimum(np.add.reduceat(new.astype(np.int64), begin), 255).astype(np.uint8)
+        n = narrow(np.add.reduceat(new.astype(np.int64), begin))
         return _dealt(key[0].as_py(), h[begin], parts, n=n)
 
     return send

@@ -8,8 +8,8 @@ the corpus sends one message a bucket, not one a document.
 
 from __future__ import annotations
 
-import pickle
-import tempfile
+import struct
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +19,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import checkpointed, ensure_checkpoint_dir, ship
 
 #: Bytes of text that one bucket holds on average, at most.
 BUCKET_BYTES = 32 << 20
-#: Rows of a table of ids or words that may be broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a table of ids or words that may be broadcast.
+BROADCAST_BYTES = 16 << 20
 #: Ids that are null sort after every other id.
 NULL_ID = np.iinfo(np.int64).max
 
@@ -35,36 +35,26 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The folder of spark.checkpoint.dir. Where that is unset, a local session gets one of its
-    own, as in tests; a cluster needs a folder that all its machines share."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and context.master.partition("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the checkpoint folder, for rows that are read more than once and
+    only in part; like checkpoints, the table stays until that folder is cleared."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df.checkpoint(), after which the shuffle files that made it are deleted: nothing reads
-    them again, as the lineage is cut and the rows are in the shared folder."""
-    spark = df.sparkSession
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
-    try:
-        return df.select("*").checkpoint()  # the setting counts when a DataFrame is made
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, to be broadcast if it has been counted to be small; else Spark joins it by a shuffle.
+    It is written first, so that counting does not work it out twice."""
+    df = checkpointed(df)
+    width = sum(_WIDTH.get(kind, 40) for _, kind in df.dtypes) + 16
+    return F.broadcast(df) if df.count() * width <= most else df
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, to be broadcast if it has been counted to be small; else Spark joins it by a shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+#: Bytes of a value in a broadcast table; those of other kinds count as 40.
+_WIDTH = {"int": 8, "bigint": 8, "double": 8, "boolean": 8}
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -84,19 +74,42 @@ def part_count(buckets: int) -> int:
 
 
 def bucketed(docs: DataFrame, n: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """bucket, doc_id, text. The same frame for every step, so that Spark reuses its exchange."""
-    ids = F.col(doc_id).cast("long")
-    return docs.select(
-        F.pmod(F.xxhash64(ids), F.lit(n)).cast("int").alias("bucket"), ids.alias("doc_id"), F.col(text).cast("string").alias("text")
-    )
+    """bucket, doc_id, text. The same frame for every step, so that Spark reuses its exchange.
+    The text counts as well, so rows that share an id, or have none, spread over all buckets."""
+    ids, t = F.col(doc_id).cast("long"), F.col(text).cast("string")
+    return docs.select(F.pmod(F.xxhash64(ids, t), F.lit(n)).cast("int").alias("bucket"), ids.alias("doc_id"), t.alias("text"))
+
+
+#: Messages of fewer bytes are not compressed.
+PLAIN = 200
 
 
 def pack(**arrays) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
+    """Arrays and bytes by name. A message has some ten bytes besides its values, as with many
+    buckets a message may hold a single hash."""
+    out = [b""]
+    for name, x in arrays.items():
+        if not isinstance(x, bytes):
+            x = np.atleast_1d(x)
+        kind, data = ("b", x) if isinstance(x, bytes) else (x.dtype.str[1:], x.tobytes())
+        out.append(struct.pack("<BBI", len(name), len(kind), len(data)) + name.encode() + kind.encode())
+        out.append(data)
+    flat = b"".join(out)
+    return b"\0" + flat if len(flat) < PLAIN else b"\1" + zstandard.ZstdCompressor(level=1).compress(flat)
 
 
 def unpack(data: bytes) -> dict:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+    flat = memoryview(data[1:] if data[0] == 0 else zstandard.ZstdDecompressor().decompress(data[1:]))
+    out, at = {}, 0
+    while at < len(flat):
+        n, k, size = struct.unpack_from("<BBI", flat, at)
+        at += 6
+        name, kind = bytes(flat[at : at + n]).decode(), bytes(flat[at + n : at + n + k]).decode()
+        at += n + k
+        raw = flat[at : at + size]
+        out[name] = bytes(raw) if kind == "b" else np.frombuffer(raw, kind)
+        at += size
+    return out
 
 
 class Bucket:

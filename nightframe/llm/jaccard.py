@@ -16,11 +16,12 @@ C. by falling hash.
 
 Candidates come from order B and must share prefix tokens under A and C as well before their
 sets are intersected. Pairs inside a bucket are decided there. Between buckets, each token's
-documents are linked like a chain first, then to the largest component that has the token;
-components of the links found make further pairs of one component needless, and all pairs of
-different components that share a token follow. So
-no link between different texts is lost, and a large group of near copies never becomes all
-of its pairs. Equal sets are one set.
+documents are linked like a chain first, and components of the links found make pairs of one
+component needless. Of a token that FEW documents have, all pairs of different components
+follow. The documents of a more frequent token are near copies, or share most of a passage;
+they are held against one of them and divided by the tokens in which they differ from it (see
+_recentred), again and again, so their pairs are never made. No link between different texts
+is lost. Equal sets are one set.
 
 Cases: a null text, or one without words, has no tokens and is linked with nothing; a text of
 fewer words than a shingle is one token; a null id takes no part in links and keeps its row;
@@ -46,9 +47,9 @@ SHINGLE, PART, WHOLE = 5, 75, 100
 BUCKET_BYTES = 8 << 20
 #: The share of its least overlap that a set must find in other sets' longer prefixes, as 1 / LONGER.
 LONGER = 6
-#: Before all pairs between components are tried, so many times PAIRS pairs at most of two
-#: components that share tokens are.
-TURNS, PAIRS = 3, 8
+#: Documents of a group, all of whose pairs are tried; larger groups are divided by what their
+#: documents differ in. After so many divisions all pairs of what is left are tried.
+FEW, TURNS = 16, 6
 U64 = np.uint64
 _MESSAGE = "part int, bucket int, data binary"
 
@@ -75,6 +76,13 @@ def longer_prefix(n: int, part: int, whole: int) -> int:
     return min(n, prefix(n, part, whole) - 1 + needed(n * whole // part, part, whole)) if n else 0
 
 
+def partners(n, place, part: int, whole: int):
+    """The least and the greatest size of a partner of a set of n tokens that has the first token
+    in common at this place: at most n - place tokens are shared, and part / (part + whole) of
+    both sizes at least."""
+    return -(-n * part // whole), np.minimum((n - place) * (part + whole) // part - n, n * whole // part)
+
+
 def similar(x: np.ndarray, y: np.ndarray, part: int, whole: int) -> bool:
     """Whether sorted sets are alike; prefixes under orders A and C are tried first."""
     p, q = prefix(len(x), part, whole), prefix(len(y), part, whole)
@@ -125,7 +133,7 @@ def _counted(bucket: int, h: np.ndarray, parts: int) -> pa.Table:
     h = np.sort(h)
     begin, _ = grouped(h)
     n = np.diff(np.r_[begin, len(h)])
-    return an._dealt(bucket, h[begin], parts, n=np.minimum(n, 255).astype(np.uint8))
+    return an._dealt(bucket, h[begin], parts, n=an.narrow(n))
 
 
 def _first(parts: int, shingle: int, part: int, whole: int):
@@ -201,7 +209,7 @@ def _third(parts: int, part: int, whole: int):
         f = np.concatenate([x["n"] for x in got]) if got else np.zeros(0, np.uint8)
         order = np.argsort(h)
         h, f = h[order], f[order]
-        entries: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        entries: list[tuple[np.ndarray, ...]] = []
         for i, x in enumerate(sets):
             if not len(h):
                 break
@@ -213,13 +221,11 @@ def _third(parts: int, part: int, whole: int):
             place = np.arange(n - len(shared), n)  # tokens of this set alone come first
             inside = place < prefix(n, part, whole)
             shared, place = shared[inside], place[inside]
-            # overlap of n - place tokens at most, and of part / (part + whole) * (n + m) at least
-            most = np.minimum((n - place) * (part + whole) // part - n, n * whole // part)
-            least = -(-n * part // whole)
+            least, most = partners(np.int64(n), place, part, whole)
             ok = most >= least
             if ok.any():
                 k = int(ok.sum())
-                entries.append((x[shared[ok]], np.full(k, i), np.full(k, n), np.full(k, least), most[ok]))
+                entries.append((x[shared[ok]], np.full(k, i), np.full(k, n), np.full(k, least), most[ok], place[ok]))
         rows: dict[str, list] = {c: [] for c in ("kind", "a", "b", "n", "data")}
 
         def add(kind: int, a=None, b=None, n=None, data=None) -> None:
@@ -227,9 +233,9 @@ def _third(parts: int, part: int, whole: int):
                 rows[c].append(v)
 
         if entries:
-            t, i, n, least, most = (np.concatenate(c) for c in zip(*entries, strict=True))
+            t, i, n, least, most, place = (np.concatenate(c) for c in zip(*entries, strict=True))
             order = np.lexsort((i, n, t))
-            t, i, n, least, most = (c[order] for c in (t, i, n, least, most))
+            t, i, n, least, most, place = (c[order] for c in (t, i, n, least, most, place))
             near = (t[1:] == t[:-1]) & (n[:-1] >= least[1:]) & (n[1:] <= most[:-1])
             union = Union()
             tried: set[tuple[int, int]] = set()
@@ -240,7 +246,7 @@ def _third(parts: int, part: int, whole: int):
                         union.join(x, y)
                         add(2, docs[x], docs[y])
             size = np.fromiter(map(len, sets), np.int32, len(sets))
-            entry = {"t": t, "i": i, "short": n * whole // part - most}
+            entry = {"t": t, "i": i, "place": place}
             add(3, data=_packed(entry, docs, size))
             root = np.fromiter(map(union.root, i.tolist()), np.int64, len(i))
             order = np.lexsort((root, t))
@@ -255,14 +261,15 @@ def _third(parts: int, part: int, whole: int):
 def _packed(entry: dict[str, np.ndarray], docs: list[int], size: np.ndarray) -> bytes:
     """Entries sorted by token; documents and their sizes are named once."""
     used, i = np.unique(entry["i"], return_inverse=True)
-    return pack(**an.split48(entry["t"]), i=i.astype(np.uint32), short=entry["short"].astype(np.uint32), doc=np.array(docs, np.int64)[used], n=size[used])
+    return pack(**an.split48(entry["t"]), i=i.astype(np.uint32), place=entry["place"].astype(np.uint32), doc=np.array(docs, np.int64)[used], n=size[used])
 
 
 def _unpacked(data: bytes, part: int, whole: int) -> dict[str, np.ndarray]:
-    """t, doc, n, least and most: the sizes of possible partners."""
+    """t, doc, n, place, and the least and most: the sizes of possible partners."""
     x = unpack(data)
-    n = x["n"][x["i"]].astype(np.int64)
-    return {"t": an.join48(x), "doc": x["doc"][x["i"]], "n": n, "least": -(-n * part // whole), "most": n * whole // part - x["short"]}
+    n, place = x["n"][x["i"]].astype(np.int64), x["place"].astype(np.int64)
+    least, most = partners(n, place, part, whole)
+    return {"t": an.join48(x), "doc": x["doc"][x["i"]], "n": n, "place": place, "least": least, "most": most}
 
 
 def _chain(part: int, whole: int):
@@ -281,11 +288,15 @@ def _chain(part: int, whole: int):
 
 
 def _entries(part: int, whole: int):
+    """As entries of a first group each: its token; of each document the excess of all tokens."""
+
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch["data"].to_pylist():
                 e = _unpacked(x, part, whole)
-                yield pa.RecordBatch.from_arrays([pa.array(e["t"].astype(np.int64)), pa.array(e["doc"]), *(pa.array(e[c].astype(np.int32)) for c in ("n", "least", "most"))], ["t", "doc", "n", "least", "most"])
+                excess = e["n"] * 2 * part
+                columns = [e["t"].astype(np.int64), e["doc"], e["n"].astype(np.int32), excess, (e["n"] - e["place"]).astype(np.int32), np.ones(len(excess), bool)]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["g", "doc", "n", "excess", "room", "far"])
 
     return entries
 
@@ -299,24 +310,88 @@ def _decide(part: int, whole: int):
     return decide
 
 
-def _between(entries: DataFrame, inner: DataFrame) -> DataFrame:
-    """Entries of the tokens that several components have, with their component c."""
-    entries = entries.select("t", "doc", "n", "least", "most").join(small(inner).withColumnRenamed("node", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc"))
-    mixed = checkpointed(entries.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("t"))
-    return checkpointed(entries.join(small(mixed), "t").select("t", "doc", "n", "least", "most", "c"))
+ENTRY = ["g", "doc", "n", "excess", "room", "far"]
 
 
-def _to_largest(entries: DataFrame, turn: int) -> DataFrame:
-    """Pairs a, b of one set of each component with one of the component that has most sets of
-    a token; of two components PAIRS pairs at most. They join large groups cheaply; what they
-    leave out, the search of all pairs finds."""
-    one = F.min(F.struct(F.xxhash64("doc", "t", F.lit(turn)).alias("h"), "doc", "n", "least", "most")).alias("x")
-    each = entries.groupBy("t", "c").agg(F.count(F.lit(1)).alias("sets"), one)
-    most = each.groupBy("t").agg(F.max(F.struct("sets", "c", "x")).alias("hub"))
-    met = each.join(most, "t").where("c <> hub.c and x.n between hub.x.least and hub.x.most and hub.x.n between x.least and x.most")
-    met = met.select("c", F.col("hub.c").alias("d"), F.col("x.doc").alias("a"), F.col("hub.x.doc").alias("b")).distinct()
-    nth = F.row_number().over(Window.partitionBy("c", "d").orderBy(F.xxhash64("a", "b"), "a", "b"))
-    return met.withColumn("nth", nth).where(F.col("nth") <= PAIRS).select("a", "b").distinct()
+def _between(entries: DataFrame, inner: DataFrame) -> DataFrame:
+    """Entries of groups of several components, with their component c and the group's size."""
+    entries = entries.select(ENTRY).join(inner.withColumnRenamed("node", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc")).drop("component")
+    mixed = entries.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("g", "size")
+    return checkpointed(entries.join(mixed, "g"))
+
+
+def _pairs(entries: DataFrame, part: int, whole: int) -> DataFrame:
+    """All pairs a, b of a group that are of different components and may be similar."""
+    other = entries.select("g", *[F.col(x).alias(f"{x}_2") for x in ("doc", "c", "excess", "room", "far")])
+    shared = 2 * (part + whole) * F.least("room", "room_2")
+    met = entries.join(other, "g").where((F.col("c") < F.col("c_2")) & (F.col("far") | F.col("far_2")) & (F.col("excess") + F.col("excess_2") <= shared))
+    return met.select(F.col("doc").alias("a"), F.col("doc_2").alias("b")).distinct()
+
+
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each member its size and the tokens in which it differs from its hub."""
+    for batch in batches:
+        hubs = {k: an.join48(unpack(d)) for k, d in dict(zip(batch["hub"].to_pylist(), batch["h"].to_pylist(), strict=True)).items()}
+        out, size = [], []
+        for k, d in zip(batch["hub"].to_pylist(), batch["x"].to_pylist(), strict=True):
+            x = an.join48(unpack(d))
+            out.append(np.setxor1d(x, hubs[k], assume_unique=True).astype(np.int64))
+            size.append(len(x))
+        at = np.zeros(len(out) + 1, np.int32)
+        np.cumsum([len(x) for x in out], out=at[1:])
+        tokens = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(out or [np.zeros(0, np.int64)])))
+        yield pa.RecordBatch.from_arrays([batch["hub"], batch["doc"], batch["own"], batch["c"], pa.array(size, pa.int32()), tokens], ["hub", "doc", "own", "c", "n", "tokens"])
+
+
+def _recentred(entries: DataFrame, sets: DataFrame, turn: int, part: int, whole: int) -> tuple[DataFrame, DataFrame]:
+    """Links, and entries of new groups, for groups too large for all their pairs.
+
+    One of a group's documents, of about the others' size, is its hub, and the hub's set, with
+    the members' votes on each token, its centre. With D(x) the tokens in which x differs from
+    the centre, x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| tokens. So they are similar if excess(x) + excess(y) is at most 2 (part + whole) |D(x) & D(y)|. Documents
+    near enough to that of least excess are linked with it. Any other pair must share tokens in
+    which both differ from the centre. Those are rare among the members, and prefixes of them, the
+    rarest first, make the new groups."""
+    step = 2 * (part + whole)
+    sized = F.floor(F.log(F.col("n").cast("double")) / float(np.log(whole / part))).cast("int")
+    # sizes of possible partners are in one class or in two that follow each other
+    classed = entries.select("g", "doc", "n", "c", F.explode(F.array(sized, sized + 1)).alias("class"))
+    hubs = classed.groupBy("g", "class").agg(F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), "doc")).alias("hub")).select("g", "class", F.col("hub.doc").alias("hub"))
+    members = checkpointed(classed.join(hubs, ["g", "class"]).select("hub", "doc", "c").distinct())
+    asked = small(members.select("doc").union(members.select("hub")).distinct())
+    own = checkpointed(sets.join(asked, "doc", "left_semi").select("doc", "data"))
+    centres = own.select(F.col("doc").alias("hub"), F.col("data").alias("h")).join(members.select("hub").distinct(), "hub", "left_semi").dropDuplicates(["hub"])
+    both = members.join(own.withColumnRenamed("data", "x"), "doc").join(centres, "hub").withColumn("own", F.xxhash64("x"))  # ids may repeat
+    found = checkpointed(both.select("hub", "doc", "own", "c", "x", "h").mapInArrow(_differences, "hub long, doc long, own long, c long, n int, tokens array<long>"))
+    # what most members have in common is moved into the centre, so that what is left is their own
+    votes = found.select("hub", F.explode("tokens").alias("token")).groupBy("hub", "token").agg(F.count(F.lit(1)).alias("votes"))
+    count = found.groupBy("hub").agg(F.count(F.lit(1)).alias("members"))
+    moved = votes.join(count, "hub").where("2 * votes > members").groupBy("hub").agg(F.collect_list("token").alias("moved"))  # at most two sets' tokens
+    found = found.join(moved, "hub", "left").withColumn("moved", F.coalesce("moved", F.array().cast("array<long>")))
+    found = found.withColumn("tokens", F.array_union(F.array_except("tokens", "moved"), F.array_except("moved", "tokens"))).drop("moved")
+    found = checkpointed(found.withColumn("excess", F.size("tokens") * F.lit(part + whole).cast("long") - F.col("n") * (whole - part)))
+    least = found.groupBy("hub").agg(F.min(F.struct("excess", "doc")).alias("least"))
+    found = found.join(least.select("hub", F.col("least.excess").alias("low"), F.col("least.doc").alias("nearest")), "hub")
+    found = found.withColumn("far", F.col("excess") + F.col("low") > 0)
+    links = found.where("not far and doc <> nearest").select(F.col("doc").alias("a"), F.col("nearest").alias("b"))
+    # far ones meet far ones in groups of one kind, and near ones in groups of the other
+    lows = found.where("size(tokens) > 0").groupBy("hub").agg(F.min(F.when(F.col("far"), F.col("excess"))).alias("low_far"), F.min(F.when(~F.col("far"), F.col("excess"))).alias("low_near")).where("low_far is not null")
+    found = found.join(lows, "hub").withColumn("d", F.size("tokens"))
+    need = lambda low: F.greatest(F.lit(1), F.ceil((F.col("excess") + low) / step))
+    found = found.withColumn("with_far", need(F.col("low_far"))).withColumn("with_near", F.when(F.col("far"), need(F.col("low_near"))))
+    found = found.where(F.least("with_far", "with_near") <= F.col("d"))
+    each = checkpointed(found.select("hub", "doc", "own", "n", "c", "excess", "far", "d", "with_far", "with_near", F.explode("tokens").alias("token")))
+    often = each.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("often"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("far").alias("any")).where("lo < hi and any").select("hub", "token", "often")
+    shared = each.join(often, ["hub", "token"])
+    one = Window.partitionBy("hub", "doc", "own")
+    nth = F.row_number().over(one.orderBy("often", "token"))
+    place = F.col("d") - F.count(F.lit(1)).over(one) + nth - 1  # tokens of one component alone come first
+    placed = shared.withColumn("room", (F.col("d") - place).cast("int")).where("room >= least(with_far, with_near)")
+    far_far, other = F.col("far") & (F.col("room") >= F.col("with_far")), F.when(F.col("far"), F.col("room") >= F.col("with_near")).otherwise(F.col("room") >= F.col("with_far"))
+    new = placed.withColumn("kind", F.explode(F.array_compact(F.array(F.when(far_far, 0), F.when(other, 1)))))
+    new = checkpointed(new.withColumn("g", F.xxhash64("hub", "token", "kind")).select("kind", *ENTRY))
+    met = new.where("kind = 1").groupBy("g").agg(F.min("far").alias("lo"), F.max("far").alias("hi")).where("lo <> hi").select("g")
+    return links, new.where("kind = 0").select(ENTRY).union(new.where("kind = 1").join(met, "g", "left_semi").select(ENTRY))
 
 
 def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, part: int = PART, whole: int = WHOLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -350,16 +425,20 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, part: int = PART, wh
     links = third.where("kind = 2").select("a", "b").union(copies).union(alike(chained))
     inner = components(links)
 
-    entries = third.where("kind = 3").select("data").mapInArrow(_entries(part, whole), "t long, doc long, n int, least int, most int")
+    entries = third.where("kind = 3").select("data").mapInArrow(_entries(part, whole), "g long, doc long, n int, excess long, room int, far boolean")
     entries = _between(entries, inner)
     for turn in range(TURNS):
-        new = checkpointed(alike(_to_largest(entries, turn)))
-        if new.isEmpty():
+        few = entries.where(F.col("size") <= FEW)
+        links = alike(_pairs(few, part, whole))
+        crowd = entries.where(F.col("size") > FEW)
+        done = crowd.isEmpty()
+        if not done:
+            direct, entries = _recentred(crowd, remaining, turn, part, whole)
+            links, entries = links.union(direct), checkpointed(entries)
+        inner = components(inner.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
+        if done:
             break
-        inner = components(inner.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new))
         entries = _between(entries, inner)
-    other = entries.select("t", *[F.col(x).alias(f"{x}_2") for x in ("doc", "n", "least", "most", "c")])
-    across = entries.join(other, (entries["t"] == other["t"]) & (F.col("c") < F.col("c_2")) & F.col("n").between(F.col("least_2"), F.col("most_2")) & F.col("n_2").between(F.col("least"), F.col("most")))
-    across = across.select(F.col("doc").alias("a"), F.col("doc_2").alias("b")).distinct()
-    final = components(inner.select(F.col("node").alias("a"), F.col("component").alias("b")).union(alike(across)))
-    return rows.join(small(final).withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    else:
+        inner = components(inner.select(F.col("node").alias("a"), F.col("component").alias("b")).union(alike(_pairs(entries, part, whole))))
+    return rows.join(small(inner).withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

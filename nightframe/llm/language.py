@@ -6,9 +6,9 @@ fewer phrases, times the bits to name a place in the labelled text, for each sym
 nearer the language. The automaton is written as a table of steps over the symbols that its
 language has, and a task walks all segments of its documents through it in lockstep.
 
-Training: at most TRAIN_CHARS characters of whole texts a language, from at most TRAIN_ROWS
-labelled rows a language, chosen by a hash of their id. Letters are lower-cased; runs of other
-characters count as one space. Parsing begins anew every SEGMENT symbols.
+Training: at most TRAIN_ROWS labelled rows a language, whole texts of at most TRAIN_CHARS
+characters, chosen by a hash of their id. Letters are lower-cased; runs of other characters
+count as one space. A text is parsed from its first symbol to its last.
 
 Cases: a null text and one without letters is `und` with score 0; ties go to the language that
 sorts first; with no labelled rows every document is `und`; ids may be null or repeated; extra
@@ -25,10 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TRAIN_ROWS, TRAIN_CHARS = 60, 20_000
+from .blocks import small
+
+TRAIN_ROWS, TRAIN_CHARS = 16, 4_000
 #: Bytes of all languages' step tables together; an automaton too large for its share is walked
 #: by its sorted steps instead.
 TABLE_BYTES = 256 << 20
+#: Symbols that are parsed one after another; more pieces of a text go side by side.
 SEGMENT = 256
 #: Characters of texts that are parsed at once.
 CHUNK = 1 << 20
@@ -164,29 +167,63 @@ class Model:
         return s[keep], total[np.minimum(ends, len(s))] - total[np.minimum(begin, len(s))]
 
     def phrases(self, symbols: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Phrases of each text (row) against each language (column)."""
+        """Phrases of each text (row) against each language (column).
+
+        All segments are parsed together, each as if a phrase began there. Then the phrase that
+        was running at the end of the segment before goes on into it, until both parses are in
+        one state, as they mostly are after a few phrases: from there on they agree. A text with
+        a segment where they never meet is parsed again from its beginning."""
         n = -(-size // SEGMENT)
         of = np.repeat(np.arange(len(size)), n)
         nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
         begin = np.repeat(np.cumsum(size) - size, n) + nth * SEGMENT
         length = np.minimum(SEGMENT, np.repeat(size, n) - nth * SEGMENT)
+        last = nth == np.repeat(n, n) - 1
         order = np.argsort(-length, kind="stable")
-        begin, length, of = begin[order], length[order], of[order]
-        out = np.zeros((len(size), len(self.languages)))
         wide = np.r_[symbols, np.zeros(SEGMENT, symbols.dtype)]
-        for lo in range(0, len(of), 8192):
-            b, m, o = begin[lo : lo + 8192], length[lo : lo + 8192], of[lo : lo + 8192]
-            columns = np.ascontiguousarray(wide[b[:, None] + np.arange(int(m[0]))[None, :]].T).astype(np.int32)
-            live = np.searchsorted(-m, -np.arange(1, int(m[0]) + 1), side="right")
-            for k, (table, own) in enumerate(zip(self.tables, self.own, strict=True)):
-                state, count = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
-                for column, a in zip(columns, live.tolist(), strict=True):
-                    state[:a], ends = table(state[:a], own[column[:a]])
-                    count[:a] += ends
-                count += state != 0
-                out[:, k] += np.bincount(o, count, len(size))
+        columns = np.ascontiguousarray(wide[begin[order][:, None] + np.arange(SEGMENT)[None, :]].T)
+        length, first, last, before = length[order], nth[order] == 0, last[order], order - 1
+        live = np.searchsorted(-length, -np.arange(1, SEGMENT + 1), side="right")
+        out = np.zeros((len(size), len(self.languages)))
+        for k, (table, own) in enumerate(zip(self.tables, self.own, strict=True)):
+            states, counts = np.full(columns.shape, -1, np.int32), np.zeros(columns.shape, np.int32)
+            state, count = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+            for i, a in enumerate(live.tolist()):
+                state[:a], ends = table(state[:a], own[columns[i, :a]])
+                count[:a] += ends
+                states[i, :a], counts[i, :a] = state[:a], count[:a]
+            at_end = np.empty(len(order), np.int64)
+            at_end[order] = state
+            rows = np.flatnonzero(~first)
+            run, more = at_end[before[rows]], np.zeros(len(rows), np.int64)
+            lost: set[int] = set()
+            for i in range(SEGMENT):
+                rows, run, more = (x[run != -1] for x in (rows, run, more))
+                if not len(rows):
+                    break
+                run, ends = table(run, own[columns[i, rows]])
+                more = more + ends
+                met = run == states[i, rows]
+                count[rows[met]] += more[met] - counts[i, rows[met]]
+                over = ~met & (length[rows] == i + 1)
+                tail = over & last[rows]  # the text ends before they meet
+                count[rows[tail]], state[rows[tail]] = more[tail], run[tail]
+                lost.update(of[order[rows[over & ~tail]]].tolist())
+                run = np.where(met | over, -1, run)
+            total = np.bincount(of[order], count + (last & (state != 0)), len(size))
+            for t in lost:
+                total[t] = self._walk(table, own[symbols[size[:t].sum() : size[: t + 1].sum()]])
+            out[:, k] = total
         return out
 
+    @staticmethod
+    def _walk(table, text: np.ndarray) -> int:
+        state, count = np.zeros(1, np.int64), 0
+        for i in range(len(text)):
+            state, ends = table(state, text[i : i + 1])
+            count += int(ends[0])
+        return count + int(state[0] != 0)
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Languages and scores; texts are taken CHUNK characters at a time, at least one."""
         lang: list[str] = []
@@ -226,16 +263,17 @@ def _is_letter(codes: np.ndarray) -> np.ndarray:
     return np.array([chr(c).isalpha() for c in distinct.tolist()], bool)[inverse] if len(distinct) else np.zeros(0, bool)
 
 
-def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
-    """From rows with a text and a language: bounded, and the same rows every time."""
-    ok = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.xxhash64(F.col(doc_id).cast("string")).alias("h"), F.col(text).alias("text"))
+def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS, most: int = TRAIN_CHARS) -> Model:
+    """From whole rows with a text and a language: bounded, and the same rows every time. A row
+    of more than `most` characters is not chosen."""
+    ok = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & (F.length(text) <= most)).select(F.col(lang).alias("lang"), F.xxhash64(F.col(doc_id).cast("string")).alias("h"), F.col(text).alias("text"))
     # the choice is made without the texts; then only those of the chosen rows are fetched
     chosen = ok.select("lang", "h", F.xxhash64("text").alias("t")).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))).where(F.col("n") <= rows).select("lang", "h", "t").distinct()
-    got = ok.withColumn("t", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "h", "t"], "left_semi").select("lang", "h", "t", F.substring("text", 1, chars).alias("text"))
+    got = ok.withColumn("t", F.xxhash64("text")).join(small(chosen), ["lang", "h", "t"], "left_semi").select("lang", "h", "t", "text")
     texts: dict[str, list] = {}
     for r in got.toLocalIterator():
         texts.setdefault(r.lang, []).append((r.h, r.t, r.text))
-    return Model({k: "\n".join(dict.fromkeys(t for _, _, t in sorted(v))).lower().replace("\n", " ")[:chars] for k, v in texts.items()})
+    return Model({k: "\n".join(dict.fromkeys(t for _, _, t in sorted(v))).lower().replace("\n", " ") for k, v in texts.items()})
 
 
 def _predictor(model):

@@ -13,7 +13,7 @@ in which range it ends, and only that range is put in order.
 
 Cases: a null path value is the value "(none)"; documents without tokens, or with a null text,
 are never taken; equal ids of one leaf tie by tokens; siblings tie by name; extra columns are
-carried in `row`; an empty table gives an empty result. Weights are whole and positive; nodes
+carried in `row`, whatever their names; an empty table gives an empty result. Weights are whole and positive; nodes
 without a weight have 1.
 """
 
@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import checkpointed, small, written
+
 NONE = "(none)"
 
 
@@ -60,7 +62,7 @@ def divide(nodes: DataFrame, parent: list[str]) -> DataFrame:
 
 def budgets(leaves: DataFrame, path: list[str], weights: dict[tuple[str, ...], int], total: Column, epochs: int) -> DataFrame:
     """leaves: path columns and supply (tokens). Adds share (tokens to take). total: a column
-    over supply, the sum of all leaves'."""
+    over supply, the sum of all leaves'. Each level is written before the next one divides it."""
     table = weights_table(leaves, path, weights)
     given = leaves.groupBy().agg(F.coalesce(F.sum("supply"), F.lit(0)).alias("supply")).select(F.least(total.cast("long"), F.col("supply") * epochs).alias("budget"))
     for depth in range(1, len(path) + 1):
@@ -68,19 +70,20 @@ def budgets(leaves: DataFrame, path: list[str], weights: dict[tuple[str, ...], i
         nodes = leaves.groupBy(*own).agg((F.sum("supply") * epochs).alias("capacity"))
         nodes = nodes.join(given, parent) if parent else nodes.crossJoin(F.broadcast(given))  # one row
         weight = table.where(F.col("depth") == depth).select("node", F.col("weight").alias("own_weight"))
-        nodes = nodes.withColumn("node", F.array(*own)).join(weight, "node", "left").withColumn("weight", F.coalesce("own_weight", F.lit(1).cast("long")))
-        given = divide(nodes.withColumn("name", F.col(own[-1])), parent).select(*own, F.col("share").alias("budget"))
+        nodes = nodes.withColumn("node", F.array(*own)).join(F.broadcast(weight), "node", "left").withColumn("weight", F.coalesce("own_weight", F.lit(1).cast("long")))  # weights are a parameter
+        given = checkpointed(divide(nodes.withColumn("name", F.col(own[-1])), parent).select(*own, F.col("share").alias("budget")))
     return leaves.join(given, path).withColumnRenamed("budget", "share")
 
 
-def mix(docs: DataFrame, path: dict[str, Column], weights: dict[tuple[str, ...], int], total: Column, tokens: Column, doc_id: str = "doc_id", seed: int = 0, epochs: int = 3) -> DataFrame:
-    """row (the columns of docs), the path columns, n_tokens, epoch and taken: a row for each
-    time that a document is read. path: the tree's levels, from the top."""
+def mix(docs: DataFrame, path: dict[str, Column], weights: dict[tuple[str, ...], int], total: Column, tokens: Column, doc_id: str = "doc_id", seed: int = 0, epochs: int = 3, keep: list[str] | None = None) -> DataFrame:
+    """row (the columns of docs, or those named), the path columns, n_tokens, epoch and taken: a
+    row for each time that a document is read. path: the tree's levels, from the top. Tokens are
+    counted once, and the rows written with their counts."""
     own = [f"path_{i}" for i in range(len(path))]
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[F.coalesce(x.cast("string"), F.lit(NONE)).alias(n) for n, x in zip(own, path.values(), strict=True)], tokens.alias("n_tokens"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id"))
-    base = base.where(F.col("n_tokens") > 0)
-    leaves = base.groupBy(*own).agg(F.sum("n_tokens").alias("supply"))
-    plan = budgets(leaves, own, weights, total, epochs).select(*own, F.expr("cast(share div supply as int)").alias("whole"), F.expr("share % supply").alias("rest"))
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), *[F.coalesce(x.cast("string"), F.lit(NONE)).alias(n) for n, x in zip(own, path.values(), strict=True)], tokens.alias("n_tokens"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id"))
+    base = written(base.where(F.col("n_tokens") > 0))
+    leaves = checkpointed(base.groupBy(*own).agg(F.sum("n_tokens").alias("supply")))
+    plan = small(budgets(leaves, own, weights, total, epochs).select(*own, F.expr("cast(share div supply as int)").alias("whole"), F.expr("share % supply").alias("rest")))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col("whole") + 1).cast("string"), F.col("id")))
     keyed = base.join(plan, own).withColumn("key", key)
     # token sums over ranges of the hash; of each leaf, the range in which its prefix ends
@@ -91,7 +94,7 @@ def mix(docs: DataFrame, path: dict[str, Column], weights: dict[tuple[str, ...],
         F.struct(F.lit(0).cast("long").alias("before"), F.lit(None).cast("string").alias("cut")),
         lambda s, x: F.when(s["cut"].isNotNull(), s).when(s["before"] + x["n"] >= F.col("rest"), F.struct(s["before"].alias("before"), x["range"].alias("cut"))).otherwise(F.struct((s["before"] + x["n"]).alias("before"), s["cut"].alias("cut"))),
     )
-    ends = ends.withColumn("end", state).select(*own, F.col("end.before").alias("before"), F.col("end.cut").alias("cut"))
+    ends = small(ends.withColumn("end", state).select(*own, F.col("end.before").alias("before"), F.col("end.cut").alias("cut")))
     placed = keyed.join(ends, own, "left")
     last = F.col("whole") + 1
     whole = placed.withColumn("epoch", F.explode(F.expr("case when cut is not null and substring(key, 1, 3) < cut then sequence(1, whole + 1) when whole > 0 then sequence(1, whole) else cast(array() as array<int>) end"))).withColumn("taken", F.col("n_tokens"))

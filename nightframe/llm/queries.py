@@ -69,14 +69,14 @@ MIX_PARTS = (1, 2)
 MIX_SEED, MIX_EPOCHS = 17, 3
 
 
-def mixed(docs: DataFrame) -> DataFrame:
+def mixed(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     path = {"domain": F.expr(DOMAIN.replace("cast(", "try_cast(")), "lang": F.col("lang"), "source": F.col("source")}
     total = F.expr(f"supply * {MIX_PARTS[0]} div {MIX_PARTS[1]}")
-    return mixing.mix(docs, path, MIX, total, mixing.word_count(F.col("text")), seed=MIX_SEED, epochs=MIX_EPOCHS)
+    return mixing.mix(docs, path, MIX, total, mixing.word_count(F.col("text")), seed=MIX_SEED, epochs=MIX_EPOCHS, keep=keep)
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixed(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    rows = mixed(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), keep=["doc_id"])
     return rows.select(F.col("row.doc_id").alias("doc_id"), "domain", "lang", "source", "n_tokens", "epoch", "taken")
 
 
