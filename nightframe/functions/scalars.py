@@ -40,12 +40,12 @@ def ranged(x: Column, lo: float, hi: float) -> Column:
 
 def words_list(x: Column, sep: str = ",") -> Column:
     """Trimmed parts of a list, without empty ones."""
-    return F.filter(F.transform(F.split(x, sep), F.trim), lambda v: v != "")
+    return F.filter(F.transform(F.split(x, sep), lambda v: F.trim(v)), lambda v: v != "")
 
 
 def quaternion(x: Column) -> Column:
     """Four doubles, or null unless there are exactly four numbers."""
-    parts = F.transform(F.split(x, ","), number)
+    parts = F.transform(F.split(x, ","), lambda v: number(v))
     return F.when((F.size(parts) == 4) & ~F.exists(parts, lambda v: v.isNull()), parts)
 
 
@@ -68,7 +68,7 @@ IMAGE_TYPES = ("png", "jpg", "jpeg", "bmp", "tif", "tiff")
 def exposure(stem: Column) -> Column:
     """What follows "Exp-" up to "_", else the last "_" part like 10ms, 2s or 1m, else null."""
     named = F.regexp_extract(stem, r"Exp-([^_]+)", 1)
-    last = F.element_at(F.filter(F.split(stem, "_"), lambda p: p.rlike(r"^[0-9]+(ms|s|m)$")), -1)
+    last = F.try_element_at(F.filter(F.split(stem, "_"), lambda p: p.rlike(r"^[0-9]+(ms|s|m)$")), F.lit(-1))
     return F.when(named != "", named).otherwise(last)
 
 

@@ -1,7 +1,6 @@
 """Aggregates: every definition of a percentile by its own name, summaries, track statistics.
 
-Exact order statistics gather a group's values. Where one group may be large, use
-`ordered_value`, which counts ranks with a histogram of values first and gathers nothing.
+Order statistics count each distinct value first and gather no group.
 """
 
 from __future__ import annotations
@@ -19,39 +18,24 @@ def linear_percentile(x: Column, p: float) -> Column:
     return F.percentile(x, F.lit(min(max(p, 0.0), 100.0) / 100.0))
 
 
-def _sorted(x: Column) -> Column:
-    return F.sort_array(F.collect_list(x))
+#: 0-based places in a group of n sorted values, by the name of the definition.
+PLACES = {
+    "nearest": lambda n, p: F.round((n - 1) * F.lit(p)),  # half away from zero
+    "half_even": lambda n, p: F.bround((n - 1) * F.lit(p)),
+    "floor": lambda n, p: F.floor((n - 1) * F.lit(p)),
+    "count": lambda n, p: F.least(F.floor(n * F.lit(p)), n - 1),  # n * p, at most the last
+}
 
 
-def _at(values: Column, index: Column) -> Column:
-    return F.when(F.size(values) > 0, F.element_at(values, F.greatest(F.lit(1), F.least(F.size(values), index.cast("int") + 1))))
-
-
-def nearest_rank(x: Column, p: float) -> Column:
-    """Index rounded half away from zero."""
-    v = _sorted(x)
-    return _at(v, F.round((F.size(v) - 1) * F.lit(p)))
-
-
-def half_even_rank(x: Column, p: float) -> Column:
-    """Index rounded half to even."""
-    v = _sorted(x)
-    return _at(v, F.bround((F.size(v) - 1) * F.lit(p)))
-
-
-def floor_rank(x: Column, p: float) -> Column:
-    v = _sorted(x)
-    return _at(v, F.floor((F.size(v) - 1) * F.lit(p)))
-
-
-def count_rank(x: Column, p: float) -> Column:
-    """Index n * p, rounded down, at most the last."""
-    v = _sorted(x)
-    return _at(v, F.least(F.floor(F.size(v) * F.lit(p)), (F.size(v) - 1).cast("long")))
-
-
-def upper_median(x: Column) -> Column:
-    return count_rank(x, 0.5)
+def ranked_values(df: DataFrame, keys: list[str], x: str, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """Order statistics without interpolation: of each group one column for each of wanted, name:
+    (definition, p). Values are counted first, so a group of any size becomes its distinct
+    values; groups without values have no row."""
+    counts = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("c"))
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
+    counts = counts.withColumn("upto", F.sum("c").over(group.orderBy(x))).withColumn("n", F.sum("c").over(group))
+    at = lambda place: F.when((F.col("upto") > place) & (F.col("upto") - F.col("c") <= place), F.col(x))
+    return counts.groupBy(*keys).agg(*[F.max(at(PLACES[kind](F.col("n"), p))).alias(name) for name, (kind, p) in wanted.items()])
 
 
 def stat_block(x: Column, prefix: str = "") -> list[Column]:
@@ -64,22 +48,6 @@ def stat_block(x: Column, prefix: str = "") -> list[Column]:
     ]
 
 
-def distribution(x: Column, prefix: str = "") -> list[Column]:
-    """median and p95 by nearest rank, and max; 0 for none."""
-    zero = F.lit(0.0)
-    return [F.coalesce(nearest_rank(x, 0.5), zero).alias(f"{prefix}median"), F.coalesce(nearest_rank(x, 0.95), zero).alias(f"{prefix}p95"), F.coalesce(F.max(x), zero).alias(f"{prefix}max")]
-
-
-def ordered_value(df: DataFrame, keys: list[str], x: str, index: Column, name: str) -> DataFrame:
-    """Of each group the value at a 0-based index, a column of `n`, the group's count. Values
-    are counted first, so a group of any size becomes its distinct values."""
-    counts = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("c"))
-    upto = Window.partitionBy(*keys).orderBy(x)
-    counts = counts.withColumn("upto", F.sum("c").over(upto)).withColumn("n", F.sum("c").over(Window.partitionBy(*keys)))
-    hit = counts.where((F.col("upto") > index) & (F.col("upto") - F.col("c") <= index))
-    return hit.select(*keys, F.col(x).alias(name))
-
-
 def mad_sigma(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     """keys, median, mad and sigma = 1.4826 * mad."""
     mid = df.groupBy(*keys).agg(median(F.col(x)).alias("median"))
@@ -88,11 +56,14 @@ def mad_sigma(df: DataFrame, keys: list[str], x: str) -> DataFrame:
 
 
 def clipped_median(df: DataFrame, keys: list[str], x: str, rounds: int = 3, width: float = 3.0) -> DataFrame:
-    """Median after dropping, so many times, what is more than width sigmas off."""
+    """Median after dropping, so many times, what is more than width sigmas off; a round that
+    would drop all keeps all."""
     kept = df.select(*keys, x)
     for _ in range(rounds):
         s = mad_sigma(kept, keys, x)
-        kept = kept.join(s, keys).where(F.abs(F.col(x) - F.col("median")) <= width * F.col("sigma")).select(*keys, x)
+        near = kept.join(s, keys).withColumn("near", F.abs(F.col(x) - F.col("median")) <= width * F.col("sigma"))
+        near = near.withColumn("some", F.max("near").over(Window.partitionBy(*keys)))
+        kept = near.where("near or not some").select(*keys, x)
     return kept.groupBy(*keys).agg(median(F.col(x)).alias("median"))
 
 
@@ -155,6 +126,6 @@ def drift(current: DataFrame, repeated: DataFrame, metrics: list[str]) -> DataFr
 
 
 def most_common(df: DataFrame, key: str, seq: str) -> DataFrame:
-    """Values with their counts; equal counts in the order of first sight, as `rank`."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(seq).alias("first"))
-    return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "first"))).drop("first")
+    """Values with their counts `n` and `first`, where each was seen first: reports order them by
+    falling count, then first sight."""
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(seq).alias("first"))

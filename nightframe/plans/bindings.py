@@ -116,6 +116,11 @@ def unit_sql(ra: str, dec: str) -> tuple[str, str, str]:
     return f"(cos(radians({dec})) * cos(radians({ra})))", f"(cos(radians({dec})) * sin(radians({ra})))", f"sin(radians({dec}))"
 
 
+def R(x):
+    """Rounded to 6 places as both engines do it."""
+    return F.round(x * 1e6) / 1e6 + 0.0
+
+
 def r6(x: str) -> str:
     return f"(round(({x}) * 1e6) / 1e6 + 0.0)"
 

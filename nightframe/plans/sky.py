@@ -9,15 +9,10 @@ from ..functions import scalars as C
 from ..functions import sphere as S
 from ..operators import aggregates as A
 from ..operators import joins, matching
-from .bindings import FOCAL, HEIGHT, WIDTH, r6, unit_sql
+from .bindings import FOCAL, HEIGHT, WIDTH, R, r6, unit_sql
 from .registry import query
 
 
-def R(x):
-    """Rounded to 6 places as both engines do it."""
-    return F.round(x * 1e6) / 1e6 + 0.0
-
-
 def named(v: S.Vector) -> list:
     return [R(x).alias(c) for c, x in zip("xyz", v, strict=True)]
 
