@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .aggregates import clipped_median, median
+from .aggregates import clipped_median, mad_sigma, median, ranked_values
 
 KEY = "frame_id"
 AROUND = [(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dx, dy) != (0, 0)]
@@ -147,18 +147,54 @@ def blob_shapes(blobs: DataFrame) -> DataFrame:
     return out.withColumn("elongation", F.when(F.col("flux") <= 0, 1.0).otherwise(longer)).drop("mxx", "myy", "mxy")
 
 
-def reject_reason(border: int, size: tuple[int, int], least_area: int, least_peak: float, most_area: int, most_elongation: float) -> Column:
-    """The first filter that a blob fails, or null: border, small, faint, large, elongated."""
+def reject_reason(border: int, size: tuple[int, int], least_area: int, least_peak: float, most_area: int, most_elongation: float, diffuse_area: int, least_concentration: float, saturated: float) -> Column:
+    """The first filter that a blob fails, or null: border, small, faint, large, elongated,
+    diffuse (its light is spread evenly, and it is neither saturated nor large)."""
     edge = (F.col("min_x") < border) | (F.col("min_y") < border) | (F.col("max_x") >= size[0] - border) | (F.col("max_y") >= size[1] - border)
+    concentration = F.col("peak") * F.col("area") / F.greatest(F.col("flux"), F.lit(1e-9))
     return (
         F.when(edge, "border")
         .when(F.col("area") < least_area, "small")
         .when(F.col("peak") < least_peak, "faint")
         .when(F.col("area") > most_area, "large")
         .when((F.col("area") >= 6) & (F.col("elongation") > most_elongation), "elongated")
+        .when((F.col("area") >= diffuse_area) & (F.col("peak") < saturated) & (concentration < least_concentration), "diffuse")
     )
 
 
+def half_peak_cores(blobs: DataFrame, most_area: int) -> DataFrame:
+    """Pixels of blobs; of those with more pixels than most_area only the ones of half the peak or more."""
+    own = Window.partitionBy(KEY, "label")
+    out = blobs.withColumn("peak", F.max("v").over(own)).withColumn("area", F.count(F.lit(1)).over(own))
+    return out.where((F.col("area") <= most_area) | (F.col("v") >= 0.5 * F.col("peak"))).drop("peak", "area")
+
+
+def noise_sigma(pixels: DataFrame, size: tuple[int, int], border: int, floor: float) -> DataFrame:
+    """frame_id, sigma: 1.4826 times the median deviation of the pixels within the border; where
+    that is below the floor, half of what lies between the median and the quantile 0.9772, and
+    the floor at least."""
+    inside = pixels.where(F.col("x").between(border, size[0] - 1 - border) & F.col("y").between(border, size[1] - 1 - border))
+    spread = ranked_values(inside, [KEY], "v", {"mid": ("floor", 0.5), "upper": ("floor", 0.9772)})
+    both = mad_sigma(inside, [KEY], "v").join(spread, KEY)
+    wide = F.greatest((F.col("upper") - F.col("mid")) / 2.0, F.lit(floor))
+    return both.select(KEY, F.when(F.col("sigma") >= floor, F.col("sigma")).otherwise(wide).alias("sigma"))
+
+
+def refine_centroids(points: DataFrame, pixels: DataFrame, item: str, half: int = 5, sigma: float = 1.5, rounds: int = 3) -> DataFrame:
+    """points (frame_id, item, x, y) moved, so many times, to the mean of the bright pixels of a
+    window around each, weighted by brightness and a Gaussian of the distance."""
+    bright = pixels.where("v > 0").select(KEY, F.col("x").alias("px"), F.col("y").alias("py"), "v")
+    around = lambda c: F.explode(F.sequence(F.round(c).cast("int") - half, F.round(c).cast("int") + half))
+    out = points.select(KEY, item, "x", "y")
+    for _ in range(rounds):
+        near = out.withColumn("px", around(F.col("x"))).withColumn("py", around(F.col("y"))).join(bright, [KEY, "px", "py"])
+        d2 = F.pow(F.col("px") - F.col("x"), 2) + F.pow(F.col("py") - F.col("y"), 2)
+        near = near.withColumn("w", F.col("v") * F.exp(-d2 / (2.0 * sigma * sigma)))
+        moved = near.groupBy(KEY, item).agg((F.sum(F.col("w") * F.col("px")) / F.sum("w")).alias("mx"), (F.sum(F.col("w") * F.col("py")) / F.sum("w")).alias("my"))
+        out = out.join(moved, [KEY, item], "left").select(KEY, item, F.coalesce("mx", "x").alias("x"), F.coalesce("my", "y").alias("y"))
+    return out
+
+
 def dilation_ring(blobs: DataFrame) -> DataFrame:
     """Pixels around each blob that are not its own, once for each pixel of the blob that they touch."""
     return scatter(blobs.select(KEY, "label", "x", "y"), AROUND).select(KEY, "label", "x", "y").join(blobs.select(KEY, "label", "x", "y"), [KEY, "label", "x", "y"], "left_anti")

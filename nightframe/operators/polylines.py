@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sphere as S
+from ..session import worked_out
+from .joins import CAMERA, with_rotation
 
 
 def segments(lines: DataFrame) -> DataFrame:
@@ -28,6 +30,18 @@ def tessellate(lines: DataFrame, step_deg: float = 1.0) -> DataFrame:
     return own.unionByName(first.select("line_id", "seq", F.lit(0).alias("piece"), "ra", "dec"))
 
 
+def on_screen(points: DataFrame, frames: DataFrame, k1: float = 0.0, margin: float = 60.0) -> DataFrame:
+    """points (ra, dec and any keys) with the columns of their frame: x, y, and whether each is
+    within a margin of the frame, its edges included."""
+    u = S.unit(F.col("ra"), F.col("dec"))
+    both = worked_out(points.join(with_rotation(frames), "frame_id"), **dict(zip(("ux", "uy", "uz"), u, strict=True)))
+    both = worked_out(both, **dict(zip(CAMERA, S.to_camera(F.col("rot"), S.Vector(F.col("ux"), F.col("uy"), F.col("uz"))), strict=True)))
+    seen, x, y = S.project(S.Vector(*map(F.col, CAMERA)), F.col("focal"), F.lit(k1), F.col("w"), F.col("h"))
+    both = worked_out(both, seen=seen, x=x, y=y)
+    near = F.col("x").between(-margin, F.col("w") + margin) & F.col("y").between(-margin, F.col("h") + margin)
+    return both.withColumn("visible", F.coalesce(F.col("seen") & near, F.lit(False))).drop("rot", "ux", "uy", "uz", "seen", *CAMERA)
+
+
 def islands(points: DataFrame, keys: list[str], order: list[str], visible: str, least: int = 2) -> DataFrame:
     """Runs of visible points with `run`; shorter runs than least go."""
     by = Window.partitionBy(*keys).orderBy(*order)

@@ -41,7 +41,10 @@ def with_bindings(sql: str) -> str:
     if not needed:
         return body
     tables = ",\n".join(f"{n} AS (\n{SQL[n].strip()}\n)" for n in needed)
-    return f"WITH {tables},\n{body[5:]}" if body.upper().startswith("WITH ") else f"WITH {tables}\n{body}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return f"{start}{tables},\n{body[len(start) :]}"
+    return f"WITH {tables}\n{body}"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
