@@ -1,0 +1 @@
+"""Readers and writers of the domain's files."""

@@ -1,0 +1 @@
+"""The solve log as a stream."""
