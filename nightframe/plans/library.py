@@ -1,6 +1,6 @@
 """All queries of the library's own operators."""
 
-from . import evaluation, lines, raster, sky, telemetry, text  # noqa: F401
+from . import almanac, evaluation, files, lines, raster, sky, telemetry, text  # noqa: F401
 from .registry import oracle_sql, queries
 
 __all__ = ["oracle_sql", "queries"]

@@ -59,3 +59,10 @@ def finished(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all that there is, into a table in memory: for tests and small reports."""
     stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def written(stream: DataFrame, path: str) -> DataFrame:
+    """Runs a stream over all that there is into Parquet files, with its checkpoint beside them."""
+    query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state")
+    query.trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
