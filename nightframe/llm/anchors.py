@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .blocks import Bucket, grouped, pack, unpack
+from .blocks import Bucket, grouped, pack, ranges, unpack
 
 U64 = np.uint64
 #: Tokens that are hashed at once; longer documents go in pieces that overlap by a window less a token.
@@ -165,8 +165,7 @@ def anchor_messages(values_of: Callable[[Bucket], tuple[np.ndarray, np.ndarray]]
 def _dealt(bucket: int, h: np.ndarray, parts: int, **more: np.ndarray) -> pa.Table:
     part = part_of(h, parts)
     order = np.argsort(part, kind="stable")
-    begin, _ = grouped(part[order])
-    rows = [order[a:b] for a, b in zip(begin, [*begin[1:], len(order)], strict=True)]
+    rows = [order[a:b] for a, b in ranges(part[order])]
     return pa.table(
         {
             "part": pa.array([part[r[0]] for r in rows], pa.int32()),
@@ -198,12 +197,11 @@ def shared_anchors(most: int):
         of = of[order][keep]
         order = np.argsort(of, kind="stable")
         h, of = h[order], of[order]
-        begin, _ = grouped(of)
-        ends = [*begin[1:], len(of)]
+        each = ranges(of)
         return pa.table(
             {
-                "bucket": pa.array([buckets[of[a]] for a in begin], pa.int32()),
-                "data": pa.array([pack(**split48(h[a:b])) for a, b in zip(begin, ends, strict=True)], pa.binary()),
+                "bucket": pa.array([buckets[of[a]] for a, _ in each], pa.int32()),
+                "data": pa.array([pack(**split48(h[a:b])) for a, b in each], pa.binary()),
             }
         )
 
@@ -368,8 +366,7 @@ def common(rows: np.ndarray) -> np.ndarray:
 def by_part(bucket: int, part: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """The rows for each part, in their order."""
     order = np.argsort(part, kind="stable")
-    begin, _ = grouped(part[order])
-    return [(int(part[order[a]]), order[a:b]) for a, b in zip(begin, [*begin[1:], len(order)], strict=True)]
+    return [(int(part[order[a]]), order[a:b]) for a, b in ranges(part[order])]
 
 
 class Outbox:

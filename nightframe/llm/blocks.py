@@ -178,3 +178,9 @@ def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
     return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def ranges(keys: np.ndarray) -> list[tuple[int, int]]:
+    """Of a sorted array: where each run of equal values begins and ends."""
+    begin, _ = grouped(keys)
+    return list(zip(begin.tolist(), [*begin[1:].tolist(), len(keys)][: len(begin)], strict=True))

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import anchors as an
-from .blocks import LOWER, NULL_ID, Bucket, bucket_count, bucketed, checkpointed, ensure_checkpoint_dir, grouped, hashes_of, pack, part_count, small, space_words, unpack
+from .blocks import LOWER, NULL_ID, Bucket, bucket_count, bucketed, checkpointed, ensure_checkpoint_dir, grouped, hashes_of, pack, part_count, ranges, small, space_words, unpack
 from .components import Union, components
 
 SHINGLE, PART, WHOLE = 5, 75, 100
@@ -187,10 +187,9 @@ def _frequencies(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     order, total = order[keep], total[keep]
     by = np.argsort(of[order], kind="stable")
     order, total = order[by], total[by]
-    begin, _ = grouped(of[order])
-    ends = [*begin[1:], len(order)]
+    each = ranges(of[order])
     bits = np.minimum(np.log2(total) * 8, 255).astype(np.uint8)
-    return pa.table({"bucket": pa.array([buckets[of[order[a]]] for a in begin], pa.int32()), "data": pa.array([pack(**an.split48(h[order[a:b]]), n=bits[a:b]) for a, b in zip(begin, ends, strict=True)], pa.binary())})
+    return pa.table({"bucket": pa.array([buckets[of[order[a]]] for a, _ in each], pa.int32()), "data": pa.array([pack(**an.split48(h[order[a:b]]), n=bits[a:b]) for a, b in each], pa.binary())})
 
 
 #: Links inside the bucket (kind 2: two ids); all entries of a bucket's tokens (kind 3: tokens,

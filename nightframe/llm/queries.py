@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import decontaminate, language, mixing, quality, sanitise, token_counts, top_k
 from .blocks import read
 from .jaccard import jaccard_groups
+from .oracle import OP3_SQL, OP5_SQL, OP6_SQL
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 
@@ -182,4 +183,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_top_k": OP1_SQL, "op4_mix_sources": OP4_SQL}
+    return {
+        "op1_exact_top_k": OP1_SQL,
+        "op3_decontaminate": OP3_SQL,
+        "op4_mix_sources": OP4_SQL,
+        "op5_substring_dedup": OP5_SQL,
+        "op6_jaccard_join": OP6_SQL,
+    }

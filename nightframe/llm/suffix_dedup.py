@@ -7,7 +7,7 @@ and the bytes after those. The part that owns the first bytes combines the runs
 with a loser tree that compares two suffixes only beyond the bytes both are known to share
 with the last one put out. The shared lengths that fall out of the merge give the repeats.
 
-Cases: a null text is empty; a text shorter than the window loses nothing; rows with a null id
+Cases: a run of one byte of any length is cut into few different rows; a null text is empty; a text shorter than the window loses nothing; rows with a null id
 come after all others, in id order, and keep a null id; rows that repeat an id are not "smaller"
 than each other; other columns are ignored; an empty table gives an empty result.
 """
@@ -15,6 +15,7 @@ than each other; other columns are ignored; an empty table gives an empty result
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -96,6 +97,31 @@ def merge(runs: list[Iterator[tuple[int, bytes]]], width: int) -> Iterator[tuple
         best = winner
 
 
+def _contexts(raw: np.ndarray, ids: np.ndarray, h: np.ndarray, at: np.ndarray, row: np.ndarray, left_n: np.ndarray, right_n: np.ndarray, length: int, w: int) -> tuple[np.ndarray, ...]:
+    """The texts about some anchors as sorted rows of bytes, each once for a document: what
+    follows the anchor's start, what precedes it backwards, how many bytes those are, and the
+    id. With the rows' anchor hashes; and of each anchor its row's number, place and document.
+    A long run of one byte has an anchor everywhere and few rows."""
+    ahead, back = np.arange(length)[None, :], np.arange(w - 1)[None, :]
+    m = np.zeros((len(at), length + w + 9), np.uint8)
+    m[:, :length] = np.where(ahead < right_n[:, None], raw[np.minimum(at[:, None] + ahead, len(raw) - 1)], 0)
+    m[:, length : length + w - 1] = np.where(back < left_n[:, None], raw[np.maximum(at[:, None] - 1 - back, 0)], 0)
+    m[:, length + w - 1], m[:, length + w] = right_n, left_n
+    m[:, length + w + 1 :] = (ids[row].astype(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)
+    return *_merged(m, h, np.arange(len(at))), at, row
+
+
+def _merged(m: np.ndarray, h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted rows, each once, with their hashes; of: row numbers, as they are then."""
+    order = np.argsort(m.view(f"S{m.shape[1]}").ravel(), kind="stable")
+    m = m[order]
+    new = an.common(m) < m.shape[1]
+    new[:1] = True
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return m[new], h[order][new], number[of]
+
+
 def _sender(parts: int, k: int, length: int):
     w = length - k + 1
 
@@ -119,31 +145,32 @@ def _sender(parts: int, k: int, length: int):
             if len(i):
                 p, piece = a.p[i], a.piece[i]
                 at = lo[piece] + p - a.starts[piece]
-                got.append((a.h[i], at, row[piece], np.minimum(p - a.starts[piece], w - 1), np.minimum(a.ends[piece] - p, length)))
+                got.append(_contexts(raw, bucket.ids, a.h[i], at, row[piece], np.minimum(p - a.starts[piece], w - 1), np.minimum(a.ends[piece] - p, length), length, w))
         if crowd:
             out.windows(*map(np.concatenate, zip(*crowd, strict=True)), length, parts)
         if got:
-            h, at, row, left_n, right_n = map(np.concatenate, zip(*got, strict=True))
-            ahead, back = np.arange(length)[None, :], np.arange(w - 1)[None, :]
-            m = np.zeros((len(at), length + w + 9), np.uint8)
-            m[:, :length] = np.where(ahead < right_n[:, None], raw[np.minimum(at[:, None] + ahead, len(raw) - 1)], 0)
-            m[:, length : length + w - 1] = np.where(back < left_n[:, None], raw[np.maximum(at[:, None] - 1 - back, 0)], 0)
-            m[:, length + w - 1], m[:, length + w] = right_n, left_n
-            doc = bucket.ids[row]
-            m[:, length + w + 1 :] = (doc.astype(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)
-            order = np.argsort(m.view(f"S{m.shape[1]}").ravel(), kind="stable")
-            m, h, at, row, left_n, right_n, doc = (x[order] for x in (m, h, at - offsets[row], row, left_n, right_n, doc))
+            before = np.cumsum([0, *[len(x[0]) for x in got[:-1]]])
+            of = np.concatenate([x[2] + n for x, n in zip(got, before.tolist(), strict=True)])
+            at, row = (np.concatenate([x[j] for x in got]) for j in (3, 4))
+            m, h, of = _merged(np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got]), of)
+            del got
+            order = np.argsort(of, kind="stable")
+            of, at, row = of[order], (at - offsets[row])[order], row[order]
+            begin, count = np.searchsorted(of, np.arange(len(m))), np.bincount(of, minlength=len(m))
+            right_n, left_n = m[:, length + w - 1].astype(np.int64), m[:, length + w].astype(np.int64)
+            doc = bucket.ids[row[begin]]
             new = an.common(m[:, : length + w + 1]) < length + w + 1
             new[:1] = True
             late = doc > doc[new][np.cumsum(new) - 1]  # the same text is in a smaller document of this bucket
-            fits = late & (left_n + right_n >= length)
-            out.spans(row[fits], (at - left_n)[fits], (at - np.maximum(0, length - right_n) + length)[fits])
+            fits = (late & (left_n + right_n >= length))[of]
+            out.spans(row[fits], (at - left_n[of])[fits], (at - np.maximum(0, length - right_n[of]) + length)[fits])
             own = np.flatnonzero(~late)
             for part, i in an.by_part(number, an.part_of(h[own], parts)):
                 i = own[i]
                 lcp, tails = front_code(m[i, : length + w - 1])
-                rows, of = np.unique(row[i], return_inverse=True)
-                out.add(part, kind=0, lcp=lcp, tails=tails, right_n=right_n[i].astype(np.uint8), left_n=left_n[i].astype(np.uint8), rows=rows.astype(np.int32), docs=bucket.ids[rows], of=of.astype(np.min_scalar_type(len(rows))), at=at[i].astype(np.min_scalar_type(int(at[i].max()))))
+                each = np.repeat(begin[i] - np.cumsum(count[i]) + count[i], count[i]) + np.arange(int(count[i].sum()))
+                rows, of_row = np.unique(row[each], return_inverse=True)
+                out.add(part, kind=0, lcp=lcp, tails=tails, right_n=right_n[i].astype(np.uint8), left_n=left_n[i].astype(np.uint8), n=an.narrow(count[i]), rows=rows.astype(np.int32), docs=bucket.ids[rows], of=an.narrow(of_row), at=an.narrow(at[each]))
         return out.table()
 
     return send
@@ -160,20 +187,26 @@ def _finder(k: int, length: int):
         inbox.windows(length)
         runs = [x for _, x in inbox.texts]
         if runs:
-            merged = list(merge([decode(x["lcp"], x["tails"], width) for x in runs], width))
-            run = np.fromiter((x[1] for x in merged), np.int64, len(merged))
-            lcp = np.fromiter((x[0] for x in merged), np.int64, len(merged))
-            text = np.frombuffer(b"".join(x[2] for x in merged), np.uint8).reshape(-1, width)
-            del merged
-            order = np.argsort(run, kind="stable")  # a run's rows come out in its own order
+            lcp, run, rows = array("q"), array("q"), bytearray()
+            for shared, i, x in merge([decode(x["lcp"], x["tails"], width) for x in runs], width):
+                lcp.append(shared)
+                run.append(i)
+                rows += x
+            text = np.frombuffer(rows, np.uint8).reshape(-1, width)
+            run = np.frombuffer(run, np.int64)
             take = np.empty(len(run), np.int64)
-            take[order] = np.arange(len(run))
-            right_n, left_n, at = (np.concatenate([x[n].astype(np.int64) for x in runs])[take] for n in ("right_n", "left_n", "at"))
-            doc, row = (np.concatenate([x[n][x["of"]] for x in runs])[take].astype(np.int64) for n in ("docs", "rows"))
-            hit = an.resolve(text, lcp, right_n, left_n, doc, k, length)
-            i, lo, hi = an.spans_of_windows(hit, at, length)
-            bucket = np.array([b for b, _ in inbox.texts])[run]
-            inbox.spans(bucket[i], row[i], lo, hi)
+            take[np.argsort(run, kind="stable")] = np.arange(len(run))  # a run's rows come out in its own order
+            right_n, left_n, n = (np.concatenate([x[c].astype(np.int64) for x in runs]) for c in ("right_n", "left_n", "n"))
+            doc = np.concatenate([x["docs"][x["of"][np.cumsum(x["n"], dtype=np.int64) - x["n"]]] for x in runs])
+            hit = np.empty((len(take), w), bool)
+            hit[take] = an.resolve(text, np.frombuffer(lcp, np.int64), right_n[take], left_n[take], doc[take], k, length)
+            of = np.repeat(np.arange(len(n)), n)  # each text stands for all its places
+            at = np.concatenate([x["at"].astype(np.int64) for x in runs])
+            row = np.concatenate([x["rows"][x["of"]] for x in runs]).astype(np.int64)
+            bucket = np.repeat([b for b, _ in inbox.texts], [len(x["at"]) for x in runs])
+            some = np.flatnonzero(hit.any(axis=1)[of])
+            i, lo, hi = an.spans_of_windows(hit[of[some]], at[some], length)
+            inbox.spans(bucket[some][i], row[some][i], lo, hi)
         return inbox.table()
 
     return find

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nightframe.llm import decontaminate, jaccard, language, mixing, quality, sanitise, token_counts, top_k
+from nightframe.llm.blocks import bucketed, pack, unpack
 from nightframe.llm.components import components
 from nightframe.llm.substring_dedup import substring_dedup
 from nightframe.llm.suffix_dedup import decode, front_code, merge, suffix_dedup
@@ -97,6 +98,30 @@ def test_substring_dedup(docs, crowded):
     assert sum(w[2] for w in want) > 0
 
 
+def test_long_runs_of_one_byte(spark):
+    docs = spark.createDataFrame([(1, "a" * 300_000), (2, "b " + "a" * 400_000 + " c"), (3, "ab" * 100_000)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup(docs, digests=True).collect()}
+    assert got == {1: (0, 0), 2: (400_000, 1), 3: (0, 0)}
+
+
+def test_many_rows_without_an_id(spark):
+    """They spread over the buckets, and none comes before another."""
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit(text + " "), F.col("id").cast("string")).alias("text"))
+    docs = docs.union(spark.createDataFrame([(5, text)], "doc_id long, text string"))
+    counts = bucketed(docs, 16).groupBy("bucket").count().collect()
+    assert len(counts) == 16 and max(r["count"] for r in counts) < 3_000
+    got = substring_dedup(docs, digests=True).groupBy("n_removed").count().collect()
+    assert {r.n_removed: r["count"] for r in got} == {0: 1, 30: 20_000}
+
+
+def test_messages_round_trip():
+    x = {"a": np.arange(5, dtype=np.uint16), "b": b"xyz" * 200, "n": np.zeros(0, np.int64), "k": 7}
+    got = unpack(pack(**x))
+    assert got["a"].tolist() == [0, 1, 2, 3, 4] and got["b"] == x["b"] and len(got["n"]) == 0 and got["k"].tolist() == [7]
+    assert len(pack(lo=np.zeros(1, np.uint32), hi=np.zeros(1, np.uint16))) < 40
+
+
 def test_kept_texts_and_spans(spark):
     text = " ".join(f"w{i}" for i in range(20))
     docs = spark.createDataFrame([(1, text), (2, f"a b {text} c")], "doc_id long, text string")
