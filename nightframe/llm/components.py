@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .blocks import checkpointed, ensure_checkpoint_dir
 
 EDGES = "a long, b long"
+#: Edges whose union-find one task holds in some tens of megabytes.
+FEW_EDGES = 300_000
 
 
 class Union:
@@ -65,12 +67,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("a") != F.col("b")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     """edges: a, b long, either way round. Returns node, component (its least node) of every
-    node that is greater than its component's least."""
+    node that is greater than its component's least. Once partitions have contracted their own
+    edges, `few` edges or fewer are finished by one task; more take rounds over the cluster."""
     ensure_checkpoint_dir(edges.sparkSession)
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") != F.col("b"))
     edges = checkpointed(edges.repartition("b").mapInArrow(_contract, EDGES).distinct())
+    if edges.count() <= few:
+        return edges.repartition(1).mapInArrow(_contract, EDGES).select(F.col("a").alias("node"), F.col("b").alias("component")).where("node <> component")
     state = None
     while True:
         edges = checkpointed(_star(_star(edges, True), False))

@@ -433,7 +433,7 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, part: int = PART, wh
         done = crowd.isEmpty()
         if not done:
             direct, entries = _recentred(crowd, remaining, turn, part, whole)
-            links, entries = links.union(direct), checkpointed(entries)
+            links = links.union(direct)
         inner = components(inner.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
         if done:
             break

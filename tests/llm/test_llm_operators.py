@@ -174,9 +174,10 @@ def test_jaccard_groups(docs):
     assert any(w[0] != w[2] for w in want if w[0] is not None)
 
 
-def test_components_of_a_chain_and_stars(spark):
+@pytest.mark.parametrize("few", [1000, 0])
+def test_components_of_a_chain_and_stars(spark, few):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 200 + i) for i in range(20)] + [(5, 5)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(5), few).collect()}
     assert got == {**{i: 0 for i in range(1, 61)}, **{200 + i: 100 for i in range(20)}}
 
 
