@@ -17,8 +17,8 @@ C. by falling hash.
 Candidates come from order B and must share prefix tokens under A and C as well before their
 sets are intersected. Pairs inside a bucket are decided there. Between buckets, each token's
 documents are linked like a chain first, and components of the links found make pairs of one
-component needless. Of a token that FEW documents have, all pairs of different components
-follow. The documents of a more frequent token are near copies, or share most of a passage;
+component needless. Of a token that at most FEW documents have besides its largest component,
+all pairs of different components follow. The documents of other tokens are near copies, or share most of a passage;
 they are held against one of them and divided by the tokens in which they differ from it (see
 _recentred), again and again, so their pairs are never made. No link between different texts
 is lost. Equal sets are one set.
@@ -47,9 +47,10 @@ SHINGLE, PART, WHOLE = 5, 75, 100
 BUCKET_BYTES = 8 << 20
 #: The share of its least overlap that a set must find in other sets' longer prefixes, as 1 / LONGER.
 LONGER = 6
-#: Documents of a group, all of whose pairs are tried; larger groups are divided by what their
-#: documents differ in. After so many divisions all pairs of what is left are tried.
-FEW, TURNS = 16, 6
+#: Documents of a group outside its largest component: if there are so many at most, they are
+#: tried with all of the group, which is FEW pairs a document; else the group is divided by what
+#: its documents differ in. After TURNS divisions all pairs of what is left are tried.
+FEW, TURNS = 8, 6
 U64 = np.uint64
 _MESSAGE = "part int, bucket int, data binary"
 
@@ -294,8 +295,8 @@ def _entries(part: int, whole: int):
             for x in batch["data"].to_pylist():
                 e = _unpacked(x, part, whole)
                 excess = e["n"] * 2 * part
-                columns = [e["t"].astype(np.int64), e["doc"], e["n"].astype(np.int32), excess, (e["n"] - e["place"]).astype(np.int32), np.ones(len(excess), bool)]
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["g", "doc", "n", "excess", "room", "far"])
+                columns = [e["t"].astype(np.int64), e["doc"], e["n"].astype(np.int32), excess, (e["n"] - e["place"]).astype(np.int32), np.ones(len(excess), bool), np.zeros(len(excess), np.int32)]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ENTRY)
 
     return entries
 
@@ -309,13 +310,17 @@ def _decide(part: int, whole: int):
     return decide
 
 
-ENTRY = ["g", "doc", "n", "excess", "room", "far"]
+ENTRY = ["g", "doc", "n", "excess", "room", "far", "kind"]
 
 
 def _between(entries: DataFrame, inner: DataFrame) -> DataFrame:
-    """Entries of groups of several components, with their component c and the group's size."""
+    """Entries of groups of several components, with their component c and `others`, how many of
+    the group's documents are not of its largest component. Groups of the second kind need both
+    near and far ones."""
     entries = entries.select(ENTRY).join(inner.withColumnRenamed("node", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc")).drop("component")
-    mixed = entries.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("g", "size")
+    each = entries.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.min("far").alias("lo"), F.max("far").alias("hi"), F.max("kind").alias("kind"))
+    mixed = each.groupBy("g").agg((F.sum("n") - F.max("n")).alias("others"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("kind").alias("kind"))
+    mixed = mixed.where("others > 0 and hi and (kind = 0 or not lo)").select("g", "others")
     return checkpointed(entries.join(mixed, "g"))
 
 
@@ -352,9 +357,10 @@ def _recentred(entries: DataFrame, sets: DataFrame, turn: int, part: int, whole:
     which both differ from the centre. Those are rare among the members, and prefixes of them, the
     rarest first, make the new groups."""
     step = 2 * (part + whole)
-    sized = F.floor(F.log(F.col("n").cast("double")) / float(np.log(whole / part))).cast("int")
-    # sizes of possible partners are in one class or in two that follow each other
-    classed = entries.select("g", "doc", "n", "c", F.explode(F.array(sized, sized + 1)).alias("class"))
+    # a class of sizes spans four times what partners may differ by; one near its upper end is in the next, too
+    sized = F.log(F.col("n").cast("double")) / (4 * float(np.log(whole / part)))
+    both = F.array_distinct(F.array(F.floor(sized).cast("int"), F.floor(sized + 0.2500001).cast("int")))
+    classed = entries.select("g", "doc", "n", "c", F.explode(both).alias("class"))
     hubs = classed.groupBy("g", "class").agg(F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), "doc")).alias("hub")).select("g", "class", F.col("hub.doc").alias("hub"))
     members = checkpointed(classed.join(hubs, ["g", "class"]).select("hub", "doc", "c").distinct())
     asked = small(members.select("doc").union(members.select("hub")).distinct())
@@ -388,9 +394,7 @@ def _recentred(entries: DataFrame, sets: DataFrame, turn: int, part: int, whole:
     placed = shared.withColumn("room", (F.col("d") - place).cast("int")).where("room >= least(with_far, with_near)")
     far_far, other = F.col("far") & (F.col("room") >= F.col("with_far")), F.when(F.col("far"), F.col("room") >= F.col("with_near")).otherwise(F.col("room") >= F.col("with_far"))
     new = placed.withColumn("kind", F.explode(F.array_compact(F.array(F.when(far_far, 0), F.when(other, 1)))))
-    new = checkpointed(new.withColumn("g", F.xxhash64("hub", "token", "kind")).select("kind", *ENTRY))
-    met = new.where("kind = 1").groupBy("g").agg(F.min("far").alias("lo"), F.max("far").alias("hi")).where("lo <> hi").select("g")
-    return links, new.where("kind = 0").select(ENTRY).union(new.where("kind = 1").join(met, "g", "left_semi").select(ENTRY))
+    return links, new.withColumn("g", F.xxhash64("hub", "token", "kind")).select(ENTRY)
 
 
 def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, part: int = PART, whole: int = WHOLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -424,12 +428,12 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, part: int = PART, wh
     links = third.where("kind = 2").select("a", "b").union(copies).union(alike(chained))
     inner = components(links)
 
-    entries = third.where("kind = 3").select("data").mapInArrow(_entries(part, whole), "g long, doc long, n int, excess long, room int, far boolean")
+    entries = third.where("kind = 3").select("data").mapInArrow(_entries(part, whole), "g long, doc long, n int, excess long, room int, far boolean, kind int")
     entries = _between(entries, inner)
     for turn in range(TURNS):
-        few = entries.where(F.col("size") <= FEW)
+        few = entries.where(F.col("others") <= FEW)
         links = alike(_pairs(few, part, whole))
-        crowd = entries.where(F.col("size") > FEW)
+        crowd = entries.where(F.col("others") > FEW)
         done = crowd.isEmpty()
         if not done:
             direct, entries = _recentred(crowd, remaining, turn, part, whole)
