@@ -44,3 +44,66 @@ WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_FOLDED}, {_SPACED}) AS
 ), reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
 SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reach.b) AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id
 """
+
+#: The 256 values of the reflected polynomial 0xEDB88320, by which a crc32 goes on a byte at a time.
+_CRC_TABLE = "SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t"
+
+
+def _crc(codes: str) -> str:
+    """The crc32 of a list of bytes; t is the table above."""
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {codes}), lambda a, b: xor(a >> 8, t[xor(a % 256, b) + 1])))"
+
+
+def _add(k: str, cost: str, edit: str) -> str:
+    """A parse that goes on by an edit. Parses are costs of nine digits, then edits, so the least text is the best."""
+    return f"(lpad(({k}[1:9]::INTEGER + {cost})::VARCHAR, 9, '0') || {k}[10:] || '{edit}')"
+
+
+_NO_WORD = r"'^[\x20\x09-\x0D]*$'"
+_OPEN_END = r"'[.!?][\x20\x09-\x0D]*$'"
+#: States of the role grammar: 0 nothing yet, 1 after system, 2 after user, 3 after assistant.
+_MOVES = {1: ("s", (0,)), 2: ("u", (0, 1, 3)), 3: ("a", (2,))}
+_DELETED = {s: _add(f"k{s}", "2", "D") for s in range(4)}
+_KEPT = {s: [f"CASE WHEN NOT forced AND initial = '{c}' THEN {_add(f'k{a}', 'more', 'K')} END" for a in of] for s, (c, of) in _MOVES.items()} | {0: []}
+_GIVEN = {s: [f"CASE WHEN NOT forced THEN {_add(f'k{a}', '1 + more', 'R')} END" for a in of] for s, (c, of) in _MOVES.items() if c != "s"}
+_NEXT = ", ".join(f"least({', '.join([_DELETED[s], *_KEPT[s], *_GIVEN.get(s, []), 'NULL'])}) AS r{s}" for s in range(4))
+
+OP13_SQL = rf"""
+WITH RECURSIVE crc AS ({_CRC_TABLE}
+), keyed AS (
+  SELECT conv_id, coalesce('=' || conv_id, '') AS c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT) AS codes FROM conversations
+), faults AS (SELECT *, {_crc("codes")} % 20 AS fault FROM keyed, crc
+), given AS (
+  SELECT c, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM faults WHERE fault <> 0
+), numbered AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i FROM given
+), judged AS (
+  SELECT *, regexp_matches(text, {_NO_WORD}) AS blank, row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS later,
+    NOT regexp_matches(text, {_OPEN_END}) AS open_end, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY c ORDER BY i) AS before FROM numbered
+), lines AS (
+  SELECT *, blank OR later AS forced, CASE WHEN open_end THEN 5 ELSE 0 END AS more FROM judged
+), counts AS (
+  SELECT c, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND later) AS duplicate,
+    count(*) FILTER (NOT forced AND open_end) AS truncated, count(*) FILTER (i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM lines GROUP BY c
+), parses AS (
+  SELECT c, n, 0::BIGINT AS i, '000000000' AS k0, NULL::VARCHAR AS k1, '000000005I' AS k2, '000000010II' AS k3 FROM counts
+  UNION ALL
+  SELECT c, n, i, r0, r1, s2, least(r3, {_add("s2", "5", "I")})
+  FROM (SELECT *, least(r2, {", ".join(_add(f"r{s}", "5", "I") for s in (0, 1, 3))}) AS s2
+    FROM (SELECT p.c, p.n, l.i, {_NEXT} FROM parses p JOIN lines l ON l.c = p.c AND l.i = p.i + 1))
+), best AS (SELECT c, least(k0, k3)[1:9]::BIGINT AS cost, least(k0, k3)[10:] AS audit FROM parses WHERE i = n
+), letters AS (SELECT c, unnest(string_split(audit, '')) AS x, unnest(range(1, length(audit) + 1)) AS p FROM best WHERE audit <> ''
+), placed AS (
+  SELECT *, sum((x <> 'I')::INTEGER) OVER w AS i, sum((x <> 'D')::INTEGER) OVER w AS place, sum((x <> 'D')::INTEGER) OVER (PARTITION BY c) % 2 AS system
+  FROM letters WINDOW w AS (PARTITION BY c ORDER BY p)
+), spoken AS (
+  SELECT placed.c, string_agg(CASE WHEN x = 'K' THEN role WHEN (place - system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN x = 'I' THEN '' ELSE text END, chr(10) ORDER BY place) AS whole
+  FROM placed LEFT JOIN lines ON lines.c = placed.c AND lines.i = placed.i WHERE x <> 'D' GROUP BY placed.c
+)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, c FROM keyed) o LEFT JOIN counts ON counts.c = o.c LEFT JOIN best ON best.c = o.c LEFT JOIN spoken ON spoken.c = o.c
+"""

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, quality, sanitise, token_counts, top_k
+from . import decontaminate, language, mixing, quality, role_repair, sanitise, token_counts, top_k
 from .blocks import read
 from .jaccard import jaccard_groups
-from .oracle import OP3_SQL, OP5_SQL, OP6_SQL
+from .oracle import OP3_SQL, OP5_SQL, OP6_SQL, OP13_SQL
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 
@@ -172,6 +172,29 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """conversations with faults, told by crc32(conv_id:turn) mod 20; nulls are one space there."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn"))) % 20
+    rows = turns.select("conv_id", "turn", space("role").alias("role"), space("text").alias("text"), fault.alias("fault")).where("fault <> 0")
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    rows = rows.select("conv_id", "turn", F.when(F.col("fault") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), "fault")
+    return rows.withColumn("copy", F.explode(F.when(F.col("fault") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("fault", "copy")
+
+
+def op13_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations")
+    found, edits = role_repair.repair(damaged(turns))
+    c = role_repair.conversation_key(F.col("conv_id")).alias("c")
+    line = F.struct("place", F.concat("role", F.lit(":"), "text").alias("line"))
+    # the contract's digest is over a whole conversation; nothing else gathers one
+    lines = edits.where("place is not null").groupBy(c).agg(F.array_sort(F.collect_list(line)).line.alias("lines"))
+    every = turns.select("conv_id", c).distinct()
+    out = every.join(found.withColumn("c", c).drop("conv_id"), "c", "left").join(lines, "c", "left")
+    counts = [F.coalesce(k, F.lit(0)).cast("long").alias(k) for k in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.sha2(F.coalesce(F.array_join("lines", "\n"), F.lit("")), 256).alias("repaired_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -179,7 +202,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_quality, op3_decontaminate, op4_mix_sources, op5_substring_dedup, op6_jaccard_join, op7_suffix_dedup, op8_sanitise, op9_token_counts, op10_language, pipeline)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_quality, op3_decontaminate, op4_mix_sources, op5_substring_dedup, op6_jaccard_join, op7_suffix_dedup, op8_sanitise, op9_token_counts, op10_language, op13_role_repair, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -189,4 +212,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_mix_sources": OP4_SQL,
         "op5_substring_dedup": OP5_SQL,
         "op6_jaccard_join": OP6_SQL,
+        "op13_role_repair": OP13_SQL,
     }

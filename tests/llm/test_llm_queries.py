@@ -34,6 +34,19 @@ def texts():
     return out
 
 
+CONVERSATIONS = "conv_id long, turn long, role string, text string"
+
+
+def conversations():
+    """Nulls, ties, repeated rows, blanks and roles that the grammar lacks; one conversation is long."""
+    rng = random.Random(5)
+    role = lambda: rng.choice(["user", "assistant"] * 4 + ["system", "tool", "", None])
+    text = lambda: rng.choice(["Yes.", "No", " ", "", None, "Why?", "é!", "x y z.\n", "Go on"])
+    out = [(c, t if rng.random() < 0.9 else rng.choice([None, 0]), ["user", "assistant"][t % 2] if rng.random() < 0.6 else role(), f"Line {t}." if rng.random() < 0.6 else text()) for c in range(50) for t in range(rng.randint(1, 9))]
+    out += [(77, t, role(), f"Turn {t}." if t % 3 else text()) for t in range(300)] + [(None, t, role(), text()) for t in range(6)]
+    return out + [(88, None, "system", "Be kind."), (99, 1, "user", "?"), (99, 1, "user", "?")] * 2
+
+
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("tables")
@@ -46,13 +59,14 @@ def folder(spark, tmp_path_factory):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     rng = np.random.default_rng(3)
     spark.createDataFrame([(i, [float(x) for x in rng.normal(size=6)], 0) for i in range(90)] + [(100, None, 0), (120, [float("nan")] * 6, 0)], "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
+    spark.createDataFrame(conversations(), CONVERSATIONS).repartition(3).write.parquet(f"{path}/conversations.parquet")
     return str(path), rows
 
 
 @pytest.fixture(scope="module")
 def nothing(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("empty")
-    for name, schema in {"documents": DOCUMENTS, "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string", "embeddings": "vec_id long, embedding array<float>, label int"}.items():
+    for name, schema in {"documents": DOCUMENTS, "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string", "embeddings": "vec_id long, embedding array<float>, label int", "conversations": CONVERSATIONS}.items():
         spark.createDataFrame([], schema).write.parquet(f"{path}/{name}.parquet")
     return str(path)
 
@@ -64,7 +78,7 @@ def plain(rows):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_same_rows_as_sql(spark, folder, name):
     con = duckdb.connect()
-    for table in ("documents", "labels", "benchmark", "embeddings"):
+    for table in ("documents", "labels", "benchmark", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder[0]}/{table}.parquet/*.parquet'")
     want = con.execute(queries.oracle_sql()[name])
     columns = [c[0] for c in want.description]
