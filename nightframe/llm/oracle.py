@@ -107,3 +107,26 @@ SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank
   coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id, c FROM keyed) o LEFT JOIN counts ON counts.c = o.c LEFT JOIN best ON best.c = o.c LEFT JOIN spoken ON spoken.c = o.c
 """
+
+_RUN_CODES = "flatten(list_transform(string_split(doc || ':' || run, ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)::BIGINT] ELSE [195::BIGINT, ord(x)::BIGINT - 64] END))"
+
+OP12_SQL = rf"""
+WITH RECURSIVE crc AS ({_CRC_TABLE}
+), runs AS (
+  SELECT doc, run, count(*) AS n FROM (SELECT coalesce(doc_id::VARCHAR, '') AS doc, unnest(regexp_extract_all({_FOLDED}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL
+), hashed AS (SELECT run, n, {_crc(_RUN_CODES)} AS h FROM runs, crc
+), spelt AS (SELECT n, CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word FROM hashed
+), v AS (SELECT word, sum(n)::BIGINT AS n FROM spelt WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), less AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS d FROM v, unnest(range(1, length(word) + 1)) AS u(i)
+), pairs AS (
+  SELECT a.word, b.word AS near, b.n FROM less a JOIN less b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, v.word, v.n FROM less a JOIN v ON v.word = a.d
+  UNION SELECT v.word, a.word, a.n FROM less a JOIN v ON v.word = a.d
+), counted AS (SELECT word, count(*) AS n_near, max(n) AS most FROM pairs GROUP BY word
+), formed AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * v.n THEN (SELECT min(near) FROM pairs p WHERE p.word = v.word AND p.n = most) END AS form,
+    CASE WHEN most >= 2 * v.n THEN most END AS form_n FROM v LEFT JOIN counted USING (word)
+), ways AS (SELECT word, word AS reached, 0 AS steps FROM formed UNION ALL SELECT ways.word, form, steps + 1 FROM ways JOIN formed ON formed.word = ways.reached WHERE form IS NOT NULL
+), ends AS (SELECT word, arg_max(reached, steps) AS root FROM ways GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
+"""

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, quality, role_repair, sanitise, token_counts, top_k
+from . import decontaminate, language, mixing, quality, role_repair, sanitise, spelling, token_counts, top_k
 from .blocks import read
 from .jaccard import jaccard_groups
-from .oracle import OP3_SQL, OP5_SQL, OP6_SQL, OP13_SQL
+from .oracle import OP3_SQL, OP5_SQL, OP6_SQL, OP12_SQL, OP13_SQL
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 
@@ -172,6 +172,23 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+_A_Z = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def misspelt_runs(docs: DataFrame) -> DataFrame:
+    """The runs of letters of all texts, A-Z lower-cased; some lose a letter, as crc32(doc_id:run) says."""
+    runs = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc"), F.explode(F.regexp_extract_all(F.translate("text", *_A_Z), F.lit("[A-Za-z\u00c0-\u00ff]+"), F.lit(0))).alias("run"))
+    h = F.crc32(F.concat("doc", F.lit(":"), "run"))
+    at = F.pmod("h", F.length("run")).cast("int")
+    less = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
+    return runs.select("run", h.alias("h")).select(F.when(F.col("h") % 97 == 0, less).otherwise(F.col("run")).alias("word"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = misspelt_runs(read(spark, sf_dir, "documents")).where("length(word) >= 5")
+    return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def damaged(turns: DataFrame) -> DataFrame:
     """conversations with faults, told by crc32(conv_id:turn) mod 20; nulls are one space there."""
     space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
@@ -202,7 +219,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_quality, op3_decontaminate, op4_mix_sources, op5_substring_dedup, op6_jaccard_join, op7_suffix_dedup, op8_sanitise, op9_token_counts, op10_language, op13_role_repair, pipeline)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_quality, op3_decontaminate, op4_mix_sources, op5_substring_dedup, op6_jaccard_join, op7_suffix_dedup, op8_sanitise, op9_token_counts, op10_language, op12_spelling, op13_role_repair, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -212,5 +229,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_mix_sources": OP4_SQL,
         "op5_substring_dedup": OP5_SQL,
         "op6_jaccard_join": OP6_SQL,
+        "op12_spelling": OP12_SQL,
         "op13_role_repair": OP13_SQL,
     }
