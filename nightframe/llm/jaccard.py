@@ -412,6 +412,13 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, part: int = PART, wh
     third = checkpointed(remaining.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_third(parts, part, whole), THIRD))
 
     rows = second.where("kind = 0").select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "print")
+    return grouped_rows(rows, remaining, third, part, whole, _decide(part, whole))
+
+
+def grouped_rows(rows: DataFrame, remaining: DataFrame, third: DataFrame, part: int, whole: int, decide) -> DataFrame:
+    """rows: doc_id, n_shingles, print (null without candidates); remaining: doc, data of the sets;
+    third: as THIRD says; decide: those of pairs a, b with sets x, y that are alike. Gives rows
+    their component_id."""
     copies = rows.where("print is not null")
     least = copies.groupBy("print").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("most")).where("b < most")
     copies = copies.join(small(least), "print").select(F.col("doc_id").alias("a"), "b")
@@ -422,7 +429,7 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, part: int = PART, wh
         sets = remaining.join(asked, "doc", "left_semi")
         with_x = pairs.join(sets.select(F.col("doc").alias("a"), F.col("data").alias("x")), "a")
         both = with_x.join(sets.select(F.col("doc").alias("b"), F.col("data").alias("y")), "b")
-        return both.select("a", "b", "x", "y").mapInArrow(_decide(part, whole), "a long, b long")
+        return both.select("a", "b", "x", "y").mapInArrow(decide, "a long, b long")
 
     chained = third.where("kind = 4").select("n", "data").groupBy("n").applyInArrow(_chain(part, whole), "a long, b long").distinct()
     links = third.where("kind = 2").select("a", "b").union(copies).union(alike(chained))

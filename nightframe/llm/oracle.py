@@ -33,18 +33,27 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN removed USING (r) LEFT JOIN kept USING (r)
 """
 
-OP6_SQL = f"""
+
+
+def _linked(words: int, part: int, more: str) -> str:
+    """Documents by links of their sets of shingles of so many words, alike to part in a hundred."""
+    return f"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_FOLDED}, {_SPACED}) AS w FROM documents
 ), s AS (
-  SELECT DISTINCT doc_id, array_to_string(w[k : k + least(5, len(w)) - 1], ' ') AS t FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS u(k) WHERE len(w) > 0
+  SELECT DISTINCT doc_id, array_to_string(w[k : k + least({words}, len(w)) - 1], ' ') AS t FROM d, unnest(range(1, greatest(len(w) - {words - 1}, 1) + 1)) AS u(k) WHERE len(w) > 0
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
 ), links AS (
   SELECT a, b FROM (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY ALL)
-  JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)
-), reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
-SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reach.b) AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id
+  JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= {part} * (x.n + y.n - shared)
+), reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+), g AS (SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reach.b) AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id)
+SELECT *{more} FROM g
 """
 
+
+OP6_SQL = _linked(5, 75, "")
+OP11_SQL = _linked(2, 80, ", doc_id = component_id AS kept")
+
 #: The 256 values of the reflected polynomial 0xEDB88320, by which a crc32 goes on a byte at a time.
 _CRC_TABLE = "SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t"
 

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, quality, role_repair, sanitise, spelling, token_counts, top_k
+from . import decontaminate, language, mixing, quality, role_repair, sanitise, setsketch, spelling, token_counts, top_k
 from .blocks import read
 from .jaccard import jaccard_groups
-from .oracle import OP3_SQL, OP5_SQL, OP6_SQL, OP12_SQL, OP13_SQL
+from .oracle import OP3_SQL, OP5_SQL, OP6_SQL, OP11_SQL, OP12_SQL, OP13_SQL
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 
@@ -172,6 +172,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = setsketch.near_duplicates(read(spark, sf_dir, "documents"))
+    return groups.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 _A_Z = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -219,7 +224,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_quality, op3_decontaminate, op4_mix_sources, op5_substring_dedup, op6_jaccard_join, op7_suffix_dedup, op8_sanitise, op9_token_counts, op10_language, op12_spelling, op13_role_repair, pipeline)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_quality, op3_decontaminate, op4_mix_sources, op5_substring_dedup, op6_jaccard_join, op7_suffix_dedup, op8_sanitise, op9_token_counts, op10_language, op11_setsketch, op12_spelling, op13_role_repair, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -229,6 +234,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_mix_sources": OP4_SQL,
         "op5_substring_dedup": OP5_SQL,
         "op6_jaccard_join": OP6_SQL,
+        "op11_setsketch": OP11_SQL,
         "op12_spelling": OP12_SQL,
         "op13_role_repair": OP13_SQL,
     }
