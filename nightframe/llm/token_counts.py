@@ -10,13 +10,14 @@ task loads it once.
 
 Cases: a null text has no tokens, and its sections count 0; sections that are empty, reach
 beyond the text, overlap or repeat are each counted as they are (what reaches beyond is cut
-off); a null list of sections gives no rows; ids may be null or repeated; extra columns are
+off); runs of white space, or of any one character, may be of any length; a null list of sections gives no rows; ids may be null or repeated; extra columns are
 carried in `row`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,6 +31,10 @@ from pyspark.sql import types as T
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How that vocabulary divides a text before merging; fixed with it.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The vocabulary's pattern looks back over the whole of a run of white space, on a stack of
+#: limited depth; longer runs are encoded by themselves.
+LONG_RUN = 1000
+_LONG = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{%d,}" % LONG_RUN)
 RULES = ("first", "last", "share")
 SECTIONS = T.ArrayType(T.StructType([T.StructField("section", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
@@ -50,7 +55,14 @@ def edges(text: str, path: str = VOCABULARY) -> np.ndarray:
     encoding, size = encoder(path)
     out = np.zeros(1, np.int64)
     if text:
-        ids = np.asarray(encoding.encode_to_numpy(text, disallowed_special=()), np.int64)
+        # of white space before something else, all but the last is a piece of the pattern; at the end, all
+        ids, at = [], 0
+        for run in _LONG.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            ids += [encoding.encode_to_numpy(text[at : run.start()], disallowed_special=()), encoding._encode_single_piece(text[run.start() : end].encode())]
+            at = end
+        ids.append(encoding.encode_to_numpy(text[at:], disallowed_special=()))
+        ids = np.concatenate([np.asarray(x, np.int64) for x in ids])
         out = np.zeros(len(ids) + 1, np.int64)
         np.cumsum(size[ids], out=out[1:])
     return out
