@@ -6,8 +6,9 @@ fewer phrases, times the bits to name a place in the labelled text, for each sym
 nearer the language. The automaton is written as a table of steps over the symbols that its
 language has, and a task walks all segments of its documents through it in lockstep.
 
-Training: at most TRAIN_ROWS labelled rows a language, whole texts of at most TRAIN_CHARS
-characters, chosen by a hash of their id. Letters are lower-cased; runs of other characters
+Training: at most TRAIN_ROWS labelled rows a language, chosen by a hash of their id, whatever
+their length; of a text of more than TRAIN_CHARS characters, a piece of so many, at a place that
+the hash tells. Letters are lower-cased; runs of other characters
 count as one space. A text is parsed from its first symbol to its last.
 
 Cases: a null text and one without letters is `und` with score 0; ties go to the language that
@@ -264,12 +265,13 @@ def _is_letter(codes: np.ndarray) -> np.ndarray:
 
 
 def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS, most: int = TRAIN_CHARS) -> Model:
-    """From whole rows with a text and a language: bounded, and the same rows every time. A row
-    of more than `most` characters is not chosen."""
-    ok = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & (F.length(text) <= most)).select(F.col(lang).alias("lang"), F.xxhash64(F.col(doc_id).cast("string")).alias("h"), F.col(text).alias("text"))
+    """From rows with a text and a language: bounded, and the same rows every time. Of a text of
+    more than `most` characters a piece counts."""
+    ok = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.xxhash64(F.col(doc_id).cast("string")).alias("h"), F.col(text).alias("text"))
     # the choice is made without the texts; then only those of the chosen rows are fetched
     chosen = ok.select("lang", "h", F.xxhash64("text").alias("t")).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))).where(F.col("n") <= rows).select("lang", "h", "t").distinct()
-    got = ok.withColumn("t", F.xxhash64("text")).join(small(chosen), ["lang", "h", "t"], "left_semi").select("lang", "h", "t", "text")
+    begin = F.pmod("h", F.greatest(F.length("text") - most + 1, F.lit(1)).cast("long")).cast("int") + 1
+    got = ok.withColumn("t", F.xxhash64("text")).join(small(chosen), ["lang", "h", "t"], "left_semi").select("lang", "h", "t", F.substring("text", begin, F.lit(most)).alias("text")).distinct()
     texts: dict[str, list] = {}
     for r in got.toLocalIterator():
         texts.setdefault(r.lang, []).append((r.h, r.t, r.text))
