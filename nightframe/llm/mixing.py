@@ -12,7 +12,8 @@ The prefix is found without sorting a leaf: token sums over 4096 ranges of the o
 in which range it ends, and only that range is put in order.
 
 Cases: a null path value is the value "(none)"; documents without tokens, or with a null text,
-are never taken; equal ids of one leaf tie by tokens; siblings tie by name; extra columns are
+are never taken; rows that share an id, or have none, are
+ordered by their text as well, so that only rows equal in both may stand for each other; siblings tie by name; extra columns are
 carried in `row`, whatever their names; an empty table gives an empty result. Weights are whole and positive; nodes
 without a weight have 1.
 """
@@ -75,12 +76,12 @@ def budgets(leaves: DataFrame, path: list[str], weights: dict[tuple[str, ...], i
     return leaves.join(given, path).withColumnRenamed("budget", "share")
 
 
-def mix(docs: DataFrame, path: dict[str, Column], weights: dict[tuple[str, ...], int], total: Column, tokens: Column, doc_id: str = "doc_id", seed: int = 0, epochs: int = 3, keep: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, path: dict[str, Column], weights: dict[tuple[str, ...], int], total: Column, tokens: Column, doc_id: str = "doc_id", seed: int = 0, epochs: int = 3, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """row (the columns of docs, or those named), the path columns, n_tokens, epoch and taken: a
     row for each time that a document is read. path: the tree's levels, from the top. Tokens are
     counted once, and the rows written with their counts."""
     own = [f"path_{i}" for i in range(len(path))]
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), *[F.coalesce(x.cast("string"), F.lit(NONE)).alias(n) for n, x in zip(own, path.values(), strict=True)], tokens.alias("n_tokens"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id"))
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), *[F.coalesce(x.cast("string"), F.lit(NONE)).alias(n) for n, x in zip(own, path.values(), strict=True)], tokens.alias("n_tokens"), F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit("")))).alias("id"))
     base = written(base.where(F.col("n_tokens") > 0))
     leaves = checkpointed(base.groupBy(*own).agg(F.sum("n_tokens").alias("supply")))
     plan = small(budgets(leaves, own, weights, total, epochs).select(*own, F.expr("cast(share div supply as int)").alias("whole"), F.expr("share % supply").alias("rest")))

@@ -116,7 +116,7 @@ WITH weights AS (
   SELECT * FROM (VALUES {", ".join(f"([{', '.join(repr(x) for x in k)}], {w})" for k, w in MIX.items())}) AS t(node, weight)
 ), base AS (
   SELECT doc_id, coalesce({DOMAIN.replace("cast(", "try_cast(")}, '(none)') AS domain, coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
-    len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS n_tokens
+    len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS n_tokens, md5(coalesce(text, '')) AS text_md5
   FROM documents
 ), docs AS (SELECT * FROM base WHERE n_tokens > 0
 ), leaves AS (
@@ -127,7 +127,7 @@ WITH weights AS (
 , plan AS (
   SELECT domain, lang, source, budget // supply AS whole, budget % supply AS rest FROM leaves JOIN g3 USING (domain, lang, source)
 ), keyed AS (
-  SELECT docs.*, whole, rest, md5('{MIX_SEED}:' || (whole + 1) || ':' || coalesce(doc_id::VARCHAR, '')) AS key FROM docs JOIN plan USING (domain, lang, source)
+  SELECT docs.*, whole, rest, md5('{MIX_SEED}:' || (whole + 1) || ':' || coalesce(doc_id::VARCHAR, '') || ':' || text_md5) AS key FROM docs JOIN plan USING (domain, lang, source)
 ), placed AS (
   SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key, n_tokens ROWS UNBOUNDED PRECEDING) - n_tokens AS start FROM keyed
 )
