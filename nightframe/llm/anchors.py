@@ -181,7 +181,7 @@ def part_of(h: np.ndarray, parts: int) -> np.ndarray:
 
 def shared_anchors(most: int):
     """For groupBy(part).applyInArrow: to each bucket, those of its hashes that two documents
-    have; the lowest bit tells that `most` documents or more have it."""
+    have, and for each whether it is crowded: whether `most` documents or more have it."""
 
     def share(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         buckets = table["bucket"].to_numpy()
@@ -193,15 +193,14 @@ def shared_anchors(most: int):
         begin, run = grouped(h[order])
         total = np.add.reduceat(n[order], begin)[run]
         keep = total >= 2
-        h = (h[order][keep] & ~U64(1)) | (total[keep] >= most).astype(U64)
-        of = of[order][keep]
+        h, of, crowded = h[order][keep], of[order][keep], total[keep] >= most
         order = np.argsort(of, kind="stable")
-        h, of = h[order], of[order]
+        h, of, crowded = h[order], of[order], crowded[order]
         each = ranges(of)
         return pa.table(
             {
                 "bucket": pa.array([buckets[of[a]] for a, _ in each], pa.int32()),
-                "data": pa.array([pack(**split48(h[a:b])) for a, b in each], pa.binary()),
+                "data": pa.array([pack(**split48(h[a:b]), crowded=np.packbits(crowded[a:b])) for a, b in each], pa.binary()),
             }
         )
 
@@ -212,17 +211,19 @@ class Shared:
     """Looks anchors up among those that shared_anchors sent to a bucket."""
 
     def __init__(self, table: pa.Table):
-        got = [join48(unpack(x)) for x in table["data"].to_pylist()]
-        self.h = np.sort(np.concatenate(got)) if got else np.zeros(0, U64)
+        got = list(map(unpack, table["data"].to_pylist()))
+        h = np.concatenate([*map(join48, got), np.zeros(0, U64)])
+        crowded = np.concatenate([*[np.unpackbits(x["crowded"], count=len(x["lo"])) for x in got], np.zeros(0, np.uint8)])
+        order = np.argsort(h)
+        self.h, self.crowded = h[order], crowded[order].astype(bool)
 
     def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which are shared, and which of all are crowded."""
         if not len(self.h):
             return np.zeros(len(h), bool), np.zeros(len(h), bool)
-        h = h & ~U64(1)
         at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        found = (self.h[at] & ~U64(1)) == h
-        return found, found & ((self.h[at] & U64(1)) == 1)
+        found = self.h[at] == h
+        return found, found & self.crowded[at]
 
 
 def window_minima(lcp: np.ndarray, lcs: np.ndarray, left_rank: np.ndarray, right_n: np.ndarray, left_n: np.ndarray, doc: np.ndarray, k: int, length: int) -> np.ndarray:

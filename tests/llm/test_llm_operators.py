@@ -7,10 +7,12 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
-from nightframe.llm import decontaminate, jaccard, language, mixing, quality, sanitise, token_counts, top_k
+from nightframe.llm import anchors, decontaminate, jaccard, language, mixing, quality, sanitise, token_counts, top_k
 from nightframe.llm.blocks import bucketed, pack, unpack
 from nightframe.llm.components import components
 from nightframe.llm.substring_dedup import substring_dedup
@@ -323,6 +325,16 @@ def test_language(spark):
     assert {r.lang_pred for r in language.identify(docs, nothing).collect()} == {"und"}
 
 
+def test_languages_of_long_rows_only(spark):
+    rng = random.Random(6)
+    parts = {"aa": ["ba", "do", "ki"], "bb": ["ze", "lu", "xo"]}
+    text = lambda lang, n: " ".join("".join(rng.choice(parts[lang]) for _ in range(3)) for _ in range(n))
+    docs = spark.createDataFrame([(i, text(k, n), k) for i, (k, n) in enumerate([("aa", 20), ("bb", 3000)] * 10)], "doc_id long, text string, lang string")
+    model = language.train(docs)
+    assert model.languages == ["aa", "bb"]
+    assert all(r.lang_pred == r.lang for r in language.identify(docs, model).join(docs, "doc_id").collect())
+
+
 def test_cross_parse_counts_longest_matches():
     model = language.Model({"l": "abcab"})
     symbols, size = model.encode(["abcabcab", "zz", "a", ""])
@@ -355,6 +367,13 @@ def test_mix_budgets(spark):
     assert sum(r.taken < r.n_tokens for r in rows) <= 3
 
 
+def test_mix_takes_the_same_rows_of_equal_ids(spark):
+    rows = [(None if i % 2 else 7, f"text {i % 900} w", "a") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    taken = [sorted((str(r.row.doc_id), r.row.text, r.epoch, r.taken) for r in mixing.mix(docs.repartition(n), {"lang": F.col("lang")}, {}, F.expr("supply div 2"), mixing.word_count(F.col("text"))).collect()) for n in (1, 7)]
+    assert taken[0] == taken[1] and 900 < len(taken[0]) < 1100
+
+
 def test_token_counts(docs):
     tokenizers = pytest.importorskip("tokenizers")
     tok = tokenizers.Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
@@ -372,6 +391,18 @@ def test_token_counts(docs):
             assert parts["head"][1] == sum(a < head for a, _ in enc.offsets)
 
 
+def test_tokens_of_very_long_runs(monkeypatch):
+    """Runs of white space that the pattern cannot pass whole give the tokens that it would give."""
+    texts = ["a" + " " * 40 + "b c", " " * 50, "x\n" + "\n" * 30 + "\u3000y", " " * 25 + "\x1c" * 30 + "z", "é" + "\t" * 33]
+    want = [token_counts.edges(t).tolist() for t in texts]
+    monkeypatch.setattr(token_counts, "_LONG", re.compile(token_counts._LONG.pattern.replace("1000", "20")))
+    assert [token_counts.edges(t).tolist() for t in texts] == want
+    monkeypatch.undo()
+    for c in " xé\n":
+        edge = token_counts.edges("A" + c * 3_000_000 + "B")
+        assert edge[-1] == 2 + 3_000_000 * len(c.encode()) and (np.diff(edge) > 0).all()
+
+
 def test_token_share_is_whole():
     edge = np.array([0, 3, 5, 9])
     cut = token_counts.attribute(edge, np.array([0, 4]), np.array([4, 9]), "share")
@@ -380,6 +411,16 @@ def test_token_share_is_whole():
     assert token_counts.attribute(edge, np.array([0, 4]), np.array([4, 9]), "last").tolist() == [1, 2]
 
 
+def test_crowded_anchors_that_differ_in_their_lowest_bit():
+    """Whether an anchor is crowded is told of each hash alone, whatever else a bucket has."""
+    h = np.array([1000, 1001], np.uint64)
+    sent = pa.table({"bucket": pa.array([1, 1, 2, 2], pa.int32()), "data": pa.array([pack(**anchors.split48(h), n=np.array([9, 1])), pack(**anchors.split48(h[1:]), n=np.array([1])), pack(**anchors.split48(h[:1]), n=np.array([9])), pack(**anchors.split48(h[1:]), n=np.array([1]))])})
+    told = anchors.shared_anchors(10)((pa.scalar(0),), sent)
+    for bucket in (1, 2):
+        found, crowded = anchors.Shared(told.filter(pa.compute.equal(told["bucket"], bucket)))(np.array([1000, 1001, 1002], np.uint64))
+        assert found.tolist() == [True, True, False] and crowded.tolist() == [True, False, False]
+
+
 def test_empty_tables(spark, empty):
     assert suffix_dedup(empty, digests=True).count() == 0
     assert substring_dedup(empty).count() == 0
