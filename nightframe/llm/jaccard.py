@@ -48,9 +48,10 @@ BUCKET_BYTES = 8 << 20
 #: The share of its least overlap that a set must find in other sets' longer prefixes, as 1 / LONGER.
 LONGER = 6
 #: Documents of a group outside its largest component: if there are so many at most, they are
-#: tried with all of the group, which is FEW pairs a document; else the group is divided by what
-#: its documents differ in. After TURNS divisions all pairs of what is left are tried.
-FEW, TURNS = 8, 6
+#: tried with all of the group, which is FEW pairs a document (FEW_DIVIDED in what a division has
+#: left, as those groups are small); else the group is divided by what its documents differ in.
+#: After TURNS divisions all pairs of what is left are tried.
+FEW, FEW_DIVIDED, TURNS = 8, 64, 6
 U64 = np.uint64
 _MESSAGE = "part int, bucket int, data binary"
 
@@ -315,12 +316,12 @@ ENTRY = ["g", "doc", "n", "excess", "room", "far", "kind"]
 
 def _between(entries: DataFrame, inner: DataFrame) -> DataFrame:
     """Entries of groups of several components, with their component c and `others`, how many of
-    the group's documents are not of its largest component. Groups of the second kind need both
+    the group's documents are not of its largest component, which is `top`. Groups of the second kind need both
     near and far ones."""
     entries = entries.select(ENTRY).join(inner.withColumnRenamed("node", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc")).drop("component")
     each = entries.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.min("far").alias("lo"), F.max("far").alias("hi"), F.max("kind").alias("kind"))
-    mixed = each.groupBy("g").agg((F.sum("n") - F.max("n")).alias("others"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("kind").alias("kind"))
-    mixed = mixed.where("others > 0 and hi and (kind = 0 or not lo)").select("g", "others")
+    mixed = each.groupBy("g").agg((F.sum("n") - F.max("n")).alias("others"), F.max_by("c", "n").alias("top"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("kind").alias("kind"))
+    mixed = mixed.where("others > 0 and hi and (kind = 0 or not lo)").select("g", "others", "top")
     return checkpointed(entries.join(mixed, "g"))
 
 
@@ -438,10 +439,13 @@ def grouped_rows(rows: DataFrame, remaining: DataFrame, third: DataFrame, part:
     entries = third.where("kind = 3").select("data").mapInArrow(_entries(part, whole), "g long, doc long, n int, excess long, room int, far boolean, kind int")
     entries = _between(entries, inner)
     for turn in range(TURNS):
-        few = entries.where(F.col("others") <= FEW)
+        most = FEW_DIVIDED if turn else FEW
+        few = entries.where(F.col("others") <= most)
         links = alike(_pairs(few, part, whole))
-        crowd = entries.where(F.col("others") > FEW)
+        crowd = entries.where(F.col("others") > most)
         done = crowd.isEmpty()
+        if not turn:  # crowded groups around one component are one group, so that a document is in it once
+            crowd = crowd.select(F.col("top").alias("g"), "doc", "n", "c").distinct()
         if not done:
             direct, entries = _recentred(crowd, remaining, turn, part, whole)
             links = links.union(direct)
