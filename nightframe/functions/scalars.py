@@ -160,9 +160,14 @@ def exif_fov(f35: Column, zoom: Column, w: Column, h: Column) -> Column:
     return F.when(fov.between(FOV_MIN, FOV_MAX), fov)
 
 
+#: The weight of the prior on distortion, up to a field of view and from one on.
+PRIOR = ((30.0, 10.0), (70.0, 2.5))
+
+
 def distortion_weight(fov: Column) -> Column:
-    """1 up to 30 degrees, falling to 0 at 70."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (70.0 - fov) / 40.0))
+    """Falls in a straight line between the two."""
+    (low, full), (high, least) = PRIOR
+    return full + F.greatest(F.lit(0.0), F.least(F.lit(1.0), (fov - low) / (high - low))) * (least - full)
 
 
 def band(center: Column) -> Column:
@@ -172,21 +177,31 @@ def band(center: Column) -> Column:
     return F.struct(F.least(F.floor(c * 0.75).cast("double"), top - 1.0).alias("min_fov"), top.alias("max_fov"))
 
 
-#: The fields of view tried without a hint, and the prefixes of detections.
-BLIND_FOVS = (15.0, 25.0, 40.0, 60.0)
-NARROW_FOV = 22.0
+#: Prefixes of detections, and what to try, in order: what a rung needs, its field
+#: of view and its tolerance (both null: the hint's own).
 PREFIXES = (8, 10, 12, 16, 20, 30)
 LEAST_DETECTIONS = 4
-
-
-def attempts(hint: Column, attitude: Column) -> Column:
-    """What to try, in order: structs of label, fov, fov_err."""
-    item = lambda label, fov, err: F.struct(F.lit(label).alias("label"), fov.cast("double").alias("fov"), err.cast("double").alias("fov_err"))
+RUNGS = (
+    (0, "hinted attitude", True, True, None, None),
+    (1, "hinted field", True, False, None, None),
+    (2, "usual field", False, False, 22.0, 5.0),
+    (3, "field 15", None, False, 15.0, 5.25),
+    (4, "field 25", None, False, 25.0, 8.75),
+    (5, "field 40", None, False, 40.0, 14.0),
+    (6, "field 60", None, False, 60.0, 21.0),
+)
+
+
+def rungs(hint: Column, attitude: Column) -> Column:
+    """The rungs that a request takes, in order: an array of rung, label, fov, fov_err. A rung is
+    for requests with a hint, without one, or for all."""
     near = F.greatest(hint * 0.12, F.lit(5.0))
-    none = F.filter(F.array(item("", F.lit(0.0), F.lit(0.0))), lambda _: F.lit(False))
-    first = F.when(hint.isNotNull() & attitude, F.array(item("track", hint, near))).otherwise(none)
-    second = F.when(hint.isNotNull(), F.array(item("fov-hint", hint, near))).otherwise(F.array(item("narrow", F.lit(NARROW_FOV), F.lit(5.0))))
-    return F.concat(first, second, F.array(*[item("blind", F.lit(f), F.lit(0.35 * f)) for f in BLIND_FOVS]))
+    each = []
+    for rung, label, needs_hint, needs_attitude, fov, err in RUNGS:
+        takes = F.lit(True) if needs_hint is None else hint.isNotNull() == F.lit(needs_hint)
+        item = F.struct(F.lit(rung).alias("rung"), F.lit(label).alias("label"), (hint if fov is None else F.lit(fov)).cast("double").alias("fov"), (near if err is None else F.lit(err)).cast("double").alias("fov_err"))
+        each.append(F.when(takes & (attitude | F.lit(not needs_attitude)), item))
+    return F.array_compact(F.array(*each))
 
 
 def prefixes(n: Column) -> Column:

@@ -17,6 +17,8 @@ from ..operators import joins
 #: Width and height of a frame in pixels.
 WIDTH, HEIGHT = 740, 576
 FOCAL = 1900.0
+#: A prime by which keys are scattered.
+SCATTER = 1000003
 
 
 class Tables:
@@ -38,6 +40,23 @@ class Tables:
             F.col("p_brand").alias("con"),
         )
 
+    @cached_property
+    def sky(self) -> DataFrame:
+        """The parts as stars scattered over the sphere (`stars` lie along a curve), for the solver."""
+        k = F.col("p_partkey") % SCATTER
+        part = lambda a, b: ((k * k % SCATTER * a + k * b) % SCATTER + 0.5) / float(SCATTER)
+        mag = F.round((F.lit(-1.5) + F.col("p_size") * F.lit(0.16)) * 100) / 100
+        return self.read("part").select(F.col("p_partkey").alias("star_id"), (part(7919, 104729) * 360.0).alias("ra_deg"), F.degrees(F.asin(2 * part(6101, 15485) - 1)).alias("dec_deg"), mag.alias("mag"))
+
+    @cached_property
+    def sightings(self) -> DataFrame:
+        """What frames show of the sky: a pixel off at most, without every seventh star; det_id
+        tells nothing of the star."""
+        seen = joins.stars_in_frames(self.sky, self.frames, radius_deg=S.half_diagonal_deg(FOCAL, WIDTH, HEIGHT) + 1.0).where("star_id % 7 <> 0")
+        dx = ((F.col("star_id") * 31 + F.col("frame_id") * 17) % 11 - 5) * F.lit(0.2)
+        dy = ((F.col("star_id") * 13 + F.col("frame_id") * 7) % 11 - 5) * F.lit(0.2)
+        return seen.select("frame_id", ((F.col("star_id") * 7919 + 5) % SCATTER).alias("det_id"), (F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), (10.0 - F.col("mag")).alias("flux"))
+
     @cached_property
     def frames(self) -> DataFrame:
         k = F.col("s_suppkey")
@@ -164,6 +183,16 @@ SELECT * FROM (
 SELECT frame_id, star_id AS det_id, x + ((star_id * 31 + frame_id * 17) % 11 - 5) * 0.2::DOUBLE AS x,
   y + ((star_id * 13 + frame_id * 7) % 11 - 5) * 0.2::DOUBLE AS y, 10.0::DOUBLE - mag AS flux
 FROM in_frame WHERE star_id % 7 <> 0""",
+    "sky": f"""
+SELECT star_id, ((k * k % {SCATTER} * 7919 + k * 104729) % {SCATTER} + 0.5::DOUBLE) / {SCATTER}.0::DOUBLE * 360.0 AS ra_deg,
+  degrees(asin(2 * (((k * k % {SCATTER} * 6101 + k * 15485) % {SCATTER} + 0.5::DOUBLE) / {SCATTER}.0::DOUBLE) - 1)) AS dec_deg, mag
+FROM (SELECT p_partkey AS star_id, p_partkey % {SCATTER} AS k, round((-1.5::DOUBLE + p_size * 0.16::DOUBLE) * 100) / 100 AS mag FROM part)""",
+    "sky_units": f"SELECT *, {_X} AS sx, {_Y} AS sy, {_Z} AS sz FROM sky",
+    "sightings": f"""
+SELECT frame_id, (star_id * 7919 + 5) % {SCATTER} AS det_id, w / 2.0 + focal * cx / cz + ((star_id * 31 + frame_id * 17) % 11 - 5) * 0.2::DOUBLE AS x,
+  h / 2.0 - focal * cy / cz + ((star_id * 13 + frame_id * 7) % 11 - 5) * 0.2::DOUBLE AS y, 10.0::DOUBLE - mag AS flux FROM (
+  SELECT frame_id, star_id, mag, focal, w, h, rx * sx + ry * sy + rz * sz AS cx, ux * sx + uy * sy + uz * sz AS cy, fx * sx + fy * sy + fz * sz AS cz FROM frame_rot, sky_units WHERE star_id % 7 <> 0)
+WHERE cz > 0.05 AND w / 2.0 + focal * cx / cz >= 0 AND w / 2.0 + focal * cx / cz < w AND h / 2.0 - focal * cy / cz >= 0 AND h / 2.0 - focal * cy / cz < h""",
     "solve_log": """
 SELECT event_id AS id, user_id AS cam, ts, CASE event_type WHEN 'signup' THEN 'rejected' WHEN 'error' THEN 'failed' ELSE 'solved' END AS outcome,
   value AS fov, event_id * 37 % 5000 AS wall_ms, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k

@@ -270,7 +270,7 @@ def _(t):
 
 
 @query("f38_band_and_weight", f"""
-SELECT id, least(floor(c * 0.75::DOUBLE), top - 1)::DOUBLE AS min_fov, top AS max_fov, {r6('greatest(0.0, least(1.0, (70.0 - fov) / 40.0))')} AS weight, {r6('greatest(0.0, least(1.0, fov / 40.0))')} AS confidence
+SELECT id, least(floor(c * 0.75::DOUBLE), top - 1)::DOUBLE AS min_fov, top AS max_fov, {r6('10.0 - 7.5 * greatest(0.0, least(1.0, (fov - 30.0) / 40.0))')} AS weight, {r6('greatest(0.0, least(1.0, fov / 40.0))')} AS confidence
 FROM (SELECT *, least(ceil(c * 1.35::DOUBLE), 90.0)::DOUBLE AS top FROM (SELECT id, 8 + (id % 870) / 10.0::DOUBLE AS fov, round(8 + (id % 870) / 10.0::DOUBLE) AS c FROM eval_runs))""")
 def _(t):
     """Bounds of a dense band (F39), weight of the distortion's prior (F38), confidence (F41)."""
@@ -280,15 +280,15 @@ def _(t):
 
 
 @query("f40_attempts", f"""
-SELECT id, nth::INTEGER AS nth, label, {r6('fov')} AS fov, {r6('fov_err')} AS fov_err FROM (
-  SELECT id, row_number() OVER (PARTITION BY id ORDER BY step) AS nth, label, fov, fov_err FROM (
-    SELECT id, 1 AS step, 'track' AS label, hint AS fov, greatest(hint * 0.12::DOUBLE, 5) AS fov_err FROM h WHERE hint IS NOT NULL AND attitude
-    UNION ALL SELECT id, 2, 'fov-hint', hint, greatest(hint * 0.12::DOUBLE, 5) FROM h WHERE hint IS NOT NULL
-    UNION ALL SELECT id, 2, 'narrow', 22.0, 5.0 FROM h WHERE hint IS NULL
-    UNION ALL SELECT id, 3 + i, 'blind', f, 0.35::DOUBLE * f FROM h, (VALUES (0, 15.0::DOUBLE), (1, 25.0::DOUBLE), (2, 40.0::DOUBLE), (3, 60.0::DOUBLE)) AS b(i, f)))""".replace("FROM h", "FROM (SELECT id, CASE WHEN k % 3 <> 0 THEN fov END AS hint, k % 2 = 0 AS attitude FROM solve_log)"))
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY rung)::INTEGER AS nth, label, {r6('fov')} AS fov, {r6('fov_err')} AS fov_err FROM (
+  SELECT id, rung, label, coalesce(fov, hint) AS fov, coalesce(fov_err, greatest(hint * 0.12::DOUBLE, 5)) AS fov_err
+  FROM (SELECT id, CASE WHEN k % 3 <> 0 THEN fov END AS hint, k % 2 = 0 AS attitude FROM solve_log) JOIN (VALUES
+    (0, 'hinted attitude', true, true, NULL::DOUBLE, NULL::DOUBLE), (1, 'hinted field', true, false, NULL, NULL), (2, 'usual field', false, false, 22.0, 5.0),
+    (3, 'field 15', NULL, false, 15.0, 5.25), (4, 'field 25', NULL, false, 25.0, 8.75), (5, 'field 40', NULL, false, 40.0, 14.0), (6, 'field 60', NULL, false, 60.0, 21.0)
+  ) AS r(rung, label, needs_hint, needs_attitude, fov, fov_err) ON (needs_hint IS NULL OR needs_hint = (hint IS NOT NULL)) AND (NOT needs_attitude OR attitude))""")
 def _(t):
     hint = F.when(F.col("k") % 3 != 0, F.col("fov"))
-    each = t.solve_log.select("id", F.posexplode(C.attempts(hint, F.col("k") % 2 == 0)).alias("nth", "a"))
+    each = t.solve_log.select("id", F.posexplode(C.rungs(hint, F.col("k") % 2 == 0)).alias("nth", "a"))
     return each.select("id", (F.col("nth") + 1).alias("nth"), "a.label", R(F.col("a.fov")).alias("fov"), R(F.col("a.fov_err")).alias("fov_err"))
 
 
