@@ -51,7 +51,7 @@ LONGER = 6
 #: tried with all of the group, which is FEW pairs a document (FEW_DIVIDED in what a division has
 #: left, as those groups are small); else the group is divided by what its documents differ in.
 #: After TURNS divisions all pairs of what is left are tried.
-FEW, FEW_DIVIDED, TURNS = 8, 64, 6
+FEW, FEW_DIVIDED, TURNS = 8, 256, 6
 U64 = np.uint64
 _MESSAGE = "part int, bucket int, data binary"
 
