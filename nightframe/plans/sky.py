@@ -256,9 +256,21 @@ def _(t):
     return hits.join(n, "frame_id").withColumn("log_odds", R(C.log_odds(F.col("hits"), F.col("n"), F.lit(WIDTH), F.lit(HEIGHT))))
 
 
-@query("j09_greedy_global")
+#: A greedy pass in order as a fold: a pair is kept if no kept one has either of its ends.
+_FOLD = "list_reduce(list([[{a}, {b}]] ORDER BY {order}), lambda kept, x: CASE WHEN len(list_filter(kept, lambda p: p[1] = x[1][1] OR p[2] = x[1][2])) > 0 THEN kept ELSE list_concat(kept, x) END)"
+_GREEDY = f"SELECT frame_id, p[1] AS star_id, p[2] AS det_id FROM (SELECT frame_id, unnest({_FOLD.format(a='star_id', b='det_id', order='d2, star_id, det_id')}) AS p FROM ({_PAIRS}) GROUP BY frame_id)"
+_RANKED = "SELECT p.*, row_number() OVER (PARTITION BY frame_id ORDER BY flux DESC, det_id) AS rank FROM detections p"
+_MATCHED = f"SELECT frame_id, p[2] AS det_id, p[1] AS star_id FROM (SELECT frame_id, unnest({_FOLD.format(a='star_id', b='det_id', order='rank, d2, star_id')}) AS p FROM ({_PAIRS}) JOIN ({_RANKED}) r USING (frame_id, det_id) GROUP BY frame_id)"
+
+
+def _kept_sql(radius: float, test: str) -> str:
+    """Points in order without those near one kept before: det_id, in the order in which they are kept."""
+    fold = f"list_reduce(list([[det_id::DOUBLE, x, y]] ORDER BY flux DESC, y, x, det_id), lambda kept, q: CASE WHEN len(list_filter(kept, lambda p: (p[2] - q[1][2]) ** 2 + (p[3] - q[1][3]) ** 2 {test} {radius * radius}::DOUBLE)) > 0 THEN kept ELSE list_concat(kept, q) END)"
+    return f"SELECT frame_id, unnest(kept)[1]::BIGINT AS det_id, unnest(range(1, len(kept) + 1)) AS nth FROM (SELECT frame_id, {fold} AS kept FROM detections GROUP BY frame_id)"
+
+
+@query("j09_greedy_global", f"SELECT frame_id, star_id, det_id, {r6('d2')} AS d2 FROM ({_GREEDY}) JOIN ({_PAIRS}) USING (frame_id, star_id, det_id)")
 def _(t):
-    """Against a pass in order in tests/test_matching.py."""
     return matching.greedy_pairs(pairs(t), "star_id", "det_id").select("frame_id", "star_id", "det_id", R(F.col("d2")).alias("d2"))
 
 
@@ -268,12 +280,15 @@ def matched(t):
     return matching.greedy_by_detection(pairs(t).join(ranked, ["frame_id", "det_id"]), "rank", "det_id", "star_id")
 
 
-@query("j10_greedy_truth")
+@query("j10_greedy_truth", f"SELECT frame_id, det_id, star_id FROM ({_MATCHED})")
 def _(t):
     return matched(t).select("frame_id", "det_id", "star_id")
 
 
-@query("a42_detection_counts")
+@query("a42_detection_counts", f"""
+SELECT frame_id, tp, n - tp AS fp, m - tp AS fn, {r6('CASE WHEN n > 0 THEN tp / n ELSE 0.0 END')} AS precision, {r6('CASE WHEN m > 0 THEN tp / m ELSE 0.0 END')} AS recall FROM (
+  SELECT frame_id, m, coalesce(n, 0) AS n, coalesce(tp, 0) AS tp FROM (SELECT frame_id, count(*) AS m FROM in_frame GROUP BY frame_id)
+  LEFT JOIN (SELECT frame_id, count(*) AS n FROM detections GROUP BY frame_id) USING (frame_id) LEFT JOIN (SELECT frame_id, count(*) AS tp FROM ({_MATCHED}) GROUP BY frame_id) USING (frame_id))""")
 def _(t):
     hit = matched(t).groupBy("frame_id").agg(F.count(F.lit(1)).alias("tp"))
     n = t.detections.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"))
@@ -284,19 +299,19 @@ def _(t):
     return each.withColumn("precision", ratio("fp")).withColumn("recall", ratio("fn"))
 
 
-@query("j20_nms")
+@query("j20_nms", f"SELECT frame_id, det_id FROM ({_kept_sql(12.0, '<=')})")
 def _(t):
     points = t.detections.withColumn("order", -F.col("flux"))
     return matching.suppress(points, ["order", "y", "x"], "det_id", 12.0, inclusive=True).select("frame_id", "det_id")
 
 
-@query("o09_nms_capped")
+@query("o09_nms_capped", f"SELECT frame_id, det_id FROM ({_kept_sql(12.0, '<=')}) WHERE nth <= 20")
 def _(t):
     points = t.detections.withColumn("order", -F.col("flux"))
     return matching.suppress(points, ["order", "y", "x"], "det_id", 12.0, inclusive=True, most=20).select("frame_id", "det_id")
 
 
-@query("j21_dedup")
+@query("j21_dedup", f"SELECT frame_id, det_id FROM ({_kept_sql(30.0, '<')})")
 def _(t):
     points = t.detections.withColumn("order", -F.col("flux"))
     return matching.suppress(points, ["order", "y", "x"], "det_id", 30.0, inclusive=False).select("frame_id", "det_id")
@@ -374,13 +389,16 @@ def _(t):
 RADII = (0.5, 1.0, 3.0)
 _CANDIDATES = f"""
 SELECT frame_id, attempt, hits, n, {r6(f'hits * ln(0.85::DOUBLE / {_LO_P}) + (n - hits) * ln(0.15::DOUBLE / (1.0 - {_LO_P}))')} AS log_odds FROM (
-  SELECT frame_id, attempt, count(*) AS hits FROM ({_PAIRS}), (VALUES {", ".join(f"({i}, {r}::DOUBLE)" for i, r in enumerate(RADII))}) AS v(attempt, r)
-  WHERE star_id = det_id AND d2 <= r * r GROUP BY ALL) JOIN (SELECT frame_id, count(*) AS n FROM detections GROUP BY frame_id) USING (frame_id)"""
+  SELECT frame_id, attempt, count(*) AS hits FROM ({_GREEDY}) JOIN ({_PAIRS}) USING (frame_id, star_id, det_id), (VALUES {", ".join(f"({i}, {r}::DOUBLE)" for i, r in enumerate(RADII))}) AS v(attempt, r)
+  WHERE d2 <= r * r GROUP BY ALL) JOIN (SELECT frame_id, count(*) AS n FROM detections GROUP BY frame_id) USING (frame_id)"""
 
 
 def candidates(t):
+    """Hits are the pairs of the greedy matching (J09); which star a detection is of is not read.
+    What a smaller radius matches is the part of the larger one's that lies within it."""
     radii = F.explode(F.array(*[F.struct(F.lit(i).alias("attempt"), F.lit(r).alias("r")) for i, r in enumerate(RADII)]))
-    hits = pairs(t).where("star_id = det_id").withColumn("a", radii).where("d2 <= a.r * a.r").groupBy("frame_id", F.col("a.attempt").alias("attempt")).agg(F.count(F.lit(1)).alias("hits"))
+    met = matching.greedy_pairs(pairs(t), "star_id", "det_id")
+    hits = met.withColumn("a", radii).where("d2 <= a.r * a.r").groupBy("frame_id", F.col("a.attempt").alias("attempt")).agg(F.count(F.lit(1)).alias("hits"))
     n = t.detections.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"))
     return hits.join(n, "frame_id").withColumn("log_odds", R(C.log_odds(F.col("hits"), F.col("n"), F.lit(WIDTH), F.lit(HEIGHT))))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as C
 from ..operators import aggregates as A
-from ..operators import joins
+from ..operators import carry, joins
 from .bindings import R, r6
 from .evaluation import _ranked_sql
 from .registry import query
@@ -115,3 +115,30 @@ def _(t):
     return t.solve_log.select("id", C.rfc3339(F.col("ts")).alias("ts"))
 
 
+_SOURCES = "list_filter(known, lambda s: s.ts IS NOT NULL)"
+
+
+@query("w13_two_pass_carry", f"""
+WITH RECURSIVE frames_of AS (SELECT cam, id, epoch_us(ts) AS ts, outcome = 'solved' AS ok, fov FROM solve_log WHERE outcome <> 'rejected'
+), solved_first AS (SELECT cam, list({{'id': id, 'ts': ts, 'fov': fov}} ORDER BY id) AS known, list_sort(list(fov))[count(*) // 2 + 1] AS median FROM frames_of WHERE ok GROUP BY cam
+), again AS (SELECT *, row_number() OVER (PARTITION BY cam ORDER BY id) AS i FROM frames_of WHERE NOT ok
+), steps AS (
+  SELECT cam, 0::BIGINT AS i, NULL::BIGINT AS id, NULL::BIGINT AS source, NULL::BOOLEAN AS ok, coalesce(known, []) AS known, median FROM (SELECT DISTINCT cam FROM again) LEFT JOIN solved_first USING (cam)
+  UNION ALL
+  SELECT cam, i, id, s.id, good, CASE WHEN good THEN list_append(known, {{'id': id, 'ts': ts, 'fov': fov}}) ELSE known END, median FROM (
+    SELECT *, coalesce(abs(fov - coalesce(s.fov, median, 0)) <= 12, false) AS good FROM (
+      SELECT a.cam, a.i, a.id, a.ts, a.fov, p.known, p.median,
+        list_sort(list_transform(p.known, lambda s: {{'d': abs(s.ts - a.ts), 'id': s.id, 'fov': s.fov}}))[1] AS s
+      FROM steps p JOIN again a ON a.cam = p.cam AND a.i = p.i + 1))
+)
+SELECT cam, id, 2 AS pass, ok AS solved, source FROM steps WHERE i > 0 UNION ALL SELECT cam, id, 1, true, NULL FROM frames_of WHERE ok""")
+def _(t):
+    """A camera's failed frames again, in order (Z07): one is solved if its field of view is near
+    that of the frame that helps it, which an earlier one of them may be."""
+    log = t.solve_log.where("outcome <> 'rejected'").select(F.col("cam").alias("batch"), F.col("id").alias("pos"), "ts", (F.col("outcome") == "solved").alias("solved"), "fov", F.col("fov").alias("seen"))
+
+    def resolve(rows):
+        near = F.abs(F.col("fov") - F.coalesce("hint_seen", "hint_fov", F.lit(0.0))) <= 12
+        return rows.select("batch", "pos", F.coalesce(near, F.lit(False)).alias("solved"), "fov", "seen")
+
+    return carry.two_passes(log, resolve, ["seen"]).select(F.col("batch").alias("cam"), F.col("pos").alias("id"), "pass", "solved", "source")
