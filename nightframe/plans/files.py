@@ -126,3 +126,13 @@ def _(t):
     _events(t, path)
     hints = log.carried_hints(log.log_stream(t.spark, path, files=10_000))
     return log.written(hints, out)
+
+
+@query("k08_log_sink", "SELECT id, cam, outcome, fov, wall_ms FROM solve_log")
+def _(t):
+    """The log appended as JSON lines by a stream, each batch once, and read back."""
+    path = folder(t)
+    t.solve_log.select("id", "cam", "ts", "outcome", "fov", F.col("wall_ms").cast("long").alias("wall_ms")).write.json(f"{path}/in")
+    sink, _ = log.append_log(log.log_stream(t.spark, f"{path}/in"), f"{path}/out", f"{path}/state")
+    sink.awaitTermination()
+    return log.read_log(t.spark, f"{path}/out").select("id", "cam", "outcome", "fov", "wall_ms")

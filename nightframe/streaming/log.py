@@ -66,3 +66,29 @@ def written(stream: DataFrame, path: str) -> DataFrame:
     query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state")
     query.trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+def append_log(stream: DataFrame, path: str, state: str):
+    """Starts a stream that appends its rows as JSON lines to a folder, each batch once, and
+    never fails for them: returns the query and the list of its warnings.
+
+    A batch is a folder named after its number, which is published last, by the success mark that
+    Spark's writer leaves. A batch that comes again, after a restart, overwrites the same folder,
+    so no row is there twice. A batch that cannot be written is left out and told of once; the
+    stream goes on. Null fields are left out of the lines."""
+    warnings: list[str] = []
+
+    def write(rows: DataFrame, number: int) -> None:
+        try:
+            rows.write.mode("overwrite").json(f"{path}/batch={number}")
+        except Exception as e:  # a log must not stop what it logs
+            if not warnings:
+                warnings.append(f"batch {number} of the log was not written (more will not be told of): {str(e).splitlines()[0][:200]}")
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
+    return query, warnings
+
+
+def read_log(spark: SparkSession, path: str, schema: str = EVENTS) -> DataFrame:
+    """The lines of all batches that were written whole."""
+    return spark.read.schema(schema).json(f"{path}/batch=*")
