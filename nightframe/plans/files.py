@@ -136,3 +136,34 @@ def _(t):
     sink, _ = log.append_log(log.log_stream(t.spark, f"{path}/in"), f"{path}/out", f"{path}/state")
     sink.awaitTermination()
     return log.read_log(t.spark, f"{path}/out").select("id", "cam", "outcome", "fov", "wall_ms")
+
+
+def _reports(t) -> DataFrame:
+    return t.eval_runs.select("id", "track", "status", F.when(F.col("status") == "failed", F.col("code")).alias("code"), F.when(F.col("status") == "solved", F.col("axis")).alias("axis"))
+
+
+@query("k02_run_folder", f"""
+SELECT 'frame' AS kind, id::VARCHAR AS name, status, {r6("CASE WHEN status = 'solved' THEN axis END")} AS axis FROM eval_runs
+UNION ALL SELECT 'worst', lpad(nth::VARCHAR, 2, '0') || '_' || id, 'solved', {r6('axis')} FROM (SELECT *, row_number() OVER (ORDER BY axis DESC, id) AS nth FROM eval_runs WHERE status = 'solved') WHERE nth <= 10""")
+def _(t):
+    """A run's folder, read back: all reports, and the copies of the worst."""
+    path = folder(t)
+    outputs.write_run(_reports(t), path)
+    frames = t.spark.read.schema("id long, status string, axis double").json(f"{path}/per-frame")
+    worst = t.spark.read.schema("id long, status string, axis double, case string").json(f"{path}/worst-cases")
+    each = [frames.select(F.lit("frame").alias("kind"), F.col("id").cast("string").alias("name"), "status", "axis"), worst.select(F.lit("worst").alias("kind"), F.col("case").alias("name"), "status", "axis")]
+    return each[0].unionByName(each[1]).withColumn("axis", R(F.col("axis")))
+
+
+_RATE = "count(*) FILTER (status = 'solved') / count(*) FILTER (status <> 'missing_image')"
+_P95 = "quantile_cont(CASE WHEN status = 'solved' THEN axis END, 0.95)"
+
+
+@query("s18_previous_summary", f"SELECT solve_rate, error_p95, old_rate, old_p95, error_p95 <= old_p95 * 1.1::DOUBLE AS passes FROM (SELECT {r6(_RATE)} AS solve_rate, {r6(_P95)} AS error_p95, {r6(_RATE)} AS old_rate, {r6(f'{_P95} * 0.875::DOUBLE')} AS old_p95 FROM eval_runs)")
+def _(t):
+    """A run against the summary of one before it, whose errors were an eighth less."""
+    path = folder(t)
+    outputs.write_run(_reports(t).withColumn("axis", F.col("axis") * 0.875), f"{path}/before")
+    outputs.write_run(_reports(t), f"{path}/now")
+    got = outputs.gate(outputs.read_summary(t.spark, f"{path}/now"), outputs.read_summary(t.spark, f"{path}/before"))
+    return got.select(*[R(F.col(c)).alias(c) for c in ("solve_rate", "error_p95", "old_rate", "old_p95")], "passes")
