@@ -9,7 +9,7 @@ from ..functions import sphere as S
 from ..operators import matching
 from .bindings import FOCAL, HEIGHT, WIDTH, R, r6
 from .registry import query
-from .sky import _CANDIDATES, _PAIRS, candidates, cone, pairs
+from .sky import _CANDIDATES, _FOLD, _PAIRS, candidates, cone, pairs
 
 
 @query("g10_pinhole", f"SELECT frame_id, star_id, {r6('w / 2.0 + focal * cx / cz')} AS x, {r6('h / 2.0 - focal * cy / cz')} AS y FROM cone WHERE cz > 0")
@@ -86,10 +86,13 @@ def _(t):
     return pairs(t).join(t.stars.select("star_id", "mag", "con"), "star_id").select("frame_id", "det_id", "star_id", "mag", "con")
 
 
-@query("j13_exclusive_seeds")
+_SCORED = f"SELECT *, exp(-d2) AS score, row_number() OVER (PARTITION BY frame_id ORDER BY exp(-d2) DESC, star_id, det_id) AS n FROM ({_PAIRS})"
+_SEEDED = f"SELECT frame_id, variant, unnest({_FOLD.format(a='star_id', b='det_id', order='n = variant DESC, score DESC, star_id, det_id')}) AS p FROM ({_SCORED}) JOIN (SELECT frame_id, n AS variant FROM ({_SCORED}) WHERE n <= 3) USING (frame_id) GROUP BY frame_id, variant"
+
+
+@query("j13_exclusive_seeds", f"SELECT variant::INTEGER AS variant, frame_id, star_id, det_id, {r6('score')} AS score FROM ({_SEEDED}) s JOIN ({_SCORED}) q USING (frame_id) WHERE q.star_id = s.p[1] AND q.det_id = s.p[2]")
 def _(t):
-    """Three variants a frame, each with another of its closest pairs first; against a pass in
-    order in tests/test_matching.py."""
+    """Three variants a frame, each with another of its closest pairs first."""
     near = pairs(t).withColumn("score", F.exp(-F.col("d2"))).select("frame_id", "star_id", "det_id", "score")
     nth = F.row_number().over(Window.partitionBy("frame_id").orderBy(F.desc("score"), "star_id", "det_id"))
     seeds = near.withColumn("variant", nth).where("variant <= 3").select("variant", "frame_id", "star_id", "det_id")

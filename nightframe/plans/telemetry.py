@@ -82,12 +82,13 @@ def _(t):
 
 
 @query("w14_upsert", """
-SELECT l.id, CASE WHEN l.outcome = 'failed' AND r.hint IS NOT NULL AND l.id % 2 = 0 THEN 'solved' ELSE l.outcome END AS outcome, CASE WHEN l.outcome = 'failed' AND r.hint IS NOT NULL AND l.id % 2 = 0 THEN r.hint ELSE l.fov END AS fov
+SELECT l.id, CASE WHEN l.outcome = 'failed' AND abs(l.fov - r.hint) <= 300 THEN 'solved' ELSE l.outcome END AS outcome, CASE WHEN l.outcome = 'failed' AND abs(l.fov - r.hint) <= 300 THEN r.hint ELSE l.fov END AS fov
 FROM solve_log l LEFT JOIN (SELECT cam, max(fov) AS hint FROM solve_log WHERE outcome = 'solved' GROUP BY cam) r USING (cam)""")
 def _(t):
-    """A second pass takes a row's place only if it solved: here, with a hint, every other one."""
+    """A second pass takes a row's place only if it solved: here, if the camera's widest field of
+    view, as its hint, is not too far from the frame's own."""
     hints = t.solve_log.where("outcome = 'solved'").groupBy("cam").agg(F.max("fov").alias("hint"))
-    again = t.solve_log.where("outcome = 'failed' and id % 2 = 0").join(hints, "cam").select("id", F.lit("solved").alias("again"), F.col("hint"))
+    again = t.solve_log.where("outcome = 'failed'").join(hints, "cam").where("abs(fov - hint) <= 300").select("id", F.lit("solved").alias("again"), F.col("hint"))
     return t.solve_log.join(again, "id", "left").select("id", F.coalesce("again", "outcome").alias("outcome"), F.coalesce("hint", "fov").alias("fov"))
 
 
