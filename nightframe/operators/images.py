@@ -1,18 +1,22 @@
 """Operators on rasters given as pixels: frame_id, x, y, v.
 
-Every step is a join on pixel or cell keys or a group of them, so frames of any size spread
-over the cluster; nothing gathers a frame in one task.
+Every step is a join on pixel or cell keys, a group of them, or work on tiles of bounded size, so
+frames of any size spread over the cluster; nothing gathers a frame in one task.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .aggregates import clipped_median, mad_sigma, median, ranked_values
+from . import tiles
+from .aggregates import mad_sigma, median, ranked_values
 
 KEY = "frame_id"
 AROUND = [(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dx, dy) != (0, 0)]
@@ -39,22 +43,55 @@ def remove_stripes(pixels: DataFrame) -> DataFrame:
     return out.join(by_row, [KEY, "y"]).select(KEY, "x", "y", (F.col("v") - F.col("m")).alias("v"))
 
 
+def _clipped(v: np.ndarray, rounds: int = 3, width: float = 3.0) -> float | None:
+    """Median after dropping, so many times, what is more than width sigmas off; a round that
+    would drop all keeps all."""
+    for _ in range(rounds if len(v) else 0):
+        off = np.abs(v - np.median(v))
+        near = off <= width * (np.median(off) * 1.4826)
+        v = v[near] if near.any() else v
+    return float(np.median(v)) if len(v) else None
+
+
 def mesh_medians(pixels: DataFrame, mesh: int) -> DataFrame:
-    """frame_id, cx, cy, median: sigma-clipped, of each mesh cell."""
-    cells = pixels.withColumn("cx", F.floor(F.col("x") / mesh).cast("int")).withColumn("cy", F.floor(F.col("y") / mesh).cast("int"))
-    return clipped_median(cells, [KEY, "cx", "cy"], "v")
+    """frame_id, cx, cy, median: sigma-clipped, of each mesh cell. A cell has mesh * mesh values
+    at most; they are gathered once."""
+    cell = lambda c: F.floor(F.col(c) / mesh).cast("int")
+    cells = pixels.groupBy(KEY, cell("x").alias("cx"), cell("y").alias("cy")).agg(F.collect_list(F.col("v").cast("double")).alias("v"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values, ends = b["v"].flatten().to_numpy(zero_copy_only=False), np.cumsum(b["v"].value_lengths().to_numpy())
+            medians = pa.array([_clipped(v) for v in np.split(values, ends[:-1])] if len(ends) else [], pa.float64())
+            yield pa.RecordBatch.from_arrays([b[KEY], b["cx"], b["cy"], medians], [KEY, "cx", "cy", "median"])
 
-def background(pixels: DataFrame, mesh: int, size: tuple[int, int]) -> DataFrame:
-    """The mesh medians between cell centres, level beyond the outermost ones: frame_id, x, y, bg."""
+    return cells.mapInArrow(run, f"{KEY} {cells.schema[KEY].dataType.simpleString()}, cx int, cy int, median double")
+
+
+def with_background(pixels: DataFrame, mesh: int, size: tuple[int, int]) -> DataFrame:
+    """pixels with bg, the mesh medians between cell centres, level beyond the outermost ones. The
+    four medians around a place are one row, so each pixel is joined once."""
     columns, rows = -(-size[0] // mesh), -(-size[1] // mesh)
-    grid = mesh_medians(pixels, mesh)
-    fx, fy = (F.col("x") + 0.5) / mesh - 0.5, (F.col("y") + 0.5) / mesh - 0.5
-    at = pixels.select(KEY, "x", "y", fx.alias("fx"), fy.alias("fy"))
-    held = lambda c, n: F.least(F.greatest(c, F.lit(0)), F.lit(n - 1)).cast("int")
-    corners = F.array(*[F.struct(held(F.floor("fx") + i, columns).alias("cx"), held(F.floor("fy") + j, rows).alias("cy"), ((F.col("fx") - F.floor("fx") if i else 1 - (F.col("fx") - F.floor("fx"))) * (F.col("fy") - F.floor("fy") if j else 1 - (F.col("fy") - F.floor("fy")))).alias("w")) for j in (0, 1) for i in (0, 1)])
-    parts = at.select(KEY, "x", "y", F.explode(corners).alias("c")).select(KEY, "x", "y", "c.*").join(grid, [KEY, "cx", "cy"])
-    return parts.groupBy(KEY, "x", "y").agg(F.sum(F.col("w") * F.col("median")).alias("bg"))
+
+    def places(c: str, n: int) -> Column:
+        """Squares between centres that a cell is a corner of, 0 for the lower end and 1 for the upper."""
+        at = lambda q, i: F.struct(q.alias("q"), F.lit(i).alias("i"))
+        edge = [F.when(F.col(c) == 0, at(F.lit(-1), 0)), F.when(F.col(c) == n - 1, at(F.lit(n - 1), 1))]
+        return F.explode(F.array_compact(F.array(at(F.col(c), 0), at(F.col(c) - 1, 1), *edge)))
+
+    corners = mesh_medians(pixels, mesh).withColumn("a", places("cx", columns)).withColumn("b", places("cy", rows))
+    corner = lambda i, j: F.max(F.when((F.col("a.i") == i) & (F.col("b.i") == j), F.col("median"))).alias(f"m{i}{j}")
+    squares = corners.groupBy(KEY, F.col("a.q").alias("qx"), F.col("b.q").alias("qy")).agg(*[corner(i, j) for j in (0, 1) for i in (0, 1)])
+    at = lambda c: (F.col(c) + 0.5) / mesh - 0.5
+    placed = pixels.withColumn("qx", F.floor(at("x")).cast("int")).withColumn("qy", F.floor(at("y")).cast("int"))
+    both = placed.join(squares, [KEY, "qx", "qy"])
+    part = lambda c, q, i: at(c) - F.col(q) if i else 1 - (at(c) - F.col(q))
+    bg = sum((part("x", "qx", i) * part("y", "qy", j) * F.col(f"m{i}{j}") for j in (0, 1) for i in (0, 1)), F.lit(0.0))
+    return both.select(*[F.col(c) for c in pixels.columns], bg.alias("bg"))
+
+
+def background(pixels: DataFrame, mesh: int, size: tuple[int, int]) -> DataFrame:
+    return with_background(pixels, mesh, size).select(KEY, "x", "y", "bg")
 
 
 def gaussian(sigma: float, half: int = 3) -> list[tuple[int, int, float]]:
@@ -64,60 +101,54 @@ def gaussian(sigma: float, half: int = 3) -> list[tuple[int, int, float]]:
 
 
 def convolve(pixels: DataFrame, kernel: list[tuple[int, int, float]], size: tuple[int, int]) -> DataFrame:
-    """Zero outside the frame: each pixel gives its share to its neighbours, which add up."""
-    given = scatter(pixels, [(-dx, -dy, k) for dx, dy, k in kernel])
-    inside = F.col("x").between(0, size[0] - 1) & F.col("y").between(0, size[1] - 1)
-    return given.where(inside).groupBy(KEY, "x", "y").agg(F.sum(F.col("v") * F.col("o.k")).alias("v"))
+    """Zero outside the frame."""
+    return tiles.convolved(pixels, kernel, size).drop("raw")
 
 
 def blur(pixels: DataFrame, sigma: float, size: tuple[int, int]) -> DataFrame:
     """Separable, radius ceil(3 sigma); the frame's edge is repeated outwards."""
     half = math.ceil(3 * sigma)
     raw = [math.exp(-(d * d) / (2 * sigma * sigma)) for d in range(-half, half + 1)]
-    weights = [(d, k / sum(raw)) for d, k in zip(range(-half, half + 1), raw, strict=True)]
-    out = pixels
-    for axis, n in (("x", size[0]), ("y", size[1])):
-        # target t reads from max(0, min(n - 1, t + d)): the reads of each target, then a join
-        reads = F.array(*[F.struct(F.least(F.greatest(F.col(axis) + d, F.lit(0)), F.lit(n - 1)).alias("from"), F.lit(k).alias("k")) for d, k in weights])
-        want = out.select(KEY, "x", "y", F.explode(reads).alias("r")).select(KEY, "x", "y", "r.from", "r.k")
-        source = out.select(KEY, *[F.col(c).alias("from" if c == axis else c) for c in ("x", "y")], "v")
-        other = "y" if axis == "x" else "x"
-        out = want.join(source, [KEY, other, "from"]).groupBy(KEY, "x", "y").agg(F.sum(F.col("v") * F.col("k")).alias("v"))
-    return out
+    return tiles.blurred(pixels, [k / sum(raw) for k in raw], size)
 
 
 def local_maxima(pixels: DataFrame, above: float | None = None) -> DataFrame:
     """Pixels that no neighbour exceeds; plateaus stay."""
-    greatest = scatter(pixels, AROUND).groupBy(KEY, "x", "y").agg(F.max("v").alias("around"))
-    out = pixels.join(greatest, [KEY, "x", "y"], "left").where(F.col("around").isNull() | (F.col("v") >= F.col("around"))).drop("around")
+    out = tiles.maxima(pixels)
     return out if above is None else out.where(F.col("v") > above)
 
 
 def adaptive_threshold(pixels: DataFrame, start: Column) -> DataFrame:
     """frame_id, level, threshold: start doubled until few enough pixels are above it, or as
-    often as allowed."""
-    leveled = pixels.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(DOUBLINGS)))).withColumn("threshold", start * F.pow(F.lit(2.0), F.col("level")))
-    fill = leveled.groupBy(KEY, "level").agg(F.avg((F.col("v") > F.col("threshold")).cast("int")).alias("fill"), F.first("threshold").alias("threshold"))
-    ok = (F.col("fill") <= MASK_FILL) | (F.col("level") == DOUBLINGS)
-    return fill.where(ok).groupBy(KEY).agg(F.min("level").alias("level"), F.min_by("threshold", "level").alias("threshold"))
+    often as allowed. All levels are counted in one pass."""
+    fill = lambda k: F.avg((F.col("v") > start * 2.0**k).cast("int"))
+    counted = pixels.groupBy(KEY).agg(F.first(start).alias("start"), *[fill(k).alias(f"f{k}") for k in range(DOUBLINGS)])
+    level = F.coalesce(*[F.when(F.col(f"f{k}") <= MASK_FILL, k) for k in range(DOUBLINGS)], F.lit(DOUBLINGS))
+    return counted.select(KEY, level.alias("level"), (F.col("start") * F.pow(F.lit(2.0), level)).alias("threshold"))
 
 
 def components(mask: DataFrame) -> DataFrame:
     """8-connected components of mask pixels (frame_id, x, y): with `label`, the least y * 2**20
-    + x of the component. Labels spread and then jump, until nothing changes."""
-    label = (F.col("y").cast("long") * (1 << 20) + F.col("x")).alias("label")
-    nodes = mask.select(KEY, "x", "y", label)
-    while True:
-        near = scatter(nodes, [*AROUND, (0, 0)]).groupBy(KEY, "x", "y").agg(F.min("label").alias("least"))
-        new = nodes.join(near, [KEY, "x", "y"])
-        # the label names a pixel; take that pixel's label too
-        root = new.select(KEY, (F.col("least") % (1 << 20)).cast("int").alias("rx"), F.floor(F.col("least") / (1 << 20)).cast("int").alias("ry"), "x", "y", "label", "least")
-        jump = new.select(KEY, F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("least").alias("further"))
-        new = root.join(jump, [KEY, "rx", "ry"]).select(KEY, "x", "y", F.least("least", "further").alias("label"), F.col("label").alias("old"))
-        new = checkpointed(new)
-        if new.where("label <> old").isEmpty():
-            return new.select(KEY, "x", "y", "label")
+    + x of the component. Tiles are labelled by themselves; where a pixel on an edge has two
+    labels they are one, and only such labels spread and jump until nothing changes."""
+    labelled = checkpointed(tiles.tile_components(mask))
+    own = labelled.where("own").select(KEY, "x", "y", "label")
+    other = labelled.where("not own").select(KEY, "x", "y", F.col("label").alias("other"))
+    met = own.join(other, [KEY, "x", "y"]).where("label <> other")
+    ends = F.explode(F.array(F.struct("label", "other"), F.struct(F.col("other").alias("label"), F.col("label").alias("other"))))
+    links = checkpointed(met.select(KEY, ends.alias("e")).select(KEY, "e.*").distinct())
+    nodes = links.select(KEY, "label", F.col("label").alias("least")).distinct()
+    while not links.isEmpty():
+        least = nodes.select(KEY, F.col("label").alias("other"), F.col("least").alias("o"))
+        near = links.join(least, [KEY, "other"]).groupBy(KEY, "label").agg(F.min("o").alias("near"))
+        new = nodes.join(near, [KEY, "label"]).select(KEY, "label", F.least("least", "near").alias("mid"), F.col("least").alias("old"))
+        # the label found is one that has a label itself
+        further = new.select(KEY, F.col("label").alias("mid"), F.col("mid").alias("least"))
+        new = checkpointed(new.join(further, [KEY, "mid"]).select(KEY, "label", F.least("mid", "least").alias("least"), "old"))
+        if new.where("least <> old").isEmpty():
+            return own.join(new.select(KEY, "label", "least"), [KEY, "label"], "left").select(KEY, "x", "y", F.coalesce("least", "label").alias("label"))
         nodes = new.drop("old")
+    return own
 
 
 def blob_shapes(blobs: DataFrame) -> DataFrame:
