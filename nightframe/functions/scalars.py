@@ -216,6 +216,17 @@ def log_odds(hits: Column, n: Column, w: Column, h: Column, radius: float = 3.0)
     return F.when(n == 0, 0.0).otherwise(hits * F.log(0.85 / p) + (n - hits) * F.log(0.15 / (1.0 - p)))
 
 
+def no_match_message(best_fov: Column) -> Column:
+    """Fixed texts of a solve without an accepted match, with the field that came nearest, or without one."""
+    near = F.concat(F.lit("no candidate cleared verification (need log_odds ≥ 18, hits ≥ 6); best tetra3 FOV guess ≈ "), F.format_string("%.1f", best_fov), F.lit(" deg"))
+    return F.when(best_fov.isNull(), "no tetra3 pattern match found across the retry ladder").otherwise(near)
+
+
+def failed_report(code: Column, message: Column) -> Column:
+    """The report of a frame that was not solved, as JSON: nothing but what went wrong."""
+    return F.to_json(F.struct(F.lit("failed").alias("status"), F.struct(code.alias("code"), message.alias("message")).alias("failure")))
+
+
 def quantize(v: Column, scale: float) -> Column:
     """To 8 bits, cutting off the fraction."""
     return F.least(F.lit(255.0), F.greatest(F.lit(0.0), v * scale)).cast("int")

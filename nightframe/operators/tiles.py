@@ -71,6 +71,8 @@ def by_tile(pixels: DataFrame, f: Callable[[Tile], dict[str, np.ndarray]], colum
         inside &= (F.col("x") < w) & (F.col("y") < h)
     dealt = pixels.where(inside).select(KEY, F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), F.col("v").cast("double").alias("v"))
     dealt = dealt.withColumn("tx", tiles("x", w)).withColumn("ty", tiles("y", h))
+    # a number of its own, so that partitions of few bytes, but much work, are not put together
+    dealt = dealt.repartition(int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions")), KEY, "tx", "ty")
 
     def axis(t: int, n: int | None) -> tuple[int, int, slice]:
         low, high = t * side, (t + 1) * side if n is None else min((t + 1) * side, n)

@@ -52,25 +52,78 @@ def _(t):
 
 @query("s06_geojson", f"SELECT line_id AS feature, 'C' || (line_id % 25) AS abbr, seq::INTEGER AS seq, {r6('ra')} AS ra, {r6('dec')} AS dec FROM polylines")
 def _(t):
-    """One file for each line; its feature's number is in the file, so the name carries it here."""
+    """Lines are packed in files; the number of a line's feature is that within its file, so the
+    name carries the line's own here."""
     path = folder(t)
     lon = F.when(F.col("ra") >= 180, F.col("ra") - 360).otherwise(F.col("ra"))
     line = F.array_sort(F.collect_list(F.struct("seq", lon.alias("lon"), "dec")))
     abbr = F.concat(F.lit("C"), (F.col("line_id") % 25).cast("string"), F.lit(":"), F.col("line_id").cast("string"))
     each = t.polylines.groupBy("line_id").agg(line.alias("line"))
     feature = F.struct(abbr.alias("id"), F.struct(F.lit("MultiLineString").alias("type"), F.array(F.transform("line", lambda v: F.array(v["lon"], v["dec"]))).alias("coordinates")).alias("geometry"))
-    each.select(F.array(feature).alias("features")).write.option("maxRecordsPerFile", 1).json(path)
+    _packed(each.select(F.col("line_id").alias("key"), feature.alias("f")), "features", path)
     got = documents.constellation_lines(t.spark, path)
     name, number = F.split_part("abbr", F.lit(":"), F.lit(1)), F.split_part("abbr", F.lit(":"), F.lit(2))
     return got.select(number.cast("long").alias("feature"), name.alias("abbr"), F.col("seq"), R(F.col("ra")).alias("ra"), R(F.col("dec")).alias("dec"))
 
 
+#: Objects in a file that holds one array.
+PACKED = 500
+
+
+def _packed(objects: DataFrame, name: str | None, path: str) -> None:
+    """objects (key, a number, and f) as files of one array each, under a name or by itself."""
+    packs = objects.groupBy(F.floor(F.col("key") / PACKED)).agg(F.array_sort(F.collect_list(F.struct("key", "f"))).alias("all"))
+    every = F.transform("all", lambda o: o["f"])
+    packs.select(F.to_json(every if name is None else F.struct(every.alias(name))).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+
+
+@query("s07_names", "SELECT 'K' || c_custkey AS abbr, CASE WHEN c_custkey % 3 = 0 THEN 'K' || c_custkey ELSE c_name END AS name FROM customer")
+def _(t):
+    path = folder(t)
+    key = F.col("c_custkey")
+    feature = F.struct(F.concat(F.lit("K"), key.cast("string")).alias("id"), F.struct(F.when(key % 3 != 0, F.col("c_name")).alias("name")).alias("properties"))
+    _packed(t.read("customer").select(key.alias("key"), feature.alias("f")), "features", path)
+    return documents.constellation_names(t.spark, path)
+
+
+@query("p07_geometry", "SELECT CASE WHEN line_id % 5 = 0 THEN 'no id' WHEN line_id % 5 < 3 THEN 'no MultiLineString' END AS error, count(*) AS n FROM (SELECT DISTINCT line_id FROM polylines) GROUP BY ALL")
+def _(t):
+    """Features without an id or of another geometry, which a load of lines ends with."""
+    path = folder(t)
+    k = F.col("line_id")
+    kind = F.when(k % 5 == 1, "LineString").when(k % 5 != 2, "MultiLineString")
+    feature = F.struct(F.when(k % 5 != 0, k.cast("string")).alias("id"), F.struct(kind.alias("type"), F.array(F.array(F.array(F.lit(1.0), F.lit(2.0)))).alias("coordinates")).alias("geometry"))
+    _packed(t.polylines.select("line_id").distinct().select(k.alias("key"), feature.alias("f")), "features", path)
+    return documents.line_features(t.spark, path).groupBy("error").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("s14_manifest", "SELECT id::VARCHAR AS id, track, status AS solve_status FROM eval_runs")
 def _(t):
+    """Files of one array each, with a key that is not read."""
+    path = folder(t)
+    row = F.struct(F.col("id").cast("string").alias("id"), "track", F.col("status").alias("solve_status"), F.lit(1).alias("more"))
+    _packed(t.eval_runs.select(F.col("id").alias("key"), row.alias("f")), None, path)
+    return documents.manifest(t.spark, path).select("id", "track", "solve_status")
+
+
+@query("s15_plate_solutions", """
+SELECT CASE WHEN frame_id % 4 <> 2 THEN frame_id END AS frame_id, CASE WHEN frame_id % 4 <> 2 THEN round(ra0 * 1000) / 1000 END AS ra,
+  CASE WHEN frame_id % 4 = 2 THEN 'calibration is null' WHEN frame_id % 8 = 3 THEN 'bad pixscale' WHEN frame_id % 8 = 5 THEN 'bad ra, dec or orientation' END AS error FROM frames""")
+def _(t):
+    """A file for each frame: the solution under its name or by itself, or null, with other objects
+    beside it that have a null of that name. The frame's number is its orientation."""
     path = folder(t)
-    t.eval_runs.select(F.col("id").cast("string").alias("id"), "track", F.col("status").alias("solve_status"), F.lit(1).alias("more")).write.json(path)
-    # one array a file is the manifest's form; lines read in the same schema
-    return t.spark.read.schema(documents.MANIFEST).json(path).select("id", "track", "solve_status")
+    k = F.col("frame_id")
+    solution = F.struct(F.round("ra0", 3).alias("ra"), F.when(k % 8 != 5, F.round("dec0", 3)).alias("dec"), F.when(k % 8 == 3, -1.0).otherwise(2.5).alias("pixscale"), k.cast("double").alias("orientation"), F.lit(1.0).alias("parity"))
+    inside = F.struct(F.lit(None).cast("string").alias("calibration"))
+    keep = {"ignoreNullFields": "false"}
+    named = F.to_json(F.struct(solution.alias("calibration"), inside.alias("other")), keep)
+    bare = F.to_json(F.struct("s.*", inside.alias("other")), keep)
+    none = F.to_json(F.struct(F.lit(None).cast("string").alias("calibration"), F.struct(F.col("s").alias("calibration")).alias("other")), keep)
+    rows = t.frames.withColumn("s", solution)
+    rows.select(F.when(k % 4 == 2, none).when(k % 4 == 0, named).otherwise(bare).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    got = documents.plate_solutions(t.spark, path)
+    return got.select(F.col("orientation").cast("long").alias("frame_id"), "ra", "error")
 
 
 @query("s16_log_lines", f"SELECT outcome, count(*) AS n, {r6('sum(fov)')} AS fov FROM solve_log GROUP BY outcome")
@@ -83,20 +136,19 @@ def _(t):
     return documents.solve_log(t.spark, path).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), R(F.sum("result.fov_x_deg")).alias("fov"))
 
 
-@query("k05_truth_csv", "SELECT star_id::VARCHAR AS star_id, round(x * 1000) / 1000 AS x, round(y * 1000) / 1000 AS y FROM in_frame WHERE frame_id = (SELECT min(frame_id) FROM in_frame)")
+@query("k05_truth_csv", "SELECT frame_id, star_id::VARCHAR AS star_id, round(x * 1000) / 1000 AS x, round(y * 1000) / 1000 AS y FROM in_frame")
 def _(t):
-    """The truth table of the first frame that shows stars, written and read (S13)."""
+    """The truth tables of all frames that show stars, written and read (S13)."""
     path = folder(t)
-    first = t.in_frame.agg(F.min("frame_id").alias("frame_id"))
-    outputs.write_truth(t.in_frame.join(F.broadcast(first), "frame_id"), path)  # one row
-    return documents.truth_table(t.spark, path)
+    outputs.write_truth(t.in_frame, path, by="frame_id")
+    return documents.truth_table(t.spark, path).withColumn("frame_id", F.col("frame_id").cast("long"))
 
 
 @query("k13_folder_digest", "SELECT true AS same, false AS different")
 def _(t):
     """A folder written twice has one digest; one row more, another."""
     paths = [f"{folder(t)}/run" for _ in range(3)]
-    rows = t.eval_runs.select("id", "track", "status").repartition(1, "track").sortWithinPartitions("id", "track", "status")
+    rows = t.eval_runs.select("id", "track", "status").repartition(8, "id").sortWithinPartitions("id", "track", "status")
     for path, df in zip(paths, (rows, rows, rows.where("id > 0")), strict=True):
         text = df.select(F.concat_ws(",", *df.columns).alias("value"))
         text.write.text(path)
@@ -121,10 +173,10 @@ def _(t):
 @query("z03_hint_stream", """
 SELECT id, cam, last_value(CASE WHEN outcome = 'solved' THEN fov END IGNORE NULLS) OVER (PARTITION BY cam ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hint FROM solve_log""")
 def _(t):
-    """The hint that a camera carries, as state of a stream."""
+    """The hint that a camera carries, as state of a stream; one batch, whose order is that of ts."""
     path, out = folder(t), folder(t)
     _events(t, path)
-    hints = log.carried_hints(log.log_stream(t.spark, path, files=10_000))
+    hints = log.carried_hints(log.log_stream(t.spark, path, files=None))
     return log.written(hints, out)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as C
 from ..functions import sphere as S
 from ..operators import matching
 from .bindings import FOCAL, HEIGHT, WIDTH, R, r6
@@ -117,3 +118,21 @@ def _(t):
     status = F.when(code == "no_solution", 422).when(code == "busy", 503).when(code == "bad_number", 400)
     body = F.when(code.isNotNull(), F.to_json(F.struct(F.struct(code.alias("code")).alias("error"))))
     return t.solve_log.select("id", status.alias("status"), body.alias("body"))
+
+
+@query("f58_failed_report", """
+SELECT id, '{"status":"failed","failure":{"code":"no_confident_match","message":"' || CASE WHEN id % 3 = 0 THEN 'no tetra3 pattern match found across the retry ladder'
+  ELSE 'no candidate cleared verification (need log_odds ≥ 18, hits ≥ 6); best tetra3 FOV guess ≈ ' || printf('%.1f', (id % 500) / 8.0::DOUBLE + 0.03::DOUBLE) || ' deg' END || '"}}' AS report FROM eval_runs WHERE status = 'failed'""")
+def _(t):
+    """Reports of failures; a third of them had no field that came near."""
+    near = F.when(F.col("id") % 3 != 0, F.col("id") % 500 / 8.0 + 0.03)
+    failed = t.eval_runs.where("status = 'failed'")
+    return failed.select("id", C.failed_report(F.lit("no_confident_match"), C.no_match_message(near)).alias("report"))
+
+
+@query("f58_detections", "SELECT frame_id, det_id, sign(x) * floor(abs(x) * 100 + 0.5) / 100 AS x, sign(y) * floor(abs(y) * 100 + 0.5) / 100 AS y, flux, d.det_id % 2 = 0 AS inlier FROM detections d")
+def _(t):
+    """Rows of the report: places with two digits, and which detections were matched."""
+    matched = t.detections.where("det_id % 2 = 0").select("frame_id", "det_id", F.lit(True).alias("inlier"))
+    rows = t.detections.join(matched, ["frame_id", "det_id"], "left")
+    return rows.select("frame_id", "det_id", C.rounded(F.col("x"), 2).alias("x"), C.rounded(F.col("y"), 2).alias("y"), "flux", F.coalesce("inlier", F.lit(False)).alias("inlier"))

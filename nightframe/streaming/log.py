@@ -16,9 +16,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 EVENTS = "id long, cam long, ts timestamp, outcome string, fov double, wall_ms long"
 
 
-def log_stream(spark: SparkSession, path: str, schema: str = EVENTS, files: int = 100) -> DataFrame:
-    """JSON lines that are appended to a folder as new files."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(path)
+def log_stream(spark: SparkSession, path: str, schema: str = EVENTS, files: int | None = 100) -> DataFrame:
+    """JSON lines that are appended to a folder as new files; without a number of files, a batch
+    takes all that there are."""
+    stream = spark.readStream.schema(schema)
+    return (stream if files is None else stream.option("maxFilesPerTrigger", files)).json(path)
 
 
 def outcome_counts() -> list[Column]:
