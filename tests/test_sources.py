@@ -96,3 +96,22 @@ def test_images(spark, tmp_path):
     for name in ("a.PNG", "b.tif", "c.txt"):
         (tmp_path / name).write_bytes(b"123")
     assert sorted((r.path.rpartition("/")[2], r.length) for r in documents.images(spark, str(tmp_path)).collect()) == [("a.PNG", 3), ("b.tif", 3)]
+    assert [r.path.rpartition("/")[2] for r in documents.images(spark, str(tmp_path)).collect()] == ["a.PNG", "b.tif"]
+    assert [r.length for r in documents.images(spark, str(tmp_path / "b.tif")).collect()] == [3]
+
+
+def test_calibration_of_the_outermost_object_counts(spark, tmp_path):
+    good = '{"ra": 1, "dec": 2, "pixscale": 3, "orientation": 4, "parity": 1'
+    texts = {"bare": good + ', "other": {"calibration": null}}', "text": good + ', "note": "\\"calibration\\": null"}', "null": '{"calibration": null, "other": {"calibration": 1}}', "empty": "{}", "no": "[broken"}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    got = {r.file.rpartition("/")[2][:-5]: r.error for r in documents.plate_solutions(spark, str(tmp_path)).collect()}
+    assert got == {"bare": None, "text": None, "null": "calibration is null", "empty": "bad pixscale", "no": "bad pixscale"}
+
+
+def test_files_are_written_whole(spark, tmp_path):
+    rows = spark.createDataFrame([(f"{i}.bin", bytes([i]) * i) for i in range(20)] + [(None, b"1"), ("x", None)], "name string, content binary").repartition(3)
+    for _ in range(2):  # again, as a task that is run again
+        assert outputs.write_files(rows, str(tmp_path / "c")) == 20
+    assert {p.name: p.read_bytes() for p in (tmp_path / "c").iterdir()} == {f"{i}.bin": bytes([i]) * i for i in range(20)}
+    assert outputs.write_files(rows.limit(0), str(tmp_path / "d")) == 0 and list((tmp_path / "d").iterdir()) == []
