@@ -19,27 +19,35 @@ def _zones(low: Column, high: Column, size: float) -> Column:
     return F.sequence(F.floor(low / size).cast("int"), F.floor(high / size).cast("int"))
 
 
-def cone_join(stars: DataFrame, frames: DataFrame, radius_deg: float, ra: str = "ra_deg", dec: str = "dec_deg", ra0: str = "ra0", dec0: str = "dec0", cell_deg: float | None = None) -> DataFrame:
-    """Rows of stars within radius_deg of each frame's axis, with `axis_dot` and the star's unit
-    vector `star_u`.
+def with_cell(points: DataFrame, size: float, ra: str, dec: str) -> DataFrame:
+    """points with the zone of declination and the cell of right ascension that each lies in."""
+    cells = max(1, math.floor(360.0 / size))
+    cell = F.least(F.floor(F.pmod(F.col(ra), F.lit(360.0)) / (360.0 / cells)), F.lit(cells - 1)).cast("int")
+    return points.withColumn("zone", F.floor(F.col(dec) / size).cast("int")).withColumn("cell", cell)
 
-    The sky is cut into zones of declination and cells of right ascension. A frame takes all
-    cells that its cone can touch: the wider the nearer to a pole, all of a zone at the pole,
-    and across 0 / 360. A star is in exactly one cell."""
-    size = cell_deg or max(radius_deg, 1.0)
+
+def with_cells_about(points: DataFrame, radius_deg: float, size: float, ra: str, dec: str) -> DataFrame:
+    """points, once for each zone and cell that the cone about them can touch: the more cells the
+    nearer to a pole, all of a zone at the pole, and across 0 / 360."""
     cells = max(1, math.floor(360.0 / size))
     width = 360.0 / cells
-    left = stars.withColumn("zone", F.floor(F.col(dec) / size).cast("int")).withColumn("cell", F.least(F.floor(F.pmod(F.col(ra), F.lit(360.0)) / width), F.lit(cells - 1)).cast("int"))
-    right = frames.withColumn("zone", F.explode(_zones(F.col(dec0) - radius_deg, F.col(dec0) + radius_deg, size)))
+    rows = points.withColumn("zone", F.explode(_zones(F.col(dec) - radius_deg, F.col(dec) + radius_deg, size)))
     # within a zone, the declination farthest from the equator makes the cone widest in right ascension
     far = F.least(F.greatest(F.abs(F.col("zone") * size), F.abs((F.col("zone") + 1) * size)), F.lit(90.0))
-    far = F.greatest(far, F.abs(F.col(dec0)) + radius_deg)
-    reach = F.when(far >= 89.0, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.lit(radius_deg))) / F.cos(F.radians(F.least(far, F.lit(89.0))))))) + width * 1e-6)
-    first, last = F.floor((F.col(ra0) - reach) / width), F.floor((F.col(ra0) + reach) / width)
+    rows = worked_out(rows, far=F.greatest(far, F.abs(F.col(dec)) + radius_deg))
+    reach = F.when(F.col("far") >= 89.0, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.lit(radius_deg))) / F.cos(F.radians(F.least("far", F.lit(89.0))))))) + width * 1e-6)
+    rows = worked_out(rows, reach=reach)
+    first, last = F.floor((F.col(ra) - F.col("reach")) / width), F.floor((F.col(ra) + F.col("reach")) / width)
     last = F.least(last, first + cells - 1)
-    right = right.withColumn("cell", F.explode(F.transform(F.sequence(first.cast("int"), last.cast("int")), lambda c: F.pmod(c, F.lit(cells)))))
-    left = spread(left, "zone", "cell").withColumn("star_u", S.unit(F.col(ra), F.col(dec)).struct())
-    right = right.withColumn("frame_u", S.unit(F.col(ra0), F.col(dec0)).struct())
+    return rows.withColumn("cell", F.explode(F.transform(F.sequence(first.cast("int"), last.cast("int")), lambda c: F.pmod(c, F.lit(cells))))).drop("far", "reach")
+
+
+def cone_join(stars: DataFrame, frames: DataFrame, radius_deg: float, ra: str = "ra_deg", dec: str = "dec_deg", ra0: str = "ra0", dec0: str = "dec0", cell_deg: float | None = None) -> DataFrame:
+    """Rows of stars within radius_deg of each frame's axis, with `axis_dot` and the star's unit
+    vector `star_u`. A frame takes all cells that its cone can touch; a star is in exactly one."""
+    size = cell_deg or max(radius_deg, 1.0)
+    left = spread(with_cell(stars, size, ra, dec), "zone", "cell").withColumn("star_u", S.unit(F.col(ra), F.col(dec)).struct())
+    right = with_cells_about(frames, radius_deg, size, ra0, dec0).withColumn("frame_u", S.unit(F.col(ra0), F.col(dec0)).struct())
     both = left.join(right, ["zone", "cell"])
     return worked_out(both, axis_dot=S.dot(F.col("frame_u"), F.col("star_u"))).drop("zone", "cell", "frame_u").where(F.col("axis_dot") >= math.cos(math.radians(radius_deg)))
 

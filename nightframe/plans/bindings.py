@@ -8,17 +8,45 @@ from __future__ import annotations
 
 from functools import cached_property
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sphere as S
-from ..operators import joins
+from ..operators import views
 
 #: Width and height of a frame in pixels.
 WIDTH, HEIGHT = 740, 576
 FOCAL = 1900.0
 #: A prime by which keys are scattered.
 SCATTER = 1000003
+#: Of the cones in which frames look for stars.
+RADIUS = S.half_diagonal_deg(FOCAL, WIDTH, HEIGHT) + 1.0
+
+
+def detected(v: views.View) -> dict[str, np.ndarray]:
+    """A frame's detections, of the stars that it shows: det_id, x, y, flux; a pixel off at most,
+    without every seventh star."""
+    s = v.only(np.fmod(v.star["star_id"], 7) != 0).star
+    off = lambda a, b: (np.fmod(s["star_id"] * a + v.frame_id * b, 11) - 5) * 0.2
+    return {"det_id": s["star_id"], "x": s["x"] + off(31, 17), "y": s["y"] + off(13, 7), "flux": 10.0 - s["mag"]}
+
+
+def _shown(v: views.View) -> tuple:
+    s = v.seen().star
+    return v.frame_id, s["star_id"], s["ra_deg"], s["dec_deg"], s["mag"], s["x"], s["y"], int(v.w), int(v.h)
+
+
+def _detections(v: views.View) -> tuple:
+    return v.frame_id, *detected(v.seen()).values()
+
+
+def _sightings(v: views.View) -> tuple:
+    d = detected(v.seen())
+    return v.frame_id, np.fmod(d["det_id"] * 7919 + 5, SCATTER), d["x"], d["y"], d["flux"]
+
+
+DETECTIONS = "frame_id long, det_id long, x double, y double, flux double"
 
 
 class Tables:
@@ -52,10 +80,7 @@ class Tables:
     def sightings(self) -> DataFrame:
         """What frames show of the sky: a pixel off at most, without every seventh star; det_id
         tells nothing of the star."""
-        seen = joins.stars_in_frames(self.sky, self.frames, radius_deg=S.half_diagonal_deg(FOCAL, WIDTH, HEIGHT) + 1.0).where("star_id % 7 <> 0")
-        dx = ((F.col("star_id") * 31 + F.col("frame_id") * 17) % 11 - 5) * F.lit(0.2)
-        dy = ((F.col("star_id") * 13 + F.col("frame_id") * 7) % 11 - 5) * F.lit(0.2)
-        return seen.select("frame_id", ((F.col("star_id") * 7919 + 5) % SCATTER).alias("det_id"), (F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), (10.0 - F.col("mag")).alias("flux"))
+        return views.by_frame(self.sky, self.frames, RADIUS, views.each(_sightings), DETECTIONS)
 
     @cached_property
     def frames(self) -> DataFrame:
@@ -70,16 +95,19 @@ class Tables:
             F.lit(HEIGHT).alias("h"),
         )
 
+    def by_frame(self, work: views.Work, schema: str, *more: str) -> DataFrame:
+        """What work makes of frames and the stars about their axes."""
+        named = self.stars.withColumn("named", F.col("proper").isNotNull())
+        return views.by_frame(named, self.frames, RADIUS, work, schema, ("mag", "named", *more))
+
     @cached_property
     def in_frame(self) -> DataFrame:
-        """frame_id, star_id, mag, x, y of the stars that each frame shows."""
-        return joins.stars_in_frames(self.stars, self.frames, radius_deg=S.half_diagonal_deg(FOCAL, WIDTH, HEIGHT) + 1.0)
+        """frame_id, star_id, ra_deg, dec_deg, mag, x, y, w, h of the stars that each frame shows."""
+        return self.by_frame(views.each(_shown), "frame_id long, star_id long, ra_deg double, dec_deg double, mag double, x double, y double, w int, h int", "ra_deg", "dec_deg")
 
     @cached_property
     def detections(self) -> DataFrame:
-        dx = ((F.col("star_id") * 31 + F.col("frame_id") * 17) % 11 - 5) * F.lit(0.2)
-        dy = ((F.col("star_id") * 13 + F.col("frame_id") * 7) % 11 - 5) * F.lit(0.2)
-        return self.in_frame.where(F.col("star_id") % 7 != 0).select("frame_id", F.col("star_id").alias("det_id"), (F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), (10.0 - F.col("mag")).alias("flux"))
+        return self.by_frame(views.each(_detections), DETECTIONS)
 
     @cached_property
     def solve_log(self) -> DataFrame:

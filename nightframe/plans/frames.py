@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import math
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import scalars as C
 from ..functions import sphere as S
-from ..operators import matching
-from .bindings import FOCAL, HEIGHT, WIDTH, R, r6
+from ..operators import views
+from ..operators.views import each, rounded
+from .bindings import FOCAL, HEIGHT, WIDTH, R, detected, r6
 from .registry import query
-from .sky import _CANDIDATES, _FOLD, _PAIRS, candidates, cone, pairs
+from .sky import _CANDIDATES, _FOLD, _PAIRS, PLACES, candidates, paired, pairs, place
 
 
 @query("g10_pinhole", f"SELECT frame_id, star_id, {r6('w / 2.0 + focal * cx / cz')} AS x, {r6('h / 2.0 - focal * cy / cz')} AS y FROM cone WHERE cz > 0")
 def _(t):
     """Without distortion, of all that is before the camera."""
-    _, x, y = S.project(S.Vector(F.col("cam_x"), F.col("cam_y"), F.col("cam_z")), F.col("focal"), F.lit(0.0), F.col("w"), F.col("h"))
-    return cone(t).where("cam_z > 0").select("frame_id", "star_id", R(x).alias("x"), R(y).alias("y"))
+
+    def one(v):
+        v = v.only(v.cam[2] > 0)
+        x, y, z = v.cam
+        return place(v, v.w / 2.0 + v.focal * x / z, v.h / 2.0 - v.focal * y / z)
+
+    return t.by_frame(each(one), PLACES)
 
 
 @query("g16_axis_and_roll", f"""
@@ -60,8 +68,12 @@ def _(t):
 
 @query("a20_overlay_summary", f"SELECT frame_id, count(*) AS stars, count(proper) AS named, round(degrees(2 * atan({WIDTH} / (2 * {FOCAL}::DOUBLE))) * 1000) / 1000 AS fov FROM in_frame GROUP BY frame_id")
 def _(t):
+    def one(v):
+        v = v.seen()
+        return (v.frame_id, len(v.place), np.count_nonzero(v.star["named"])) if len(v.place) else None
+
     fov = S.fov(F.lit(FOCAL), F.lit(float(WIDTH)))
-    return t.in_frame.groupBy("frame_id").agg(F.count(F.lit(1)).alias("stars"), F.count("proper").alias("named")).withColumn("fov", F.round(fov * 1000) / 1000)
+    return t.by_frame(each(one), "frame_id long, stars long, named long").withColumn("fov", F.round(fov * 1000) / 1000)
 
 
 @query("a39_arg_best", f"SELECT frame_id, arg_max(attempt, hits * 10 - attempt) AS attempt, max(hits) AS hits FROM ({_CANDIDATES}) GROUP BY frame_id")
@@ -72,14 +84,29 @@ def _(t):
 
 @query("o04_top_detections", "SELECT frame_id, det_id, nth FROM (SELECT frame_id, det_id, row_number() OVER (PARTITION BY frame_id ORDER BY flux DESC, det_id)::INTEGER AS nth FROM detections) WHERE nth <= 12")
 def _(t):
-    nth = F.row_number().over(Window.partitionBy("frame_id").orderBy(F.desc("flux"), "det_id"))
-    return t.detections.select("frame_id", "det_id", nth.alias("nth")).where("nth <= 12")
+    def one(v):
+        found = detected(v.seen())
+        top = np.lexsort((found["det_id"], -found["flux"]))[:12]
+        return v.frame_id, found["det_id"][top], np.arange(1, len(top) + 1)
+
+    return t.by_frame(each(one), "frame_id long, det_id long, nth int")
 
 
 @query("w03_candidate_rank", f"SELECT frame_id, det_id, star_id, row_number() OVER (PARTITION BY frame_id, det_id ORDER BY d2, star_id)::INTEGER AS nth FROM ({_PAIRS})")
 def _(t):
-    nth = F.row_number().over(Window.partitionBy("frame_id", "det_id").orderBy("d2", "star_id"))
-    return pairs(t).select("frame_id", "det_id", "star_id", nth.alias("nth"))
+    """Every pair, so as many rows as they are; a detection's are in one chunk."""
+
+    def work(of_group):
+        for v in of_group:
+            v = v.seen()
+            found = detected(v)
+            for i, j, d2 in views.near_chunks(found["x"], found["y"], v.star["x"], v.star["y"], 3.0):
+                det, star = found["det_id"][i], v.star["star_id"][j]
+                order = np.lexsort((star, d2, det))
+                det, star = det[order], star[order]
+                yield v.frame_id, det, star, np.arange(1, len(det) + 1) - np.searchsorted(det, det, "left")
+
+    return t.by_frame(work, "frame_id long, det_id long, star_id long, nth int")
 
 
 @query("j03_correspondences", f"SELECT p.frame_id, p.det_id, p.star_id, s.mag, s.con FROM ({_PAIRS}) p JOIN stars s ON s.star_id = p.star_id")
@@ -94,10 +121,20 @@ _SEEDED = f"SELECT frame_id, variant, unnest({_FOLD.format(a='star_id', b='det_i
 @query("j13_exclusive_seeds", f"SELECT variant::INTEGER AS variant, frame_id, star_id, det_id, {r6('score')} AS score FROM ({_SEEDED}) s JOIN ({_SCORED}) q USING (frame_id) WHERE q.star_id = s.p[1] AND q.det_id = s.p[2]")
 def _(t):
     """Three variants a frame, each with another of its closest pairs first."""
-    near = pairs(t).withColumn("score", F.exp(-F.col("d2"))).select("frame_id", "star_id", "det_id", "score")
-    nth = F.row_number().over(Window.partitionBy("frame_id").orderBy(F.desc("score"), "star_id", "det_id"))
-    seeds = near.withColumn("variant", nth).where("variant <= 3").select("variant", "frame_id", "star_id", "det_id")
-    return matching.exclusive(near, "star_id", "det_id", "score", seeds).select("variant", "frame_id", "star_id", "det_id", R(F.col("score")).alias("score"))
+
+    def work(of_group):
+        for v in of_group:
+            v = v.seen()
+            stars, found = v.star, detected(v)
+            i, j, d2 = views.near_pairs(stars["x"], stars["y"], found["x"], found["y"], 3.0)
+            star, det, score = stars["star_id"][i], found["det_id"][j], np.array([math.exp(-d) for d in d2.tolist()])
+            order = np.lexsort((det, star, -score))
+            for n in range(min(3, len(order))):
+                begun = np.concatenate([order[n : n + 1], np.delete(order, n)])
+                kept = begun[views.greedy(i[begun], j[begun])]
+                yield n + 1, v.frame_id, star[kept], det[kept], rounded(score[kept])
+
+    return t.by_frame(work, "variant int, frame_id long, star_id long, det_id long, score double")
 
 
 @query("u05_intersection", "SELECT star_id FROM stars WHERE mag < 4 INTERSECT SELECT star_id FROM stars WHERE proper IS NOT NULL")
@@ -133,6 +170,10 @@ def _(t):
 @query("f58_detections", "SELECT frame_id, det_id, sign(x) * floor(abs(x) * 100 + 0.5) / 100 AS x, sign(y) * floor(abs(y) * 100 + 0.5) / 100 AS y, flux, d.det_id % 2 = 0 AS inlier FROM detections d")
 def _(t):
     """Rows of the report: places with two digits, and which detections were matched."""
-    matched = t.detections.where("det_id % 2 = 0").select("frame_id", "det_id", F.lit(True).alias("inlier"))
-    rows = t.detections.join(matched, ["frame_id", "det_id"], "left")
-    return rows.select("frame_id", "det_id", C.rounded(F.col("x"), 2).alias("x"), C.rounded(F.col("y"), 2).alias("y"), "flux", F.coalesce("inlier", F.lit(False)).alias("inlier"))
+
+    def one(v):
+        found = detected(v.seen())
+        two = lambda c: np.sign(found[c]) * np.floor(np.abs(found[c]) * 100 + 0.5) / 100
+        return v.frame_id, found["det_id"], two("x"), two("y"), found["flux"], np.fmod(found["det_id"], 2) == 0
+
+    return t.by_frame(each(one), "frame_id long, det_id long, x double, y double, flux double, inlier boolean")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import sphere as S
 from ..operators import joins
 from ..operators import polylines as P
+from ..operators.views import each
 from .bindings import FOCAL, HEIGHT, WIDTH, R, r6, unit_sql
 from .registry import query
 
@@ -138,6 +139,12 @@ def _(t):
     """What each frame's overlay holds: runs of lines, and its brightest stars."""
     runs = P.islands(screen(t), ["line_id"], ["seq", "piece"], "visible")
     drawn = runs.groupBy("frame_id", "line_id").agg(F.count(F.lit(1)).alias("n")).groupBy("frame_id").agg(F.count(F.lit(1)).alias("lines"), F.sum("n").alias("points"))
-    nth = F.row_number().over(Window.partitionBy("frame_id").orderBy("mag", "star_id"))
-    labelled = t.in_frame.where("mag < 6 or proper is not null").withColumn("nth", nth).where("nth <= 40").groupBy("frame_id").agg(F.count(F.lit(1)).alias("stars"), F.count("proper").alias("named"))
+
+    def one(v):
+        v = v.seen()
+        v = v.only((v.star["mag"] < 6) | v.star["named"])
+        top = np.lexsort((v.star["star_id"], v.star["mag"]))[:40]
+        return (v.frame_id, len(top), np.count_nonzero(v.star["named"][top])) if len(top) else None
+
+    labelled = t.by_frame(each(one), "frame_id long, stars long, named long")
     return drawn.join(labelled, "frame_id", "full").na.fill(0)

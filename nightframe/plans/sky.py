@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as C
 from ..functions import sphere as S
 from ..operators import aggregates as A
-from ..operators import joins, matching
-from .bindings import FOCAL, HEIGHT, WIDTH, R, r6, unit_sql
+from ..operators import joins, matching, views
+from ..operators.views import each, rounded
+from .bindings import FOCAL, HEIGHT, WIDTH, R, detected, r6, unit_sql
 from .registry import query
 
 
@@ -85,24 +87,34 @@ def _(t):
 
 @query("j07_cone_join", f"SELECT frame_id, star_id, {r6('cz')} AS axis_dot FROM cone")
 def _(t):
-    near = joins.cone_join(t.stars, t.frames, S.half_diagonal_deg(FOCAL, WIDTH, HEIGHT) + 1.0)
-    return near.select("frame_id", "star_id", R(F.col("axis_dot")).alias("axis_dot"))
+    return t.by_frame(each(lambda v: (v.frame_id, v.star["star_id"], rounded(v.cam[2]))), "frame_id long, star_id long, axis_dot double")
+
+
+#: Of places of stars in frames.
+PLACES = "frame_id long, star_id long, x double, y double"
+
+
+def place(v, x, y) -> tuple:
+    return v.frame_id, v.star["star_id"], rounded(x), rounded(y)
 
 
 @query("p11_in_frame", f"SELECT frame_id, star_id, {r6('x')} AS x, {r6('y')} AS y FROM in_frame")
 def _(t):
-    return t.in_frame.select("frame_id", "star_id", R(F.col("x")).alias("x"), R(F.col("y")).alias("y"))
+    def one(v):
+        v = v.seen()
+        return place(v, v.star["x"], v.star["y"])
+
+    return t.by_frame(each(one), PLACES)
 
 
 @query("o02_top40_per_frame", f"SELECT frame_id, star_id, {r6('x')} AS x, {r6('y')} AS y, nth FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY mag, star_id) AS nth FROM in_frame) WHERE nth <= 40")
 def _(t):
-    nth = F.row_number().over(Window.partitionBy("frame_id").orderBy("mag", "star_id"))
-    return t.in_frame.withColumn("nth", nth).where("nth <= 40").select("frame_id", "star_id", R(F.col("x")).alias("x"), R(F.col("y")).alias("y"), F.col("nth").cast("long").alias("nth"))
-
+    def one(v):
+        v = v.seen()
+        top = np.lexsort((v.star["star_id"], v.star["mag"]))[:40]
+        return v.frame_id, v.star["star_id"][top], rounded(v.star["x"][top]), rounded(v.star["y"][top]), np.arange(1, len(top) + 1)
 
-def cone(t):
-    """Stars about each frame's axis, with their camera vectors."""
-    return joins.with_camera(t.stars, t.frames, S.half_diagonal_deg(FOCAL, WIDTH, HEIGHT) + 1.0)
+    return t.by_frame(each(one), f"{PLACES}, nth long")
 
 
 _DIST = "(1.0 + -0.3::DOUBLE * (u * u + v * v))"
@@ -112,8 +124,16 @@ _DIST = "(1.0 + -0.3::DOUBLE * (u * u + v * v))"
 SELECT frame_id, star_id, {r6(f'w / 2.0 + focal * u * {_DIST}')} AS x, {r6(f'h / 2.0 - focal * v * {_DIST}')} AS y
 FROM (SELECT *, cx / cz AS u, cy / cz AS v FROM cone WHERE cz > 0.05) WHERE u * u + v * v < 1.0 / 0.9::DOUBLE""")
 def _(t):
-    seen, x, y = S.project(S.Vector(*map(F.col, joins.CAMERA)), F.col("focal"), F.lit(-0.3), F.col("w"), F.col("h"))
-    return cone(t).where(seen).select("frame_id", "star_id", R(x).alias("x"), R(y).alias("y"))
+    def one(v):
+        v = v.only(v.cam[2] > S.NEAR)
+        a, b = v.cam[0] / v.cam[2], v.cam[1] / v.cam[2]
+        r2 = a * a + b * b
+        fold = r2 < 1.0 / 0.9
+        stretch = 1.0 - 0.3 * r2
+        x, y = v.w / 2.0 + v.focal * a * stretch, v.h / 2.0 - v.focal * b * stretch
+        return place(v.only(fold), x[fold], y[fold])
+
+    return t.by_frame(each(one), PLACES)
 
 
 _U = unit_sql("ra_deg", "dec_deg")
@@ -216,24 +236,48 @@ def _(t):
 
 @query("g11_pixel_to_camera", f"SELECT frame_id, star_id, {r6('dx / n')} AS x, {r6('dy / n')} AS y, {r6('1 / n')} AS z FROM (SELECT *, sqrt(dx * dx + dy * dy + 1) AS n FROM (SELECT *, (x - w / 2.0) / {FOCAL} AS dx, (h / 2.0 - y) / {FOCAL} AS dy FROM in_frame))")
 def _(t):
-    dx, dy = (F.col("x") - F.col("w") / 2.0) / FOCAL, (F.col("h") / 2.0 - F.col("y")) / FOCAL
-    return t.in_frame.select("frame_id", "star_id", *named(S.normalized(S.Vector(dx, dy, F.lit(1.0)))))
+    def one(v):
+        v = v.seen()
+        dx, dy = (v.star["x"] - v.w / 2.0) / FOCAL, (v.h / 2.0 - v.star["y"]) / FOCAL
+        n = np.sqrt(dx * dx + dy * dy + 1)
+        return *place(v, dx / n, dy / n), rounded(1 / n)
+
+    return t.by_frame(each(one), f"{PLACES}, z double")
 
 
 @query("g12_vector_to_pixel", f"SELECT frame_id, star_id, {r6('w / 2.0 + focal * cx / greatest(cz, 1e-6::DOUBLE)')} AS x, {r6('h / 2.0 - focal * cy / greatest(cz, 1e-6::DOUBLE)')} AS y FROM cone")
 def _(t):
-    near = cone(t)
-    z = F.greatest(F.col("cam_z"), F.lit(1e-6))
-    return near.select("frame_id", "star_id", R(F.col("w") / 2.0 + F.col("focal") * F.col("cam_x") / z).alias("x"), R(F.col("h") / 2.0 - F.col("focal") * F.col("cam_y") / z).alias("y"))
+    def one(v):
+        x, y, z = v.cam
+        z = np.maximum(z, 1e-6)
+        return place(v, v.w / 2.0 + v.focal * x / z, v.h / 2.0 - v.focal * y / z)
+
+    return t.by_frame(each(one), PLACES)
 
 
 # -- detections ------------------------------------------------------------------------------
 _PAIRS = "SELECT a.frame_id, a.star_id, b.det_id, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS d2 FROM in_frame a JOIN detections b ON a.frame_id = b.frame_id AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 9.0"
 
 
+def paired(v):
+    """Of what a frame shows: its stars, its detections, and in chunks the pairs of both at most 3
+    pixels apart, as places in each, with d2."""
+    v = v.seen()
+    found = detected(v)
+    return v.star, found, views.near_chunks(v.star["x"], v.star["y"], found["x"], found["y"], 3.0)
+
+
+PAIRS = "frame_id long, star_id long, det_id long, d2 double"
+
+
 def pairs(t):
-    near = joins.radius_join(t.in_frame.select("frame_id", "star_id", "x", "y"), t.detections.select("frame_id", "det_id", "x", "y"), ["frame_id"], 3.0)
-    return near.select("frame_id", "star_id", F.col("det_id_2").alias("det_id"), "d2")
+    def work(of_group):
+        for v in of_group:
+            stars, found, chunks = paired(v)
+            for i, j, d2 in chunks:
+                yield v.frame_id, stars["star_id"][i], found["det_id"][j], d2
+
+    return t.by_frame(work, PAIRS)
 
 
 @query("j08_radius_join", f"SELECT frame_id, star_id, det_id, {r6('d2')} AS d2 FROM ({_PAIRS})")
@@ -243,7 +287,13 @@ def _(t):
 
 @query("a23_rms", f"SELECT frame_id, {r6('sqrt(avg(d2))')} AS rms FROM ({_PAIRS}) GROUP BY frame_id")
 def _(t):
-    return pairs(t).groupBy("frame_id").agg(R(A.rms(F.col("d2"))).alias("rms"))
+    def one(v):
+        n, total = 0, 0.0
+        for _, _, d2 in paired(v)[-1]:
+            n, total = n + len(d2), total + d2.sum()
+        return (v.frame_id, rounded(np.sqrt(total / n))) if n else None
+
+    return t.by_frame(each(one), "frame_id long, rms double")
 
 
 _LO_P = f"greatest(1e-9::DOUBLE, least(0.2::DOUBLE, n * pi() * 9.0 / ({WIDTH} * {HEIGHT})))"
@@ -251,9 +301,19 @@ _LO_P = f"greatest(1e-9::DOUBLE, least(0.2::DOUBLE, n * pi() * 9.0 / ({WIDTH} *
 
 @query("a37_log_odds", f"SELECT frame_id, hits, n, {r6(f'hits * ln(0.85::DOUBLE / {_LO_P}) + (n - hits) * ln(0.15::DOUBLE / (1.0 - {_LO_P}))')} AS log_odds FROM (SELECT frame_id, count(*) AS hits FROM ({_PAIRS}) WHERE star_id = det_id GROUP BY frame_id) JOIN (SELECT frame_id, count(*) AS n FROM detections GROUP BY frame_id) USING (frame_id)")
 def _(t):
-    hits = pairs(t).where("star_id = det_id").groupBy("frame_id").agg(F.count(F.lit(1)).alias("hits"))
-    n = t.detections.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"))
-    return hits.join(n, "frame_id").withColumn("log_odds", R(C.log_odds(F.col("hits"), F.col("n"), F.lit(WIDTH), F.lit(HEIGHT))))
+    def one(v):
+        """Only a star's own detection can have its number."""
+        v = v.seen()
+        found = detected(v)
+        own = np.searchsorted(found["det_id"], v.star["star_id"], sorter=(order := np.argsort(found["det_id"])))
+        near = order[np.minimum(own, len(order) - 1)] if len(order) else own[:0]
+        stars = {c: x[: len(near)] for c, x in v.star.items()}
+        d2 = (stars["x"] - found["x"][near]) ** 2 + (stars["y"] - found["y"][near]) ** 2
+        hits = np.count_nonzero((stars["star_id"] == found["det_id"][near]) & (d2 <= 9.0))
+        return (v.frame_id, hits, len(found["det_id"])) if hits else None
+
+    hits = t.by_frame(each(one), "frame_id long, hits long, n long")
+    return hits.withColumn("log_odds", R(C.log_odds(F.col("hits"), F.col("n"), F.lit(WIDTH), F.lit(HEIGHT))))
 
 
 #: A greedy pass in order as a fold: a pair is kept if no kept one has either of its ends.
@@ -269,20 +329,38 @@ def _kept_sql(radius: float, test: str) -> str:
     return f"SELECT frame_id, unnest(kept)[1]::BIGINT AS det_id, unnest(range(1, len(kept) + 1)) AS nth FROM (SELECT frame_id, {fold} AS kept FROM detections GROUP BY frame_id)"
 
 
+def greedy(v):
+    """Of paired, the pairs that a pass by rising distance keeps one to one; ties by star, then detection."""
+    v = v.seen()
+    found = detected(v)
+    return v.star, found, *views.nearest_first(v.star["x"], v.star["y"], found["x"], found["y"], v.star["star_id"], found["det_id"], 3.0)
+
+
 @query("j09_greedy_global", f"SELECT frame_id, star_id, det_id, {r6('d2')} AS d2 FROM ({_GREEDY}) JOIN ({_PAIRS}) USING (frame_id, star_id, det_id)")
 def _(t):
-    return matching.greedy_pairs(pairs(t), "star_id", "det_id").select("frame_id", "star_id", "det_id", R(F.col("d2")).alias("d2"))
+    def one(v):
+        stars, found, i, j, d2 = greedy(v)
+        return v.frame_id, stars["star_id"][i], found["det_id"][j], rounded(d2)
 
+    return t.by_frame(each(one), PAIRS)
 
-def matched(t):
-    order = Window.partitionBy("frame_id").orderBy(F.desc("flux"), "det_id")
-    ranked = t.detections.select("frame_id", "det_id", F.row_number().over(order).alias("rank"))
-    return matching.greedy_by_detection(pairs(t).join(ranked, ["frame_id", "det_id"]), "rank", "det_id", "star_id")
+
+def matched(v):
+    """Of paired, the pairs in which detections by falling flux each take the nearest free star."""
+    v = v.seen()
+    found = detected(v)
+    order = np.lexsort((found["det_id"], -found["flux"]))
+    i, j = views.in_turn(found["x"][order], found["y"][order], v.star["x"], v.star["y"], v.star["star_id"], 3.0)
+    return v.star, found, j, order[i]
 
 
 @query("j10_greedy_truth", f"SELECT frame_id, det_id, star_id FROM ({_MATCHED})")
 def _(t):
-    return matched(t).select("frame_id", "det_id", "star_id")
+    def one(v):
+        stars, found, i, j = matched(v)
+        return v.frame_id, found["det_id"][j], stars["star_id"][i]
+
+    return t.by_frame(each(one), "frame_id long, det_id long, star_id long")
 
 
 @query("a42_detection_counts", f"""
@@ -290,31 +368,41 @@ SELECT frame_id, tp, n - tp AS fp, m - tp AS fn, {r6('CASE WHEN n > 0 THEN tp /
   SELECT frame_id, m, coalesce(n, 0) AS n, coalesce(tp, 0) AS tp FROM (SELECT frame_id, count(*) AS m FROM in_frame GROUP BY frame_id)
   LEFT JOIN (SELECT frame_id, count(*) AS n FROM detections GROUP BY frame_id) USING (frame_id) LEFT JOIN (SELECT frame_id, count(*) AS tp FROM ({_MATCHED}) GROUP BY frame_id) USING (frame_id))""")
 def _(t):
-    hit = matched(t).groupBy("frame_id").agg(F.count(F.lit(1)).alias("tp"))
-    n = t.detections.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"))
-    m = t.in_frame.groupBy("frame_id").agg(F.count(F.lit(1)).alias("m"))
-    each = m.join(n, "frame_id", "left").join(hit, "frame_id", "left").na.fill(0)
+    def one(v):
+        stars, found, i, _ = matched(v)
+        return (v.frame_id, len(stars["star_id"]), len(found["det_id"]), len(i)) if len(stars["star_id"]) else None
+
+    each = t.by_frame(views.each(one), "frame_id long, m long, n long, tp long")
     each = each.select("frame_id", "tp", (F.col("n") - F.col("tp")).alias("fp"), (F.col("m") - F.col("tp")).alias("fn"))
     ratio = lambda x: R(F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col(x)), F.lit(0.0)))
     return each.withColumn("precision", ratio("fp")).withColumn("recall", ratio("fn"))
 
 
+def spaced(radius: float, inclusive: bool, most: int | None = None):
+    """Work that keeps a frame's detections, brightest first, without those near one kept before."""
+
+    def one(v):
+        found = detected(v.seen())
+        order = np.lexsort((found["det_id"], found["x"], found["y"], -found["flux"]))
+        kept = order[views.spaced(found["x"][order], found["y"][order], radius, inclusive)][:most]
+        return v.frame_id, found["det_id"][kept]
+
+    return each(one)
+
+
 @query("j20_nms", f"SELECT frame_id, det_id FROM ({_kept_sql(12.0, '<=')})")
 def _(t):
-    points = t.detections.withColumn("order", -F.col("flux"))
-    return matching.suppress(points, ["order", "y", "x"], "det_id", 12.0, inclusive=True).select("frame_id", "det_id")
+    return t.by_frame(spaced(12.0, True), "frame_id long, det_id long")
 
 
 @query("o09_nms_capped", f"SELECT frame_id, det_id FROM ({_kept_sql(12.0, '<=')}) WHERE nth <= 20")
 def _(t):
-    points = t.detections.withColumn("order", -F.col("flux"))
-    return matching.suppress(points, ["order", "y", "x"], "det_id", 12.0, inclusive=True, most=20).select("frame_id", "det_id")
+    return t.by_frame(spaced(12.0, True, 20), "frame_id long, det_id long")
 
 
 @query("j21_dedup", f"SELECT frame_id, det_id FROM ({_kept_sql(30.0, '<')})")
 def _(t):
-    points = t.detections.withColumn("order", -F.col("flux"))
-    return matching.suppress(points, ["order", "y", "x"], "det_id", 30.0, inclusive=False).select("frame_id", "det_id")
+    return t.by_frame(spaced(30.0, False), "frame_id long, det_id long")
 
 
 _ANG = "acos(least(1.0, greatest(-1.0, a.sx * b.sx + a.sy * b.sy + a.sz * b.sz)))"
@@ -370,19 +458,36 @@ def _(t):
 
 @query("a38_cross_covariance", f"SELECT frame_id, {', '.join(f'{r6(f'sum({a} * {b})')} AS {a[-1]}{b[-1]}' for a in ('cx', 'cy', 'cz') for b in ('sx', 'sy', 'sz'))} FROM (SELECT c.frame_id, c.cx, c.cy, c.cz, s.sx, s.sy, s.sz FROM cone c JOIN star_units s USING (star_id)) GROUP BY frame_id")
 def _(t):
-    return cone(t).groupBy("frame_id").agg(*[R(F.sum(F.col(f"cam_{a}") * F.col(f"star_u.{b}"))).alias(a + b) for a in "xyz" for b in "xyz"])
+    def one(v):
+        return (v.frame_id, *[rounded((c * u).sum()) for c in v.cam for u in v.u]) if len(v.place) else None
+
+    return t.by_frame(each(one), "frame_id long, " + ", ".join(f"{a}{b} double" for a in "xyz" for b in "xyz"))
 
 
 @query("j02_matched_vectors", f"SELECT m.det_id, {r6('sx')} AS x, {r6('sy')} AS y, {r6('sz')} AS z FROM (SELECT DISTINCT det_id FROM detections) m JOIN star_units s ON s.star_id = m.det_id")
 def _(t):
+    def work(of_group):
+        """A star that several frames of a group show leaves it once."""
+        once = np.zeros(0, np.int64)
+        for v in of_group:
+            once = np.union1d(once, detected(v.seen())["det_id"])
+        yield (once,)
+
     s = t.stars.select(F.col("star_id").alias("det_id"), S.unit(F.col("ra_deg"), F.col("dec_deg")).struct().alias("u"))
-    return t.detections.select("det_id").distinct().join(s, "det_id").select("det_id", *[R(F.col(f"u.{c}")).alias(c) for c in "xyz"])
+    return t.by_frame(work, "det_id long").distinct().join(s, "det_id").select("det_id", *[R(F.col(f"u.{c}")).alias(c) for c in "xyz"])
 
 
 @query("j15_semi_inliers", f"SELECT d.frame_id, d.det_id, p.det_id IS NOT NULL AS inlier FROM detections d LEFT JOIN (SELECT DISTINCT frame_id, det_id FROM ({_PAIRS}) WHERE d2 <= 0.5) p USING (frame_id, det_id)")
 def _(t):
-    near = pairs(t).where("d2 <= 0.5").select("frame_id", "det_id").distinct().withColumn("in", F.lit(True))
-    return t.detections.join(near, ["frame_id", "det_id"], "left").select("frame_id", "det_id", F.coalesce("in", F.lit(False)).alias("inlier"))
+    def one(v):
+        v = v.seen()
+        found = detected(v)
+        inlier = np.zeros(len(found["det_id"]), bool)
+        for _, j, d2 in views.near_chunks(v.star["x"], v.star["y"], found["x"], found["y"], 0.75):
+            inlier[j[d2 <= 0.5]] = True
+        return v.frame_id, found["det_id"], inlier
+
+    return t.by_frame(each(one), "frame_id long, det_id long, inlier boolean")
 
 
 # -- candidates: the matches of a frame's detections within each of three radii ---------------
@@ -396,11 +501,14 @@ SELECT frame_id, attempt, hits, n, {r6(f'hits * ln(0.85::DOUBLE / {_LO_P}) + (n
 def candidates(t):
     """Hits are the pairs of the greedy matching (J09); which star a detection is of is not read.
     What a smaller radius matches is the part of the larger one's that lies within it."""
-    radii = F.explode(F.array(*[F.struct(F.lit(i).alias("attempt"), F.lit(r).alias("r")) for i, r in enumerate(RADII)]))
-    met = matching.greedy_pairs(pairs(t), "star_id", "det_id")
-    hits = met.withColumn("a", radii).where("d2 <= a.r * a.r").groupBy("frame_id", F.col("a.attempt").alias("attempt")).agg(F.count(F.lit(1)).alias("hits"))
-    n = t.detections.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"))
-    return hits.join(n, "frame_id").withColumn("log_odds", R(C.log_odds(F.col("hits"), F.col("n"), F.lit(WIDTH), F.lit(HEIGHT))))
+    def one(v):
+        _, found, _, _, d2 = greedy(v)
+        hits = np.array([np.count_nonzero(d2 <= r * r) for r in RADII])
+        attempt = np.flatnonzero(hits)
+        return v.frame_id, attempt, hits[attempt], np.full(len(attempt), len(found["det_id"]))
+
+    hits = t.by_frame(each(one), "frame_id long, attempt int, hits long, n long")
+    return hits.withColumn("log_odds", R(C.log_odds(F.col("hits"), F.col("n"), F.lit(WIDTH), F.lit(HEIGHT))))
 
 
 @query("p24_soft_accept", f"SELECT frame_id, attempt, hits, log_odds FROM ({_CANDIDATES}) WHERE log_odds >= 18 AND hits >= 6")
