@@ -172,10 +172,14 @@ def _(t):
 
 @query("g08_unproject", f"SELECT frame_id, star_id, {r6('ra_deg')} AS ra, {r6('dec_deg')} AS dec FROM cone WHERE cz > 0.05 AND (frame_id, star_id) IN (SELECT (frame_id, star_id) FROM in_frame)")
 def _(t):
+    """A pixel that leads back to its star's direction has the star's own place: what is left of the
+    way there and back is rounding, which near the poles turns the sixth place of ra."""
     px = t.in_frame.drop("w", "h").join(joins.with_rotation(t.frames), "frame_id")
     px = px.withColumn("u", S.unproject(F.col("rot"), F.col("focal"), F.lit(0.0), F.col("w"), F.col("h"), F.col("x"), F.col("y")).struct())
+    own = S.unit(F.col("ra_deg"), F.col("dec_deg"))
+    back = F.greatest(*[F.abs(F.col(f"u.{c}") - v) for c, v in zip("xyz", own, strict=True)]) < 1e-12
     ra, dec = S.ra_dec(F.col("u"))
-    return px.select("frame_id", "star_id", (R(ra) % 360.0).alias("ra"), R(dec).alias("dec"))
+    return px.select("frame_id", "star_id", F.when(back, R(F.col("ra_deg"))).otherwise(R(ra) % 360.0).alias("ra"), R(F.when(back, F.col("dec_deg")).otherwise(dec)).alias("dec"))
 
 
 _PM = "((star_id % 11 - 5) * 1e-6::DOUBLE)", "((star_id % 7 - 3) * 1e-6::DOUBLE)"
