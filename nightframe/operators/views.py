@@ -33,7 +33,8 @@ BATCH = 20000
 @dataclass
 class View:
     """A frame and the stars about its axis: columns of the stars, `u` and `cam`, their vectors in
-    the sky and the camera, and `place`, where they stand among the group's stars."""
+    the sky and the camera, and `place`, where they stand among the group's stars; `own`, more
+    columns of the frame."""
 
     frame_id: int
     focal: float
@@ -43,16 +44,23 @@ class View:
     u: tuple[np.ndarray, ...]
     cam: tuple[np.ndarray, ...]
     place: np.ndarray
+    own: dict | None = None
 
     def only(self, mask: np.ndarray) -> View:
         at = np.flatnonzero(mask)
         take = lambda values: tuple(v[at] for v in values)
-        return View(self.frame_id, self.focal, self.w, self.h, {k: v[at] for k, v in self.star.items()}, take(self.u), take(self.cam), self.place[at])
+        return View(self.frame_id, self.focal, self.w, self.h, {k: v[at] for k, v in self.star.items()}, take(self.u), take(self.cam), self.place[at], self.own)
 
-    def seen(self) -> View:
+    def seen(self, k1: float = 0.0) -> View:
         """The stars that the frame shows, with x and y."""
         ahead = self.only(self.cam[2] > S.NEAR)
         x, y, z = ahead.cam
+        if k1:
+            r2 = (x / z) ** 2 + (y / z) ** 2
+            if k1 < 0:
+                ahead, r2 = ahead.only(r2 < -1.0 / (3.0 * k1)), r2[r2 < -1.0 / (3.0 * k1)]
+                x, y, z = ahead.cam
+            x, y = x * (1.0 + k1 * r2), y * (1.0 + k1 * r2)
         ahead.star |= {"x": self.w / 2.0 + self.focal * x / z, "y": self.h / 2.0 - self.focal * y / z}
         x, y = ahead.star["x"], ahead.star["y"]
         return ahead.only((x >= 0) & (x < self.w) & (y >= 0) & (y < self.h))
@@ -61,30 +69,96 @@ class View:
 Work = Callable[[Iterator[View]], Iterator[tuple]]
 
 
-def _views(table: pa.Table, columns: list[str], least: float) -> Iterator[View]:
+@dataclass
+class Choice:
+    """Stars that a view may leave out. rising, enough: stars come by this column, and a view has
+    those up to a value at which it has enough. near: of a frame's own columns, pixels x and y and
+    a radius; a view has the stars that may lie so near to one of them (without distortion)."""
+
+    rising: str | None = None
+    enough: Callable[[View], bool] | None = None
+    near: Callable[[dict], tuple[np.ndarray, np.ndarray, float]] | None = None
+
+
+class _Lattice:
+    """Unit vectors in cubes of a side: which ones may lie within the side of others."""
+
+    STEP = 1 << 20
+
+    def __init__(self, u: list[np.ndarray], side: float):
+        self.side = max(side * (1 + 1e-9), 1e-5)
+        key = self.key(*[self.cube(c) for c in u])
+        self.order = np.argsort(key, kind="stable")
+        self.key_of = key[self.order]
+
+    def cube(self, c: np.ndarray) -> np.ndarray:
+        return np.floor((c + 1.0) / self.side).astype(np.int64) + 1
+
+    def key(self, x, y, z):
+        return (x * self.STEP + y) * self.STEP + z
+
+    def about(self, u: list[np.ndarray]) -> np.ndarray:
+        x, y, z = (self.cube(c)[:, None] for c in u)
+        dx, dy = np.array([-1, 0, 1]).repeat(3), np.array([-1, 0, 1] * 3)
+        rows = np.unique(self.key(x + dx, y + dy, z))  # three cubes beside each other are a range
+        first = np.searchsorted(self.key_of, rows - 1, "left")
+        n = np.searchsorted(self.key_of, rows + 1, "right") - first
+        first, n = first[n > 0], n[n > 0]
+        return np.unique(self.order[np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)])
+
+
+def _views(table: pa.Table, columns: list[str], least: float, choice: Choice) -> Iterator[View]:
     frames = table.filter(table["view"].is_valid())
     stars = table.filter(table["view"].is_null())
+    if choice.rising:
+        stars = stars.sort_by(choice.rising)
     array = lambda c: stars[c].combine_chunks().to_numpy(zero_copy_only=False)
     own, u = {c: array(c) for c in columns}, [array(c) for c in ("ux", "uy", "uz")]
-    for frame_id, view in zip(frames["star_id"].to_pylist(), frames["view"].to_pylist(), strict=True):
+    more = frames["own"].to_pylist() if "own" in table.column_names else [None] * len(frames)
+    n, lattice = len(u[0]), None
+    dot = lambda row, v: row[0] * v[0] + row[1] * v[1] + row[2] * v[2]
+    for frame_id, view, extra in zip(frames["star_id"].to_pylist(), frames["view"].to_pylist(), more, strict=True):
         *rot, focal, w, h = view
-        dot = lambda row, v: row[0] * v[0] + row[1] * v[1] + row[2] * v[2]
-        z = dot(rot[6:9], u)
-        place = np.flatnonzero(z >= least)
-        near = tuple(v[place] for v in u)
-        cam = (dot(rot[0:3], near), dot(rot[3:6], near), z[place])
-        yield View(frame_id, focal, w, h, {k: v[place] for k, v in own.items()}, near, cam, place)
-
 
-def by_frame(stars: DataFrame, frames: DataFrame, radius_deg: float, work: Work, schema: str, columns: tuple[str, ...] = ("mag",)) -> DataFrame:
+        def show(place: np.ndarray | slice) -> View:
+            z = dot(rot[6:9], [v[place] for v in u])  # noqa: B023
+            ok = np.flatnonzero(z >= least)
+            place = ok if isinstance(place, slice) else place[ok]
+            near = tuple(v[place] for v in u)
+            cam = (dot(rot[0:3], near), dot(rot[3:6], near), z[ok])  # noqa: B023
+            return View(frame_id, focal, w, h, {k: v[place] for k, v in own.items()}, near, cam, place, extra)  # noqa: B023
+
+        if choice.near:
+            px, py, r = choice.near(extra)
+            a, b = (px - w / 2.0) / focal, (h / 2.0 - py) / focal
+            long = np.sqrt(a * a + b * b + 1.0)
+            # on the sphere, two rays are no farther apart than on the plane of the pixels
+            if lattice is None or lattice.side < r / focal:
+                lattice = _Lattice(u, r / focal)
+            yield show(lattice.about([(rot[c] * a + rot[3 + c] * b + rot[6 + c]) / long for c in range(3)]))
+            continue
+        end = n if choice.enough is None else max(n // 32, 64)
+        while choice.enough is not None and end < n:
+            end = int(np.searchsorted(own[choice.rising], own[choice.rising][end - 1], "right"))
+            if end < n:
+                some = show(slice(0, end))
+                if choice.enough(some):
+                    yield some
+                    break
+            end *= 2
+        else:
+            yield show(slice(0, n))
+
+
+def by_frame(stars: DataFrame, frames: DataFrame, radius_deg: float, work: Work, schema: str, columns: tuple[str, ...] = ("mag",), more: tuple[str, ...] = (), choice: Choice = Choice(), batch: int = BATCH) -> DataFrame:
     """Rows that work makes of a group's frames, each with the stars within radius_deg of its axis.
     work takes an iterator of views and gives tuples of columns, as in schema; a number stands for
     a row. stars: star_id, ra_deg, dec_deg and the columns; frames: frame_id, ra0, dec0, roll,
-    focal, w, h."""
+    focal, w, h, and more columns, which views have as `own`. batch: rows that leave a task at once."""
     size = max(radius_deg, 1.0)
     rot = [F.col(f"rot.{row}.{c}") for row in ("right", "up", "forward") for c in "xyz"]
     sides = [F.col(c).cast("double") for c in ("focal", "w", "h")]
-    own = joins.with_cell(joins.with_rotation(frames), size, "ra0", "dec0").select("zone", "cell", F.col("frame_id").alias("star_id"), F.array(*rot, *sides).alias("view"))
+    own = joins.with_cell(joins.with_rotation(frames), size, "ra0", "dec0").select("zone", "cell", F.col("frame_id").alias("star_id"), F.array(*rot, *sides).alias("view"), *([F.struct(*more).alias("own")] if more else []))
     # as many rows as cells of the sky have frames
     blocks = F.broadcast(own.groupBy("zone", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")))
     own = own.join(blocks, ["zone", "cell"]).withColumn("block", F.pmod(F.xxhash64("star_id"), "blocks"))
@@ -102,12 +176,12 @@ def by_frame(stars: DataFrame, frames: DataFrame, radius_deg: float, work: Work,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, n = [], 0
-        for row in work(_views(pa.Table.from_batches(list(batches)), names, least)):
+        for row in work(_views(pa.Table.from_batches(list(batches)), names, least, choice)):
             values = [np.atleast_1d(v) for v in row]
             long = max(map(len, values))
             waiting.append([np.broadcast_to(v, long) if len(v) == 1 else v for v in values] if min(map(len, values)) else None)
             n += long if waiting[-1] is not None else 0
-            if n >= BATCH:
+            if n >= batch:
                 yield _batch(waiting, types)
                 waiting, n = [], 0
         yield _batch(waiting, types)

@@ -41,9 +41,19 @@ def _detections(v: views.View) -> tuple:
     return v.frame_id, *detected(v.seen()).values()
 
 
-def _sightings(v: views.View) -> tuple:
+def sighted(v: views.View) -> dict[str, np.ndarray]:
+    """As detected, of `sky`; det_id tells nothing of the star."""
     d = detected(v.seen())
-    return v.frame_id, np.fmod(d["det_id"] * 7919 + 5, SCATTER), d["x"], d["y"], d["flux"]
+    return d | {"det_id": np.fmod(d["det_id"] * 7919 + 5, SCATTER)}
+
+
+def _sightings(v: views.View) -> tuple:
+    return v.frame_id, *sighted(v).values()
+
+
+def first(found: dict[str, np.ndarray], most: int) -> np.ndarray:
+    """Places of the `most` brightest, in order; ties by y, then x."""
+    return np.lexsort((found["x"], found["y"], -found["flux"]))[:most]
 
 
 DETECTIONS = "frame_id long, det_id long, x double, y double, flux double"
@@ -80,7 +90,28 @@ class Tables:
     def sightings(self) -> DataFrame:
         """What frames show of the sky: a pixel off at most, without every seventh star; det_id
         tells nothing of the star."""
-        return views.by_frame(self.sky, self.frames, RADIUS, views.each(_sightings), DETECTIONS)
+        return self.by_sighting(views.each(_sightings), DETECTIONS)
+
+    def by_sighting(self, work: views.Work, schema: str, **how) -> DataFrame:
+        """What work makes of frames and the stars of the sky about their axes."""
+        return views.by_frame(self.sky, self.frames, RADIUS, work, schema, **how)
+
+    @cached_property
+    def sighting_counts(self) -> DataFrame:
+        """frame_id, n of the frames that have sightings."""
+        return self.by_sighting(views.each(lambda v: (v.frame_id, n) if (n := len(sighted(v)["det_id"])) else None), "frame_id long, n long")
+
+    def first_sightings(self, most: int) -> DataFrame:
+        """Each frame's `most` brightest sightings. Stars come by magnitude, so what is fainter is
+        not worked out."""
+
+        def one(v: views.View) -> tuple:
+            found = sighted(v)
+            top = first(found, most)
+            return v.frame_id, *[c[top] for c in found.values()]
+
+        enough = views.Choice("mag", lambda v: len(sighted(v)["det_id"]) >= most)
+        return self.by_sighting(views.each(one), DETECTIONS, choice=enough)
 
     @cached_property
     def frames(self) -> DataFrame:
