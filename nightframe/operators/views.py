@@ -340,3 +340,65 @@ def spaced(x: np.ndarray, y: np.ndarray, r: float, inclusive: bool, head: int =
         out[i[close(d2)]] = True
         open_ = open_[~out]
     return np.concatenate(kept) if kept else open_
+
+
+def least_angles(v: View, k: int) -> np.ndarray:
+    """Of each star that a frame shows (View.seen) the k least angles to others, rising: (n, k), or
+    as many as there are others. A small reach comes first and doubles for stars with too few, so
+    dense fields are not paired in full; the plane of the pixels is a little wider than the sphere."""
+    x, y, n = v.star["x"], v.star["y"], len(v.place)
+    k = max(0, min(k, n - 1))
+    out, open_, reach = np.zeros((n, k)), np.arange(n if k else 0), 0.05
+    last = math.hypot(v.w, v.h) + 1.0
+    shrunk = float(v.cam[2].min()) ** 2 / v.focal * (1 - 1e-6) if n else 0.0
+    while len(open_):
+        wait = []
+        for i, j, _ in near_chunks(x[open_], y[open_], x, y, reach):
+            at = open_[i]
+            i, j, at = i[at != j], j[at != j], at[at != j]
+            angle = np.arccos(np.clip(v.u[0][at] * v.u[0][j] + v.u[1][at] * v.u[1][j] + v.u[2][at] * v.u[2][j], -1.0, 1.0))
+            sure = (angle <= reach * shrunk) | (reach >= last)
+            i, angle = i[sure], angle[sure]
+            order = np.lexsort((angle, i))
+            i, angle = i[order], angle[order]
+            begin = np.flatnonzero(np.concatenate([[True], np.diff(i) > 0])) if len(i) else i
+            full = begin[np.diff(np.append(begin, len(i))) >= k]
+            out[open_[i[full]]] = angle[full[:, None] + np.arange(k)]
+            wait.append(i[full])
+        open_ = np.delete(open_, np.concatenate(wait))
+        reach *= 2
+    return out
+
+
+def most_alike(seen: np.ndarray, own: np.ndarray, item: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of seen the k rows of own (places) with the least mean absolute difference, and
+    that; ties by item. Means differ by no more than rows, so rows come by their means, and a
+    window about a row widens until what is outside is farther."""
+    n, size = own.shape
+    k = min(k, n)
+    place, least = np.zeros((len(seen), k), np.int64), np.zeros((len(seen), k))
+    mean = own.mean(axis=1)
+    order = np.argsort(mean, kind="stable")
+    mean, asked = np.concatenate([[-np.inf], mean[order], [np.inf]]), seen.mean(axis=1)
+    middle, open_, reach = np.searchsorted(mean[1:-1], asked), np.arange(len(seen)), 8
+    while len(open_):
+        wide = []
+        for part in np.array_split(open_, -(-len(open_) * 2 * reach // 200000)):
+            at = middle[part][:, None] + np.arange(-reach, reach)
+            inside = (at >= 0) & (at < n)
+            j = order[np.clip(at, 0, n - 1)]
+            d = np.zeros(at.shape)
+            for c in range(size):
+                d += np.abs(seen[part, c][:, None] - own[j, c])
+            d = np.where(inside, d / size, np.inf)
+            row, column = np.nonzero(d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k])  # k of each row, and those that tie
+            value, where = d[row, column], j[row, column]
+            nth = np.lexsort((item[where], value, row))
+            nth = nth[np.searchsorted(row[nth], np.arange(len(part)))[:, None] + np.arange(k)]
+            place[part], least[part] = where[nth], value[nth]
+            first, last = np.maximum(middle[part] - reach, 0), np.minimum(middle[part] + reach + 1, n + 1)
+            gap = np.minimum(asked[part] - mean[first], mean[last] - asked[part])
+            wide.append(part[least[part, -1] >= gap - 1e-12])
+        open_ = np.concatenate(wide)
+        reach *= 2
+    return place, least

@@ -418,16 +418,14 @@ _DESCRIPTORS = f"""
   ) WHERE n <= 5 GROUP BY frame_id, star_id"""
 
 
-def descriptors(t):
-    u = S.unit(F.col("ra_deg"), F.col("dec_deg"))
-    points = t.in_frame.select("frame_id", "star_id", u.x.alias("x"), u.y.alias("y"), u.z.alias("z"))
-    return matching.neighbour_descriptor(points, "star_id")
-
-
 @query("j11_knn_descriptor", f"SELECT frame_id, star_id, {', '.join(f"{r6(f'd[{i + 1}]')} AS d{i}" for i in range(5))} FROM ({_DESCRIPTORS}) WHERE len(d) = 5")
 def _(t):
-    d = descriptors(t).where(F.size("descriptor") == 5)
-    return d.select("frame_id", "star_id", *[R(F.col("descriptor")[i]).alias(f"d{i}") for i in range(5)])
+    def one(v):
+        v = v.seen()
+        d = views.least_angles(v, 5)
+        return (v.frame_id, v.star["star_id"], *[rounded(c) for c in d.T]) if d.shape[1] == 5 else None
+
+    return t.by_frame(each(one), "frame_id long, star_id long, " + ", ".join(f"d{i} double" for i in range(5)))
 
 
 _ALIKE = "list_sum(list_transform(list_zip(a.d, b.d), lambda x: abs(x[1] + 1e-5::DOUBLE - x[2]))) / len(a.d)"
@@ -440,9 +438,17 @@ WITH descriptors AS ({_DESCRIPTORS}), ranked AS (
 ) SELECT frame_id, det_id, star_id, nth::INTEGER AS nth, {r6('exp(-distance / 0.01::DOUBLE)')} AS score FROM ranked WHERE nth <= 3""")
 def _(t):
     """Each detection's three most alike stars of its frame, by descriptor."""
-    d = descriptors(t)
-    seen = d.select("frame_id", F.col("star_id").alias("det_id"), F.transform("descriptor", lambda a: a + 1e-5).alias("descriptor"))
-    return matching.alike(seen, d).select("frame_id", "det_id", "star_id", "nth", R(F.exp(-F.col("distance") / 0.01)).alias("score"))
+
+    def one(v):
+        v = v.seen()
+        d, star = views.least_angles(v, 5), v.star["star_id"]
+        if not d.size:
+            return None
+        j, distance = views.most_alike(d + 1e-5, d, star, 3)
+        k = j.shape[1]
+        return v.frame_id, np.repeat(star, k), star[j].ravel(), np.tile(np.arange(1, k + 1), len(star)), rounded(np.exp(-distance / 0.01)).ravel()
+
+    return t.by_frame(each(one), "frame_id long, det_id long, star_id long, nth int, score double")
 
 
 @query("p26_ambiguity", """

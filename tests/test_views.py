@@ -68,3 +68,20 @@ def test_dense_matches_do_not_pair_all():
         views.near_pairs = near
     assert len(i) > 29000 and len(turn[0]) > 29000
     assert made[0] < 5_000_000
+
+
+def test_descriptors():
+    """Clusters, equal places and lone points, against all pairs."""
+    x, y = (np.concatenate([rng.uniform(0, 700, 40), c + rng.normal(0, 0.01, 60), [c, c]]) for c in (300.0, 200.0))
+    a, b = (x - 370) / 1900, (288 - y) / 1900
+    u = np.stack([a, b, np.ones(len(a))]) / np.sqrt(a * a + b * b + 1)
+    v = views.View(0, 1900.0, 740.0, 576.0, {"x": x, "y": y}, tuple(u), tuple(u), np.arange(len(x)))
+    angle = np.arccos(np.clip(sum(c[:, None] * c for c in u), -1, 1))
+    np.fill_diagonal(angle, np.inf)
+    d = views.least_angles(v, 5)
+    assert np.array_equal(d, np.sort(angle, axis=1)[:, :5])
+    j, far = views.most_alike(d + 1e-5, d, np.arange(len(x)), 3)
+    every = sum(np.abs(d[:, c][:, None] + 1e-5 - d[:, c]) for c in range(5)) / 5
+    want = np.lexsort((np.broadcast_to(np.arange(len(x)), every.shape), every), axis=-1)[:, :3]
+    assert np.array_equal(j, want)
+    assert np.array_equal(far, np.take_along_axis(every, want, 1))
