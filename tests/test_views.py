@@ -1,6 +1,7 @@
 """Matches and suppression within a frame against passes in order, on dense fields."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from nightframe.operators import views
@@ -85,3 +86,24 @@ def test_descriptors():
     want = np.lexsort((np.broadcast_to(np.arange(len(x)), every.shape), every), axis=-1)[:, :3]
     assert np.array_equal(j, want)
     assert np.array_equal(far, np.take_along_axis(every, want, 1))
+
+
+def test_chosen_stars():
+    """Views that leave stars out have all that may lie near their pixels, or the brightest."""
+    n, m = 5000, 3
+    u = rng.normal(size=(n, 3)) * [0.3, 0.3, 0.05] + [0, 0, 1]
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    star, mag = np.arange(n), np.round(rng.uniform(0, 6, n), 1)
+    px, py = rng.uniform(0, 740, 20), rng.uniform(0, 576, 20)
+    rows = {"star_id": np.append(star, np.arange(m)), "mag": np.append(mag, np.zeros(m))} | {f"u{c}": np.append(u[:, i], np.zeros(m)) for i, c in enumerate("xyz")}
+    rows |= {"view": [None] * n + [[1.0, 0, 0, 0, 1, 0, 0, 0, 1, f, 740, 576] for f in (1900, 1500, 2500)], "own": [None] * n + [{"px": px.tolist(), "py": py.tolist()}] * m}
+    shown = lambda choice: [v.seen() for v in views._views(pa.table(rows), ["star_id", "mag"], 0.9, choice)]
+    every = shown(views.Choice())
+    near = shown(views.Choice(near=lambda own: (np.array(own["px"]), np.array(own["py"]), 7.4)))
+    bright = shown(views.Choice("mag", lambda v: len(v.seen().place) >= 30))
+    for a, b, c in zip(every, near, bright, strict=True):
+        pairs = lambda v: sorted((v.star["star_id"][j], i) for i, j in zip(*views.near_pairs(px, py, v.star["x"], v.star["y"], 7.4)[:2], strict=True))
+        assert pairs(a) == pairs(b) and len(b.place) < len(a.place)
+        limit = c.star["mag"].max()
+        assert 30 <= len(c.place) < len(a.place)
+        assert sorted(c.star["star_id"]) == sorted(a.star["star_id"][a.star["mag"] <= limit])
