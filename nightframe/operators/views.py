@@ -53,7 +53,7 @@ class View:
 
     def seen(self, k1: float = 0.0) -> View:
         """The stars that the frame shows, with x and y."""
-        ahead = self.only(self.cam[2] > S.NEAR)
+        ahead = self if (self.cam[2] > S.NEAR).all() else self.only(self.cam[2] > S.NEAR)
         x, y, z = ahead.cam
         if k1:
             r2 = (x / z) ** 2 + (y / z) ** 2
@@ -61,9 +61,11 @@ class View:
                 ahead, r2 = ahead.only(r2 < -1.0 / (3.0 * k1)), r2[r2 < -1.0 / (3.0 * k1)]
                 x, y, z = ahead.cam
             x, y = x * (1.0 + k1 * r2), y * (1.0 + k1 * r2)
-        ahead.star |= {"x": self.w / 2.0 + self.focal * x / z, "y": self.h / 2.0 - self.focal * y / z}
-        x, y = ahead.star["x"], ahead.star["y"]
-        return ahead.only((x >= 0) & (x < self.w) & (y >= 0) & (y < self.h))
+        x, y = self.w / 2.0 + self.focal * x / z, self.h / 2.0 - self.focal * y / z
+        inside = (x >= 0) & (x < self.w) & (y >= 0) & (y < self.h)
+        shown = ahead.only(inside)
+        shown.star |= {"x": x[inside], "y": y[inside]}
+        return shown
 
 
 Work = Callable[[Iterator[View]], Iterator[tuple]]
@@ -169,8 +171,10 @@ def by_frame(stars: DataFrame, frames: DataFrame, radius_deg: float, work: Work,
     about = about.join(blocks, ["zone", "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     keys = ["zone", "cell", "block"]
     both = about.drop("blocks").unionByName(own.drop("blocks"), allowMissingColumns=True)
-    # groups are few and costly, so they are dealt over more tasks than their bytes ask for
-    both = both.repartition(8 * stars.sparkSession.sparkContext.defaultParallelism, *keys)
+    # groups are costly, so they are dealt over more tasks than their bytes ask for: with two for
+    # each group, hardly any task has several, and none grows but with the stars about one cell
+    groups = blocks.agg(F.sum("blocks")).first()[0] or 0
+    both = both.repartition(max(8 * stars.sparkSession.sparkContext.defaultParallelism, 2 * groups), *keys)
     types = to_arrow_schema(StructType.fromDDL(schema))
     least, names = math.cos(math.radians(radius_deg)), ["star_id", *columns]
 

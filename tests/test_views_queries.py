@@ -1,5 +1,8 @@
 """Queries over frames on tables made for a case."""
 
+from pyspark.sql import functions as F
+
+from nightframe.operators import views
 from nightframe.plans import library
 
 
@@ -9,3 +12,16 @@ def test_unproject_at_the_pole(spark, tmp_path):
     spark.createDataFrame([(k,) for k in (5997, 5948, 5895, 5691)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
     got = library.queries()["g08_unproject"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [(k, 0, 0.0, -90.0) for k in (5691, 5895, 5948, 5997)]
+
+
+def made(spark, tmp_path, stars, frames):
+    spark.createDataFrame([(k, k % 50 + 1, "a b", "Brand#11") for k in range(1, stars + 1)], "p_partkey long, p_size int, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(1, frames + 1).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+
+
+def test_groups_have_tasks_of_their_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(views, "BLOCK", 1)
+    made(spark, tmp_path, 50, 300)
+    got = library.queries()["p11_in_frame"](spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() >= 300
+
