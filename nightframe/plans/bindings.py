@@ -126,10 +126,10 @@ class Tables:
             F.lit(HEIGHT).alias("h"),
         )
 
-    def by_frame(self, work: views.Work, schema: str, *more: str) -> DataFrame:
+    def by_frame(self, work: views.Work, schema: str, *more: str, **how) -> DataFrame:
         """What work makes of frames and the stars about their axes."""
         named = self.stars.withColumn("named", F.col("proper").isNotNull())
-        return views.by_frame(named, self.frames, RADIUS, work, schema, ("mag", "named", *more))
+        return views.by_frame(named, self.frames, RADIUS, work, schema, ("mag", "named", *more), **how)
 
     @cached_property
     def in_frame(self) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import sphere as S
-from ..operators import joins
+from ..operators import joins, views
 from ..operators import polylines as P
 from ..operators.views import each
 from .bindings import FOCAL, HEIGHT, WIDTH, R, r6, unit_sql
@@ -140,11 +140,16 @@ def _(t):
     runs = P.islands(screen(t), ["line_id"], ["seq", "piece"], "visible")
     drawn = runs.groupBy("frame_id", "line_id").agg(F.count(F.lit(1)).alias("n")).groupBy("frame_id").agg(F.count(F.lit(1)).alias("lines"), F.sum("n").alias("points"))
 
-    def one(v):
+    def bright(v):
         v = v.seen()
-        v = v.only((v.star["mag"] < 6) | v.star["named"])
+        return v.only((v.star["mag"] < 6) | v.star["named"])
+
+    def one(v):
+        v = bright(v)
         top = np.lexsort((v.star["star_id"], v.star["mag"]))[:40]
         return (v.frame_id, len(top), np.count_nonzero(v.star["named"][top])) if len(top) else None
 
-    labelled = t.by_frame(each(one), "frame_id long, stars long, named long")
+    # stars come by magnitude, and fainter ones than a frame's 40 are not worked out
+    enough = views.Choice("mag", lambda v: len(bright(v).place) >= 40)
+    labelled = t.by_frame(each(one), "frame_id long, stars long, named long", choice=enough)
     return drawn.join(labelled, "frame_id", "full").na.fill(0)

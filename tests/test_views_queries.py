@@ -25,3 +25,21 @@ def test_groups_have_tasks_of_their_own(spark, tmp_path, monkeypatch):
     got = library.queries()["p11_in_frame"](spark, str(tmp_path))
     assert got.rdd.getNumPartitions() >= 300
 
+
+def test_labels_of_a_frame_do_not_need_all_its_stars(spark, tmp_path, monkeypatch):
+    """By magnitude, a frame's 40 are among the first few."""
+    made(spark, tmp_path, 40000, 60)
+    spark.createDataFrame([], "conv_id long, turn int").write.parquet(f"{tmp_path}/conversations.parquet")
+    kept, by_frame = [], views.by_frame
+
+    def seen(stars, frames, radius, work, schema, columns=("mag",), **how):
+        def counted(of_group):
+            return ((v.frame_id, len(v.place), sum(n for _, n, _ in work(iter([v])))) for v in of_group)
+
+        kept.append(by_frame(stars, frames, radius, counted, "frame_id long, looked long, n long", columns, **how).collect())
+        return by_frame(stars, frames, radius, work, schema, columns, **how)
+
+    monkeypatch.setattr(views, "by_frame", seen)
+    library.queries()["g23_overlay"](spark, str(tmp_path)).collect()
+    assert max(r.n for r in kept[0] if r.n) == 40
+    assert max(r.looked for r in kept[0] if r.n == 40) < 1000
