@@ -219,17 +219,23 @@ def rounded(x: np.ndarray) -> np.ndarray:
 CHUNK = 1 << 20
 
 
-def near_chunks(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray, r: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Places i of points (x, y) and j of points (u, v) at most r apart, and d2; all of a point i in
-    one chunk. A grid of cells as wide as r; the three cells beside each other in a row are one
-    range of the points in order."""
+def _ranges(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of points (u, v), and for each (x, y) three ranges of it, as first places and
+    lengths, that hold all at most r apart. A grid of cells as wide as r; the three cells beside
+    each other in a row are one range."""
     row, size = 1 << 24, r * (1 + 1e-9)  # wider, as quotients are rounded
     cell = lambda a, b: np.floor(b / size).astype(np.int64) * row + np.floor(a / size).astype(np.int64)
     there = cell(u, v)
     order = np.argsort(there, kind="stable")
     there, here = there[order], cell(x, y)[:, None] + np.array([-row, 0, row])
     first = np.searchsorted(there, here - 1, "left")
-    n = np.searchsorted(there, here + 1, "right") - first
+    return order, first, np.searchsorted(there, here + 1, "right") - first
+
+
+def near_chunks(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray, r: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places i of points (x, y) and j of points (u, v) at most r apart, and d2; all of a point i in
+    one chunk."""
+    order, first, n = _ranges(x, y, u, v, r)
     chunk = np.cumsum(n.sum(axis=1)) // CHUNK
     bounds = [*np.searchsorted(chunk, np.unique(chunk)), len(x)]
     for begin, end in zip(bounds, bounds[1:], strict=False):
@@ -249,23 +255,34 @@ def near_pairs(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray, r: fl
 
 #: Matches begin within this part of the radius, so that dense fields need not be paired in full.
 FIRST_REACH = 1 / 64
+#: Candidates of a point beyond which the first reach is halved, how a reach grows, and pairs of a
+#: point that are decided at once.
+CROWD, GROWTH, AT_ONCE = 32, 1.25, 4
 
 
 def nearest_first(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray, left: np.ndarray, right: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places i, j and d2 of the pairs at most r apart that a pass by rising d2 keeps one to one;
     ties by left, then right. Shorter pairs come first, so those within a small reach are decided
-    first, and a longer reach pairs only what is free then."""
+    first, and a longer reach pairs only what is free then; of many pairs the shortest go first."""
     a, b, reach, kept = np.arange(len(x)), np.arange(len(u)), r * FIRST_REACH, []
+    while reach > r * 1e-6 and _ranges(x, y, u, v, reach)[2].sum() > CROWD * len(x):
+        reach /= 2
     while True:
         i, j, d2 = near_pairs(x[a], y[a], u[b], v[b], reach)
+        most = AT_ONCE * min(len(a), len(b))
+        cut = len(d2) > most
+        if cut:
+            short = d2 <= np.partition(d2, most)[most]  # with all that are as long
+            i, j, d2 = i[short], j[short], d2[short]
         order = np.lexsort((right[b[j]], left[a[i]], d2))
         order = order[greedy(i[order], j[order])]
         i, j = i[order], j[order]
         kept.append((a[i], b[j], d2[order]))
         a, b = np.delete(a, i), np.delete(b, j)
-        if reach >= r or not len(a) or not len(b):
-            return tuple(np.concatenate(part) for part in zip(*kept, strict=True))
-        reach = min(2 * reach, r)
+        if not cut:
+            if reach >= r or not len(a) or not len(b):
+                return tuple(np.concatenate(part) for part in zip(*kept, strict=True))
+            reach = min(GROWTH * reach, r)
 
 
 def in_turn(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray, right: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:

@@ -71,6 +71,28 @@ def test_dense_matches_do_not_pair_all():
     assert made[0] < 5_000_000
 
 
+def test_pairs_that_are_decided_at_once_are_few():
+    """Detections beside a dense line are nearest to many stars at once, all about as far."""
+    n = 3000
+    x, zero, ids, made, lexsort = np.sort(rng.uniform(0, 30, n)), np.zeros(n), np.arange(n), [], np.lexsort
+
+    def counted(keys):
+        made.append(len(keys[0]))
+        return lexsort(keys)
+
+    np.lexsort = counted
+    try:
+        i, j, d2 = views.nearest_first(x, zero, x, zero + 0.5, ids, ids, 3.0)
+    finally:
+        np.lexsort = lexsort
+    assert max(made) < 5 * n
+    every = [((x[a] - x[b]) ** 2 + 0.25, a, b, a, b) for a in range(n) for b in range(n) if abs(x[a] - x[b]) < 0.1]
+    same = dict(zip(i.tolist(), j.tolist(), strict=True))
+    close = passed(every)
+    assert sum(same[a] == b for a, b in close) == len(close) and len(close) > n / 2
+    assert len(i) == n
+
+
 def test_descriptors():
     """Clusters, equal places and lone points, against all pairs."""
     x, y = (np.concatenate([rng.uniform(0, 700, 40), c + rng.normal(0, 0.01, 60), [c, c]]) for c in (300.0, 200.0))
