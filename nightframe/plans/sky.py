@@ -306,14 +306,11 @@ _LO_P = f"greatest(1e-9::DOUBLE, least(0.2::DOUBLE, n * pi() * 9.0 / ({WIDTH} *
 @query("a37_log_odds", f"SELECT frame_id, hits, n, {r6(f'hits * ln(0.85::DOUBLE / {_LO_P}) + (n - hits) * ln(0.15::DOUBLE / (1.0 - {_LO_P}))')} AS log_odds FROM (SELECT frame_id, count(*) AS hits FROM ({_PAIRS}) WHERE star_id = det_id GROUP BY frame_id) JOIN (SELECT frame_id, count(*) AS n FROM detections GROUP BY frame_id) USING (frame_id)")
 def _(t):
     def one(v):
-        """Only a star's own detection can have its number."""
+        """Only a star's own detection can have its number; detections are in the order of theirs."""
         v = v.seen()
-        found = detected(v)
-        own = np.searchsorted(found["det_id"], v.star["star_id"], sorter=(order := np.argsort(found["det_id"])))
-        near = order[np.minimum(own, len(order) - 1)] if len(order) else own[:0]
-        stars = {c: x[: len(near)] for c, x in v.star.items()}
-        d2 = (stars["x"] - found["x"][near]) ** 2 + (stars["y"] - found["y"][near]) ** 2
-        hits = np.count_nonzero((stars["star_id"] == found["det_id"][near]) & (d2 <= 9.0))
+        found, own = detected(v), np.fmod(v.star["star_id"], 7) != 0
+        d2 = (v.star["x"][own] - found["x"]) ** 2 + (v.star["y"][own] - found["y"]) ** 2
+        hits = np.count_nonzero(d2 <= 9.0)
         return (v.frame_id, hits, len(found["det_id"])) if hits else None
 
     hits = t.by_frame(each(one), "frame_id long, hits long, n long")
