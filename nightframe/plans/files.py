@@ -110,8 +110,9 @@ def _(t):
 SELECT CASE WHEN frame_id % 4 <> 2 THEN frame_id END AS frame_id, CASE WHEN frame_id % 4 <> 2 THEN round(ra0 * 1000) / 1000 END AS ra,
   CASE WHEN frame_id % 4 = 2 THEN 'calibration is null' WHEN frame_id % 8 = 3 THEN 'bad pixscale' WHEN frame_id % 8 = 5 THEN 'bad ra, dec or orientation' END AS error FROM frames""")
 def _(t):
-    """A file for each frame: the solution under its name or by itself, or null, with other objects
-    beside it that have a null of that name. The frame's number is its orientation."""
+    """A document for each frame, packed in files of lines: the solution under its name or by itself,
+    or null, with other objects beside it that have a null of that name. The frame's number is its
+    orientation."""
     path = folder(t)
     k = F.col("frame_id")
     solution = F.struct(F.round("ra0", 3).alias("ra"), F.when(k % 8 != 5, F.round("dec0", 3)).alias("dec"), F.when(k % 8 == 3, -1.0).otherwise(2.5).alias("pixscale"), k.cast("double").alias("orientation"), F.lit(1.0).alias("parity"))
@@ -121,8 +122,8 @@ def _(t):
     bare = F.to_json(F.struct("s.*", inside.alias("other")), keep)
     none = F.to_json(F.struct(F.lit(None).cast("string").alias("calibration"), F.struct(F.col("s").alias("calibration")).alias("other")), keep)
     rows = t.frames.withColumn("s", solution)
-    rows.select(F.when(k % 4 == 2, none).when(k % 4 == 0, named).otherwise(bare).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
-    got = documents.plate_solutions(t.spark, path)
+    rows.select(F.when(k % 4 == 2, none).when(k % 4 == 0, named).otherwise(bare).alias("value")).write.text(path)
+    got = documents.plate_solutions(t.spark, path, lines=True)
     return got.select(F.col("orientation").cast("long").alias("frame_id"), "ra", "error")
 
 

@@ -115,3 +115,15 @@ def test_files_are_written_whole(spark, tmp_path):
         assert outputs.write_files(rows, str(tmp_path / "c")) == 20
     assert {p.name: p.read_bytes() for p in (tmp_path / "c").iterdir()} == {f"{i}.bin": bytes([i]) * i for i in range(20)}
     assert outputs.write_files(rows.limit(0), str(tmp_path / "d")) == 0 and list((tmp_path / "d").iterdir()) == []
+
+
+def test_plate_solutions_are_packed(spark, tmp_path, monkeypatch):
+    """Each frame's document is a line of its own; files do not grow in number with frames."""
+    from nightframe.plans import files, library
+
+    monkeypatch.setattr(files, "folder", lambda t: str(tmp_path / "out"))
+    spark.range(1, 401).select(F.col("id").alias("s_suppkey")).coalesce(4).write.parquet(f"{tmp_path}/supplier.parquet")
+    got = library.queries()["s15_plate_solutions"](spark, str(tmp_path)).collect()
+    assert len(got) == 400 and sum(r.error is None for r in got) == 200
+    assert {r.frame_id for r in got} == {k for k in range(1, 401) if k % 4 != 2} | {None}
+    assert len(list((tmp_path / "out").glob("part-*"))) <= 8
