@@ -52,6 +52,8 @@ LONGER = 6
 #: left, as those groups are small); else the group is divided by what its documents differ in.
 #: After TURNS divisions all pairs of what is left are tried.
 FEW, FEW_DIVIDED, TURNS = 8, 256, 6
+#: Members of a hub that one part holds, on average.
+DEALT = 64
 U64 = np.uint64
 _MESSAGE = "part int, bucket int, data binary"
 
@@ -345,7 +347,7 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.zeros(len(out) + 1, np.int32)
         np.cumsum([len(x) for x in out], out=at[1:])
         tokens = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(out or [np.zeros(0, np.int64)])))
-        yield pa.RecordBatch.from_arrays([batch["hub"], batch["doc"], batch["own"], batch["c"], pa.array(size, pa.int32()), tokens], ["hub", "doc", "own", "c", "n", "tokens"])
+        yield pa.RecordBatch.from_arrays([batch["hub"], batch["deal"], batch["doc"], batch["own"], batch["c"], pa.array(size, pa.int32()), tokens], ["hub", "deal", "doc", "own", "c", "n", "tokens"])
 
 
 def _recentred(entries: DataFrame, sets: DataFrame, turn: int, part: int, whole: int) -> tuple[DataFrame, DataFrame]:
@@ -364,25 +366,29 @@ def _recentred(entries: DataFrame, sets: DataFrame, turn: int, part: int, whole:
     classed = entries.select("g", "doc", "n", "c", F.explode(both).alias("class"))
     hubs = classed.groupBy("g", "class").agg(F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), "doc")).alias("hub")).select("g", "class", F.col("hub.doc").alias("hub"))
     members = checkpointed(classed.join(hubs, ["g", "class"]).select("hub", "doc", "c").distinct())
+    # a hub has its members in as many parts as they fill, and what is said of it goes to each part
+    parts = small(members.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / DEALT).cast("int").alias("parts")))
+    members = members.join(parts, "hub").withColumn("deal", F.pmod(F.xxhash64("doc"), "parts").cast("int")).drop("parts")
+    told = lambda hubs: hubs.join(parts, "hub").select(*hubs.columns, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("deal"))
     asked = small(members.select("doc").union(members.select("hub")).distinct())
     own = checkpointed(sets.join(asked, "doc", "left_semi").select("doc", "data"))
     centres = own.select(F.col("doc").alias("hub"), F.col("data").alias("h")).join(members.select("hub").distinct(), "hub", "left_semi").dropDuplicates(["hub"])
-    both = members.join(own.withColumnRenamed("data", "x"), "doc").join(centres, "hub").withColumn("own", F.xxhash64("x"))  # ids may repeat
-    found = checkpointed(both.select("hub", "doc", "own", "c", "x", "h").mapInArrow(_differences, "hub long, doc long, own long, c long, n int, tokens array<long>"))
+    both = members.join(own.withColumnRenamed("data", "x"), "doc").join(told(centres), ["hub", "deal"]).withColumn("own", F.xxhash64("x"))  # ids may repeat
+    found = checkpointed(both.select("hub", "deal", "doc", "own", "c", "x", "h").mapInArrow(_differences, "hub long, deal int, doc long, own long, c long, n int, tokens array<long>"))
     # what most members have in common is moved into the centre, so that what is left is their own
     votes = found.select("hub", F.explode("tokens").alias("token")).groupBy("hub", "token").agg(F.count(F.lit(1)).alias("votes"))
     count = found.groupBy("hub").agg(F.count(F.lit(1)).alias("members"))
     moved = votes.join(count, "hub").where("2 * votes > members").groupBy("hub").agg(F.collect_list("token").alias("moved"))  # at most two sets' tokens
-    found = found.join(moved, "hub", "left").withColumn("moved", F.coalesce("moved", F.array().cast("array<long>")))
+    found = found.join(told(moved), ["hub", "deal"], "left").withColumn("moved", F.coalesce("moved", F.array().cast("array<long>")))
     found = found.withColumn("tokens", F.array_union(F.array_except("tokens", "moved"), F.array_except("moved", "tokens"))).drop("moved")
     found = checkpointed(found.withColumn("excess", F.size("tokens") * F.lit(part + whole).cast("long") - F.col("n") * (whole - part)))
     least = found.groupBy("hub").agg(F.min(F.struct("excess", "doc")).alias("least"))
-    found = found.join(least.select("hub", F.col("least.excess").alias("low"), F.col("least.doc").alias("nearest")), "hub")
+    found = found.join(told(least.select("hub", F.col("least.excess").alias("low"), F.col("least.doc").alias("nearest"))), ["hub", "deal"])
     found = found.withColumn("far", F.col("excess") + F.col("low") > 0)
     links = found.where("not far and doc <> nearest").select(F.col("doc").alias("a"), F.col("nearest").alias("b"))
     # far ones meet far ones in groups of one kind, and near ones in groups of the other
     lows = found.where("size(tokens) > 0").groupBy("hub").agg(F.min(F.when(F.col("far"), F.col("excess"))).alias("low_far"), F.min(F.when(~F.col("far"), F.col("excess"))).alias("low_near")).where("low_far is not null")
-    found = found.join(lows, "hub").withColumn("d", F.size("tokens"))
+    found = found.join(told(lows), ["hub", "deal"]).withColumn("d", F.size("tokens"))
     need = lambda low: F.greatest(F.lit(1), F.ceil((F.col("excess") + low) / step))
     found = found.withColumn("with_far", need(F.col("low_far"))).withColumn("with_near", F.when(F.col("far"), need(F.col("low_near"))))
     found = found.where(F.least("with_far", "with_near") <= F.col("d"))

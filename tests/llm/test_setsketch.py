@@ -4,7 +4,9 @@ import random
 
 import numpy as np
 
-from nightframe.llm import setsketch
+from pyspark.sql import functions as F
+
+from nightframe.llm import jaccard, setsketch
 from nightframe.llm.setsketch import BANDS, MARGIN, band_keys, estimate, likely, merged, near_duplicates, registers
 
 RNG = np.random.default_rng(4)
@@ -81,3 +83,27 @@ def test_groups(spark):
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in near_duplicates(docs).collect())
     assert got == brute(rows)
     assert near_duplicates(docs.where("false")).count() == 0
+
+
+def test_members_of_a_hub_are_in_several_tasks(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(900)}" for _ in range(60)]
+    copy = lambda: " ".join(rng.choice(["x", "y"]) + str(rng.randrange(10**6)) if rng.random() < 0.1 else w for w in base)
+    rows, tasks, checkpointed = [(i, copy()) for i in range(400)], [], jaccard.checkpointed
+
+    def seen(df):
+        df = checkpointed(df)
+        if {"hub", "tokens", "excess"} <= set(df.columns):
+            tasks.append(df.withColumn("task", F.spark_partition_id()).groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("task").alias("tasks")).collect())
+        return df
+
+    monkeypatch.setattr(jaccard, "checkpointed", seen)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    finally:
+        spark.conf.unset(coalesce)
+    assert got == brute(rows)
+    assert max((r.n, r.tasks) for r in tasks[0])[0] > 200
+    assert max((r.n, r.tasks) for r in tasks[0])[1] >= 3
