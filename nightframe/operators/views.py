@@ -253,6 +253,77 @@ def near_pairs(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray, r: fl
     return tuple(np.concatenate(part) for part in zip(none, *near_chunks(x, y, u, v, r), strict=True))
 
 
+#: Candidates of a point at which whole rows of cells pay, and cells along the radius at most.
+DENSE, FINEST = 64, 64
+
+
+def near_total(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray, r: float) -> tuple[int, float]:
+    """How many pairs near_chunks has, and the sum of their d2, of dense fields without making all.
+
+    Points (x, y) come together in cells and points (u, v) in rows, both a small part of r wide. What
+    a row has within r of all of a cell is a stretch of it, whose part of the sum follows from running
+    sums; only what is within r of some of a cell is paired. Cells narrow as fields get denser."""
+    if not len(x) or not len(u):
+        return 0, 0.0
+    crowd = _ranges(x, y, u, v, r)[2].sum() / len(x)
+    n, total = 0, 0.0
+    if crowd < DENSE:
+        for _, _, d2 in near_chunks(x, y, u, v, r):
+            n, total = n + len(d2), total + float(d2.sum())
+        return n, total
+    k = min(int(math.sqrt(crowd) / 2), FINEST)
+    side, slack, long = r / k, r * 1e-6, np.longdouble  # running sums are taken apart again, so they need more digits
+    left, below = min(x.min(), u.min()), min(y.min(), v.min())
+    x, y, u, v = x - left, y - below, u - left, v - below
+    row = lambda c: np.floor(c / side).astype(np.int64)
+    order = np.lexsort((u, row(v)))
+    u, v = u[order], v[order]
+    wide = max(x.max(), u.max()) + 4 * r
+    there = row(v) * wide + u
+    at = lambda rows, c: np.searchsorted(there, rows * wide + np.clip(c, -r, wide - 2 * r))
+    mx, my = np.median(u), np.median(v)  # from here, the sums of most points are small
+    a, b = (u - mx).astype(long), (v - my).astype(long)
+    sums = [np.concatenate([[0], np.cumsum(c)]) for c in (a, b, a * a + b * b)]
+    order = np.lexsort((row(x), row(y)))
+    x, y = x[order], y[order]
+    begin = np.flatnonzero(np.concatenate([[True], (np.diff(row(x)) != 0) | (np.diff(row(y)) != 0)]))
+    size = np.diff(np.append(begin, len(x)))
+    cx, cy = (np.add.reduceat(c, begin) / size for c in (x, y))
+    own = np.add.reduceat((x - np.repeat(cx, size)) ** 2 + (y - np.repeat(cy, size)) ** 2, begin)
+    (x0, x1), (y0, y1) = ([f.reduceat(c, begin) for f in (np.minimum, np.maximum)] for c in (x, y))
+    about = np.arange(-k - 1, k + 2)
+    for some in np.array_split(np.arange(len(begin)), -(-len(begin) * len(about) * 8 // CHUNK)):
+        of, rows = np.repeat(some, len(about)), (row(y0[some])[:, None] + about).ravel()
+        least = np.maximum(np.maximum(rows * side - y1[of], y0[of] - (rows + 1) * side) - slack, 0)
+        of, rows, least = of[least <= r], rows[least <= r], least[least <= r]
+        reach = np.sqrt(r * r - least * least) + slack
+        first, last = at(rows, x0[of] - reach), at(rows, x1[of] + reach)
+        of, rows, first, last = (c[last > first] for c in (of, rows, first, last))
+        most = np.maximum((rows + 1) * side - y0[of], y1[of] - rows * side) + slack
+        reach = np.sqrt(np.maximum(r * r - most * most, 0)) - slack
+        whole = x1[of] - reach < x0[of] + reach
+        low = np.where(whole, np.clip(at(rows, x1[of] - reach), first, last), last)
+        high = np.where(whole, np.clip(at(rows, x0[of] + reach), low, last), last)
+        m, (su, sv, squares) = high - low, (c[high] - c[low] for c in sums)
+        ax, ay = (cx[of] - mx).astype(long), (cy[of] - my).astype(long)
+        n += int((size[of] * m).sum())
+        total += float((size[of] * (squares - 2 * (ax * su + ay * sv) + m * (ax * ax + ay * ay)) + m * own[of]).sum())
+        # on either side of the stretch, each point of the cell with what is there
+        of, first, last = np.tile(of, 2), np.concatenate([first, high]), np.concatenate([low, last])
+        of, first, last = (c[last > first] for c in (of, first, last))
+        points = np.arange(size[of].sum()) + np.repeat(begin[of] - (np.cumsum(size[of]) - size[of]), size[of])
+        first, count = np.repeat(first, size[of]), np.repeat(last - first, size[of])
+        chunk = np.cumsum(count) // CHUNK
+        bounds = [*np.searchsorted(chunk, np.unique(chunk)), len(count)]
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            i, start = np.repeat(points[a:b], count[a:b]), np.repeat(first[a:b] - (np.cumsum(count[a:b]) - count[a:b]), count[a:b])
+            j = np.arange(len(i)) + start
+            d2 = (x[i] - u[j]) ** 2 + (y[i] - v[j]) ** 2
+            d2 = d2[d2 <= r * r]
+            n, total = n + len(d2), total + float(d2.sum())
+    return n, total
+
+
 #: Matches begin within this part of the radius, so that dense fields need not be paired in full.
 FIRST_REACH = 1 / 64
 #: Candidates of a point beyond which the first reach is halved, how a reach grows, and pairs of a

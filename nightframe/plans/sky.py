@@ -292,9 +292,9 @@ def _(t):
 @query("a23_rms", f"SELECT frame_id, {r6('sqrt(avg(d2))')} AS rms FROM ({_PAIRS}) GROUP BY frame_id")
 def _(t):
     def one(v):
-        n, total = 0, 0.0
-        for _, _, d2 in paired(v)[-1]:
-            n, total = n + len(d2), total + d2.sum()
+        v = v.seen()
+        found = detected(v)
+        n, total = views.near_total(v.star["x"], v.star["y"], found["x"], found["y"], 3.0)
         return (v.frame_id, rounded(np.sqrt(total / n))) if n else None
 
     return t.by_frame(each(one), "frame_id long, rms double")

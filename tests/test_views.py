@@ -129,3 +129,42 @@ def test_chosen_stars():
         limit = c.star["mag"].max()
         assert 30 <= len(c.place) < len(a.place)
         assert sorted(c.star["star_id"]) == sorted(a.star["star_id"][a.star["mag"] <= limit])
+
+
+@pytest.mark.parametrize("kind", ["plane", "line", "lattice", "one place", "one far", "apart"])
+def test_total_of_pairs(kind):
+    """As of all pairs, at the radius itself, too."""
+    rng = np.random.default_rng(22)
+    x, y, u, v = rng.random((4, 4000)) * 25 - 5
+    if kind == "line":
+        y, v = 2 * x, 2 * u + 0.2 * rng.integers(-5, 6, len(u))
+    elif kind == "lattice":
+        x, y, u, v = np.round([x, y, u, v])
+    elif kind == "one place":
+        x, y, u, v = np.full((4, 3000), 5.0)
+    elif kind == "one far":
+        x[0], v[0], u[1] = 1e5, -1e5, -3e5
+    elif kind == "apart":
+        u += 1000
+    d2 = np.concatenate([d2 for _, _, d2 in views.near_chunks(x, y, u, v, 3.0)])
+    n, total = views.near_total(x, y, u, v, 3.0)
+    assert n == len(d2)
+    assert total == pytest.approx(d2.sum(), rel=1e-9)
+
+
+def test_total_of_dense_pairs_makes_few(monkeypatch):
+    rng = np.random.default_rng(23)
+    x = np.sort(rng.random(60000)) * 700
+    made, chunks = [0], views.near_chunks
+
+    def counted(*args):
+        for i, j, d2 in chunks(*args):
+            made[0] += len(i)
+            yield i, j, d2
+
+    monkeypatch.setattr(views, "near_chunks", counted)
+    sizes, repeat = [], np.repeat
+    monkeypatch.setattr(views.np, "repeat", lambda a, n, *more: sizes.append(len(out := repeat(a, n, *more))) or out)
+    n, _ = views.near_total(x, x / 2, x + 0.2, x / 2, 3.0)
+    assert n > 20_000_000
+    assert made[0] == 0 and sum(sizes) < n / 2
