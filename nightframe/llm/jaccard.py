@@ -36,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors as an
@@ -52,8 +52,9 @@ LONGER = 6
 #: left, as those groups are small); else the group is divided by what its documents differ in.
 #: After TURNS divisions all pairs of what is left are tried.
 FEW, FEW_DIVIDED, TURNS = 8, 256, 6
-#: Members of a hub that one part holds, on average.
-DEALT = 64
+#: Members of a hub that one part holds, and tokens of their sets, on average; differences whose
+#: number one slice of a hub's tokens counts.
+DEALT, DEALT_TOKENS, SLICE = 64, 1 << 20, 1 << 14
 U64 = np.uint64
 _MESSAGE = "part int, bucket int, data binary"
 
@@ -350,6 +351,79 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["hub"], batch["deal"], batch["doc"], batch["own"], batch["c"], pa.array(size, pa.int32()), tokens], ["hub", "deal", "doc", "own", "c", "n", "tokens"])
 
 
+def _listed(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all lists, and how many each has."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(U64), np.diff(lists.offsets.to_numpy())
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """To each slice of a hub's tokens the parts' distinct ones: how many members have each, the
+    least and greatest of their components, and whether one is far."""
+    for batch in batches:
+        t, long = _listed(batch["tokens"])
+        hub, deal, slices, c, far = (np.repeat(batch[x].to_numpy(zero_copy_only=False), long) for x in ("hub", "deal", "slices", "c", "far"))
+        if not len(t):
+            continue
+        at = (t % slices.astype(U64)).astype(np.int32)
+        order = np.lexsort((t, at, deal, hub))
+        hub, deal, at, t, c, far = (x[order] for x in (hub, deal, at, t, c, far))
+        new = np.concatenate([[True], (hub[1:] != hub[:-1]) | (deal[1:] != deal[:-1]) | (at[1:] != at[:-1])])
+        begin = np.flatnonzero(new | np.concatenate([[True], t[1:] != t[:-1]]))
+        n, lo, hi, far = np.diff(np.append(begin, len(t))), np.minimum.reduceat(c, begin), np.maximum.reduceat(c, begin), np.maximum.reduceat(far, begin)
+        first = np.flatnonzero(new[begin])
+        parts = zip(first, np.append(first[1:], len(begin)), strict=True)
+        data = [pack(**an.split48(t[begin[a:b]]), n=an.narrow(n[a:b]), least=lo[a:b], most=hi[a:b], far=far[a:b].astype(np.uint8)) for a, b in parts]
+        first = begin[first]
+        yield pa.RecordBatch.from_arrays([pa.array(hub[first]), pa.array(deal[first]), pa.array(at[first]), pa.array(data, pa.binary())], ["hub", "deal", "slice", "data"])
+
+
+def _often(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """To each part, how many members have those of its tokens that are of several components and
+    of a far member."""
+    sent = [unpack(x) for x in table["data"].to_pylist()]
+    t, of = np.concatenate(list(map(an.join48, sent))), np.repeat(np.arange(len(sent)), [len(x["lo"]) for x in sent])
+    order = np.argsort(t, kind="stable")
+    begin, run = grouped(t[order])
+    n, lo, hi, far = (f.reduceat(np.concatenate([x[c] for x in sent])[order].astype(np.int64), begin) for f, c in ((np.add, "n"), (np.minimum, "least"), (np.maximum, "most"), (np.maximum, "far")))
+    keep = ((lo < hi) & (far > 0))[run]
+    order, n = order[keep], n[run][keep]
+    by = np.argsort(of[order], kind="stable")
+    order, n = order[by], n[by]
+    each = ranges(of[order])
+    deal = table["deal"].to_numpy()
+    data = [pack(**an.split48(t[order[a:b]]), often=an.narrow(n[a:b])) for a, b in each]
+    hub = pa.array(np.full(len(data), key[0].as_py(), np.int64))
+    return pa.table({"hub": hub, "deal": pa.array(np.array([deal[of[order[a]]] for a, _ in each], np.int32)), "data": pa.array(data, pa.binary())})
+
+
+def _placed(key: tuple[pa.Scalar, ...], members: pa.Table, told: pa.Table) -> pa.Table:
+    """Entries of new groups: of each member the tokens that leave room for as many shared ones as
+    a partner needs, the rarest first. Far members meet in kind 0, far and near ones in kind 1."""
+    sent = [unpack(x) for x in told["data"].to_pylist()]
+    known, often = np.concatenate([np.zeros(0, U64), *map(an.join48, sent)]), np.concatenate([np.zeros(0, np.int64), *[x["often"] for x in sent]]).astype(np.int64)
+    known, first = np.unique(known, return_index=True)
+    often = often[first]
+    t, long = _listed(members["tokens"]) if members.num_rows else (np.zeros(0, U64), np.zeros(0, np.int64))
+    row = np.repeat(np.arange(len(long)), long)
+    shared = np.isin(t, known)
+    t, row = t[shared], row[shared]
+    often = often[np.searchsorted(known, t)]
+    order = np.lexsort((t, often, row))
+    t, row = t[order], row[order]
+    # tokens of one component alone come first, so as many as are shared are left at the first shared one
+    count = np.bincount(row, minlength=len(long))
+    room = np.repeat(np.cumsum(count), count) - np.arange(len(row))
+    value = lambda c: members[c].to_numpy()
+    far, with_far, with_near = value("far").astype(bool), value("with_far"), members["with_near"].fill_null(0).to_numpy()
+    ok = [far[row] & (room >= with_far[row]), room >= np.where(far, with_near, with_far)[row]]
+    at, kind = np.concatenate([np.flatnonzero(x) for x in ok]), np.repeat(np.arange(2, dtype=np.int32), [np.count_nonzero(x) for x in ok])
+    row, t, room = row[at], t[at], room[at]
+    hub = np.full(len(at), key[0].as_py(), np.int64)
+    columns = [hub, t.astype(np.int64), value("doc")[row], value("n").astype(np.int32)[row], value("excess")[row], room.astype(np.int32), far[row], kind]
+    return pa.table(list(map(pa.array, columns)), ["hub", "token", "doc", "n", "excess", "room", "far", "kind"])
+
+
 def _recentred(entries: DataFrame, sets: DataFrame, turn: int, part: int, whole: int) -> tuple[DataFrame, DataFrame]:
     """Links, and entries of new groups, for groups too large for all their pairs.
 
@@ -365,10 +439,10 @@ def _recentred(entries: DataFrame, sets: DataFrame, turn: int, part: int, whole:
     both = F.array_distinct(F.array(F.floor(sized).cast("int"), F.floor(sized + 0.2500001).cast("int")))
     classed = entries.select("g", "doc", "n", "c", F.explode(both).alias("class"))
     hubs = classed.groupBy("g", "class").agg(F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), "doc")).alias("hub")).select("g", "class", F.col("hub.doc").alias("hub"))
-    members = checkpointed(classed.join(hubs, ["g", "class"]).select("hub", "doc", "c").distinct())
+    members = checkpointed(classed.join(hubs, ["g", "class"]).groupBy("hub", "doc", "c").agg(F.max("n").alias("n")))
     # a hub has its members in as many parts as they fill, and what is said of it goes to each part
-    parts = small(members.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / DEALT).cast("int").alias("parts")))
-    members = members.join(parts, "hub").withColumn("deal", F.pmod(F.xxhash64("doc"), "parts").cast("int")).drop("parts")
+    parts = small(members.groupBy("hub").agg(F.ceil(F.greatest(F.count(F.lit(1)) / DEALT, F.sum("n") / DEALT_TOKENS)).cast("int").alias("parts")))
+    members = members.join(parts, "hub").withColumn("deal", F.pmod(F.xxhash64("doc"), "parts").cast("int")).drop("n", "parts")
     told = lambda hubs: hubs.join(parts, "hub").select(*hubs.columns, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("deal"))
     asked = small(members.select("doc").union(members.select("hub")).distinct())
     own = checkpointed(sets.join(asked, "doc", "left_semi").select("doc", "data"))
@@ -387,20 +461,16 @@ def _recentred(entries: DataFrame, sets: DataFrame, turn: int, part: int, whole:
     found = found.withColumn("far", F.col("excess") + F.col("low") > 0)
     links = found.where("not far and doc <> nearest").select(F.col("doc").alias("a"), F.col("nearest").alias("b"))
     # far ones meet far ones in groups of one kind, and near ones in groups of the other
-    lows = found.where("size(tokens) > 0").groupBy("hub").agg(F.min(F.when(F.col("far"), F.col("excess"))).alias("low_far"), F.min(F.when(~F.col("far"), F.col("excess"))).alias("low_near")).where("low_far is not null")
+    lows = found.where("size(tokens) > 0").groupBy("hub").agg(F.min(F.when(F.col("far"), F.col("excess"))).alias("low_far"), F.min(F.when(~F.col("far"), F.col("excess"))).alias("low_near"), F.ceil(F.sum(F.size("tokens")) / SLICE).cast("int").alias("slices")).where("low_far is not null")
     found = found.join(told(lows), ["hub", "deal"]).withColumn("d", F.size("tokens"))
     need = lambda low: F.greatest(F.lit(1), F.ceil((F.col("excess") + low) / step))
     found = found.withColumn("with_far", need(F.col("low_far"))).withColumn("with_near", F.when(F.col("far"), need(F.col("low_near"))))
     found = found.where(F.least("with_far", "with_near") <= F.col("d"))
-    each = checkpointed(found.select("hub", "doc", "own", "n", "c", "excess", "far", "d", "with_far", "with_near", F.explode("tokens").alias("token")))
-    often = each.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("often"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("far").alias("any")).where("lo < hi and any").select("hub", "token", "often")
-    shared = each.join(often, ["hub", "token"])
-    one = Window.partitionBy("hub", "doc", "own")
-    nth = F.row_number().over(one.orderBy("often", "token"))
-    place = F.col("d") - F.count(F.lit(1)).over(one) + nth - 1  # tokens of one component alone come first
-    placed = shared.withColumn("room", (F.col("d") - place).cast("int")).where("room >= least(with_far, with_near)")
-    far_far, other = F.col("far") & (F.col("room") >= F.col("with_far")), F.when(F.col("far"), F.col("room") >= F.col("with_near")).otherwise(F.col("room") >= F.col("with_far"))
-    new = placed.withColumn("kind", F.explode(F.array_compact(F.array(F.when(far_far, 0), F.when(other, 1)))))
+    # a part asks for its tokens in packed messages, as a row for each would be one for each difference
+    found = checkpointed(found)
+    asked = found.select("hub", "deal", "slices", "c", "far", "tokens").mapInArrow(_asked, "hub long, deal int, slice int, data binary")
+    often = asked.groupBy("hub", "slice").applyInArrow(_often, "hub long, deal int, data binary")
+    new = found.groupBy("hub", "deal").cogroup(often.groupBy("hub", "deal")).applyInArrow(_placed, "hub long, token long, doc long, n int, excess long, room int, far boolean, kind int")
     return links, new.withColumn("g", F.xxhash64("hub", "token", "kind")).select(ENTRY)
 
 

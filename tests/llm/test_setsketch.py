@@ -3,7 +3,8 @@
 import random
 
 import numpy as np
-
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from nightframe.llm import jaccard, setsketch
@@ -107,3 +108,32 @@ def test_members_of_a_hub_are_in_several_tasks(spark, monkeypatch):
     assert got == brute(rows)
     assert max((r.n, r.tasks) for r in tasks[0])[0] > 200
     assert max((r.n, r.tasks) for r in tasks[0])[1] >= 3
+
+
+def test_a_hubs_tokens_are_not_rows():
+    """What members differ in is asked for in packed messages, and comes back as counted one by one."""
+    rng = random.Random(12)
+    members = [(7, i % 3, 100 + i, 50, 100 + i // 2, i - 10, i % 4 > 0, 2 + i % 3, None if i % 4 == 0 else 1 + i % 2, sorted(rng.sample(range(400), rng.randrange(0, 60)))) for i in range(40)]
+    names = ["hub", "deal", "doc", "n", "c", "excess", "far", "with_far", "with_near", "tokens"]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    table = pa.table([pa.array(x, t) for x, t in zip(zip(*members), types)], names).append_column("slices", pa.array([5] * len(members), pa.int32()))
+    asked = pa.Table.from_batches(list(jaccard._asked(iter(table.to_batches(max_chunksize=9)))))
+    assert asked.num_rows < sum(len(m[-1]) for m in members) / 4
+    told = [jaccard._often((pa.scalar(7), pa.scalar(s)), asked.filter(pc.equal(asked["slice"], s))) for s in range(5)]
+    told = pa.concat_tables(told)
+    got = []
+    for deal in range(3):
+        mine, replies = (x.filter(pc.equal(x["deal"], deal)) for x in (table, told))
+        got += jaccard._placed((pa.scalar(7), pa.scalar(deal)), mine, replies).to_pylist()
+
+    have = {t: [m for m in members if t in m[-1]] for t in range(400)}
+    often = {t: len(ms) for t, ms in have.items() if len({m[4] for m in ms}) > 1 and any(m[6] for m in ms)}
+    want = []
+    for _, _, doc, n, _, excess, far, with_far, with_near, tokens in members:
+        shared = sorted((often[t], t) for t in tokens if t in often)
+        for k, (_, t) in enumerate(shared):
+            room = len(shared) - k
+            kinds = ([0] if room >= with_far else []) + ([1] if room >= with_near else []) if far else ([1] if room >= with_far else [])
+            want += [dict(hub=7, token=t, doc=doc, n=n, excess=excess, room=room, far=far, kind=kind) for kind in kinds]
+    order = lambda rows: sorted(tuple(r.items()) for r in rows)
+    assert want and order(got) == order(want)
