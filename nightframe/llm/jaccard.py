@@ -378,13 +378,28 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(hub[first]), pa.array(deal[first]), pa.array(at[first]), pa.array(data, pa.binary())], ["hub", "deal", "slice", "data"])
 
 
+def _merged(table: pa.Table) -> tuple[list[dict], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Messages; their tokens, an order of these by value, and where each distinct one begins and
+    which of those each is, in that order."""
+    sent = [unpack(x) for x in table["data"].to_pylist()]
+    t = np.concatenate(list(map(an.join48, sent)))
+    order = np.argsort(t, kind="stable")
+    return sent, t, order, *grouped(t[order])
+
+
+def _moved(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Tokens in which more than half of the members differ from their hub."""
+    sent, t, order, begin, _ = _merged(table)
+    votes = np.add.reduceat(np.concatenate([x["n"] for x in sent])[order].astype(np.int64), begin)
+    most = t[order][begin][2 * votes > table["members"][0].as_py()].astype(np.int64)
+    return pa.table({"hub": pa.array([key[0].as_py()], pa.int64()), "moved": pa.array([most], pa.list_(pa.int64()))})
+
+
 def _often(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """To each part, how many members have those of its tokens that are of several components and
     of a far member."""
-    sent = [unpack(x) for x in table["data"].to_pylist()]
-    t, of = np.concatenate(list(map(an.join48, sent))), np.repeat(np.arange(len(sent)), [len(x["lo"]) for x in sent])
-    order = np.argsort(t, kind="stable")
-    begin, run = grouped(t[order])
+    sent, t, order, begin, run = _merged(table)
+    of = np.repeat(np.arange(len(sent)), [len(x["lo"]) for x in sent])
     n, lo, hi, far = (f.reduceat(np.concatenate([x[c] for x in sent])[order].astype(np.int64), begin) for f, c in ((np.add, "n"), (np.minimum, "least"), (np.maximum, "most"), (np.maximum, "far")))
     keep = ((lo < hi) & (far > 0))[run]
     order, n = order[keep], n[run][keep]
@@ -450,9 +465,13 @@ def _recentred(entries: DataFrame, sets: DataFrame, turn: int, part: int, whole:
     both = members.join(own.withColumnRenamed("data", "x"), "doc").join(told(centres), ["hub", "deal"]).withColumn("own", F.xxhash64("x"))  # ids may repeat
     found = checkpointed(both.select("hub", "deal", "doc", "own", "c", "x", "h").mapInArrow(_differences, "hub long, deal int, doc long, own long, c long, n int, tokens array<long>"))
     # what most members have in common is moved into the centre, so that what is left is their own
-    votes = found.select("hub", F.explode("tokens").alias("token")).groupBy("hub", "token").agg(F.count(F.lit(1)).alias("votes"))
-    count = found.groupBy("hub").agg(F.count(F.lit(1)).alias("members"))
-    moved = votes.join(count, "hub").where("2 * votes > members").groupBy("hub").agg(F.collect_list("token").alias("moved"))  # at most two sets' tokens
+    count = small(found.groupBy("hub").agg(F.count(F.lit(1)).alias("members"), F.greatest(F.lit(1), F.ceil(F.sum(F.size("tokens")) / SLICE)).cast("int").alias("slices")))
+    found = found.join(count.select("hub", "slices"), "hub")
+    # a part asks about its tokens in packed messages, as a row for each would be one for each difference
+    asked = lambda found: found.select("hub", "deal", "slices", "c", "far", "tokens").mapInArrow(_asked, "hub long, deal int, slice int, data binary")
+    voted = asked(found.withColumn("far", F.lit(False))).join(count.select("hub", "members"), "hub")
+    voted = voted.groupBy("hub", "slice").applyInArrow(_moved, "hub long, moved array<long>")
+    moved = voted.groupBy("hub").agg(F.flatten(F.collect_list("moved")).alias("moved"))  # at most two sets' tokens
     found = found.join(told(moved), ["hub", "deal"], "left").withColumn("moved", F.coalesce("moved", F.array().cast("array<long>")))
     found = found.withColumn("tokens", F.array_union(F.array_except("tokens", "moved"), F.array_except("moved", "tokens"))).drop("moved")
     found = checkpointed(found.withColumn("excess", F.size("tokens") * F.lit(part + whole).cast("long") - F.col("n") * (whole - part)))
@@ -461,15 +480,13 @@ def _recentred(entries: DataFrame, sets: DataFrame, turn: int, part: int, whole:
     found = found.withColumn("far", F.col("excess") + F.col("low") > 0)
     links = found.where("not far and doc <> nearest").select(F.col("doc").alias("a"), F.col("nearest").alias("b"))
     # far ones meet far ones in groups of one kind, and near ones in groups of the other
-    lows = found.where("size(tokens) > 0").groupBy("hub").agg(F.min(F.when(F.col("far"), F.col("excess"))).alias("low_far"), F.min(F.when(~F.col("far"), F.col("excess"))).alias("low_near"), F.ceil(F.sum(F.size("tokens")) / SLICE).cast("int").alias("slices")).where("low_far is not null")
+    lows = found.where("size(tokens) > 0").groupBy("hub").agg(F.min(F.when(F.col("far"), F.col("excess"))).alias("low_far"), F.min(F.when(~F.col("far"), F.col("excess"))).alias("low_near")).where("low_far is not null")
     found = found.join(told(lows), ["hub", "deal"]).withColumn("d", F.size("tokens"))
     need = lambda low: F.greatest(F.lit(1), F.ceil((F.col("excess") + low) / step))
     found = found.withColumn("with_far", need(F.col("low_far"))).withColumn("with_near", F.when(F.col("far"), need(F.col("low_near"))))
     found = found.where(F.least("with_far", "with_near") <= F.col("d"))
-    # a part asks for its tokens in packed messages, as a row for each would be one for each difference
     found = checkpointed(found)
-    asked = found.select("hub", "deal", "slices", "c", "far", "tokens").mapInArrow(_asked, "hub long, deal int, slice int, data binary")
-    often = asked.groupBy("hub", "slice").applyInArrow(_often, "hub long, deal int, data binary")
+    often = asked(found).groupBy("hub", "slice").applyInArrow(_often, "hub long, deal int, data binary")
     new = found.groupBy("hub", "deal").cogroup(often.groupBy("hub", "deal")).applyInArrow(_placed, "hub long, token long, doc long, n int, excess long, room int, far boolean, kind int")
     return links, new.withColumn("g", F.xxhash64("hub", "token", "kind")).select(ENTRY)
 
