@@ -109,30 +109,47 @@ def detect(pixels: DataFrame, size: tuple[int, int], settings: Settings = CLEAN)
     """Detections (frame_id, label, x, y, flux, peak, snr, area, elongation, rank from 0, brightest
     first) and counts (frame_id, sigma, background_median, candidates, accepted and one column
     for each reason)."""
-    s = settings
+    residual, noise = prepared(pixels, size, settings)
+    rows = checkpointed(judged(residual, noise, size, settings))
+
+    by_reason = [F.count_if(F.col("reason") == r).alias(r) for r in REASONS]
+    counts = rows.groupBy(KEY).agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("reason").isNull()).alias("accepted"), *by_reason)
+    middle = pixels.groupBy(KEY).agg(median(F.col("v")).alias("background_median"))
+    counts = noise.join(middle, KEY).join(counts, KEY, "left").na.fill(0, ["candidates", "accepted", *REASONS])
+    return ranked(rows, settings), counts
+
+
+def prepared(pixels: DataFrame, size: tuple[int, int], s: Settings) -> tuple[DataFrame, DataFrame]:
+    """What a frame's steps share, whatever the thresholds: its flattened pixels and its noise."""
     residual = checkpointed(flattened(pixels, size, s.mesh))
     # frames that are all border have no noise of their own
     noise = pixels.select(KEY).distinct().join(I.noise_sigma(residual, size, s.border, s.floor), KEY, "left")
-    noise = checkpointed(noise.select(KEY, F.coalesce("sigma", F.lit(s.floor)).alias("sigma")))
-    rows = checkpointed(measured(blobs(residual, noise, size, s), residual, noise, size, s))
+    return residual, checkpointed(noise.select(KEY, F.coalesce("sigma", F.lit(s.floor)).alias("sigma")))
+
 
+def judged(residual: DataFrame, noise: DataFrame, size: tuple[int, int], s: Settings) -> DataFrame:
+    """As measured, of all blobs."""
+    return measured(blobs(residual, noise, size, s), residual, noise, size, s)
+
+
+def ranked(rows: DataFrame, s: Settings) -> DataFrame:
+    """The detections among judged blobs."""
     accepted = rows.where("reason is null").withColumn("snr", F.col("flux") / (F.col("sigma") * F.sqrt("area")))
     order = [(-F.col("flux")).alias("order"), "label"]
     kept = suppress(accepted.withColumn("order", -F.col("flux")), ["order"], "label", s.apart, inclusive=False, most=s.most)
     rank = F.row_number().over(Window.partitionBy(KEY).orderBy(*order)) - 1
-    found = kept.select(KEY, "label", "x", "y", "flux", "peak", "snr", "area", "elongation", rank.alias("rank"))
-
-    by_reason = [F.count_if(F.col("reason") == r).alias(r) for r in REASONS]
-    counts = rows.groupBy(KEY).agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("reason").isNull()).alias("accepted"), *by_reason)
-    middle = pixels.groupBy(KEY).agg(median(F.col("v")).alias("background_median"))
-    counts = noise.join(middle, KEY).join(counts, KEY, "left").na.fill(0, ["candidates", "accepted", *REASONS])
-    return found, counts
+    return kept.select(KEY, "label", "x", "y", "flux", "peak", "snr", "area", "elongation", rank.alias("rank"))
 
 
 def in_two_tiers(pixels: DataFrame, size: tuple[int, int], enough: int, clean: Settings = CLEAN, deep: Settings = DEEP) -> DataFrame:
     """Detections with `tier`: those of the deep settings for frames that have fewer than `enough`
-    of the clean ones, whose pixels alone are read again."""
-    first = checkpointed(detect(pixels, size, clean)[0])
-    done = first.groupBy(KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= enough).select(KEY)
-    second = detect(pixels.join(done, KEY, "left_anti"), size, deep)[0]
+    of the clean ones. What both settings share is worked out once."""
+    residual, noise = prepared(pixels, size, clean)
+    first = checkpointed(ranked(checkpointed(judged(residual, noise, size, clean)), clean))
+    done = checkpointed(first.groupBy(KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= enough).select(KEY))
+    if (deep.mesh, deep.border, deep.floor) == (clean.mesh, clean.border, clean.floor):  # a frame's own, so it is as before
+        residual, noise = (x.join(done, KEY, "left_anti") for x in (residual, noise))
+    else:
+        residual, noise = prepared(pixels.join(done, KEY, "left_anti"), size, deep)
+    second = ranked(checkpointed(judged(residual, noise, size, deep)), deep)
     return first.join(done, KEY, "left_semi").withColumn("tier", F.lit("clean")).unionByName(second.withColumn("tier", F.lit("deep")))

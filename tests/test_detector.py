@@ -244,3 +244,17 @@ def test_two_tiers_read_only_what_is_left(spark, frames):
 def test_no_frames(spark):
     found, counts = D.detect(table(spark, {}), (W, H))
     assert found.count() == 0 and counts.count() == 0
+
+
+def test_two_tiers_flatten_frames_once(spark, monkeypatch):
+    """The tiers' settings differ in thresholds only, so the deep one takes what the clean one made."""
+    made = []
+    monkeypatch.setattr(D, "flattened", lambda pixels, size, mesh: made.append(mesh) or pixels)
+    monkeypatch.setattr(D.I, "noise_sigma", lambda residual, *_: residual.groupBy("frame_id").agg(F.lit(1.0).alias("sigma")))
+    monkeypatch.setattr(D, "blobs", lambda residual, *_: residual)
+    row = {"label": "x + 0L", "flux": "v", "peak": "v", "area": "1", "elongation": "1.0D", "reason": "cast(null as string)", "sigma": "1.0D"}
+    monkeypatch.setattr(D, "measured", lambda pixels, *_: pixels.selectExpr("frame_id", "x", "y", *[f"{v} AS {k}" for k, v in row.items()]))
+    monkeypatch.setattr(D, "suppress", lambda points, *_, **__: points)
+    both = D.in_two_tiers(spark.createDataFrame([(1, 0, 0, 1.0), (1, 5, 0, 2.0), (2, 0, 0, 1.0)], "frame_id long, x int, y int, v double"), (8, 8), 2).collect()
+    assert sorted((r.frame_id, r.tier) for r in both) == [(1, "clean"), (1, "clean"), (2, "deep")]
+    assert len(made) == 1
