@@ -37,14 +37,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """df.checkpoint(), after which the shuffle files that made it are deleted: nothing reads
-    them again, as the lineage is cut and the rows are in the shared folder."""
+    them again, as the lineage is cut and the rows are in the shared folder. Estimates of size
+    are cut, too (see _forgotten)."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, None)
     spark.conf.set(key, "true")
     try:
-        return df.select("*").checkpoint()  # the setting counts when a DataFrame is made
+        return _forgotten(df.select("*").checkpoint())  # the setting counts when a DataFrame is made
     finally:
         if before is None:
             spark.conf.unset(key)
@@ -52,6 +53,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
             spark.conf.set(key, before)
 
 
+def _forgotten(df: DataFrame) -> DataFrame:
+    """df, a checkpoint, of unknown size if its estimate is beyond 2048 EiB. A checkpoint keeps the
+    estimate of the plan that made it, and that of a join is the product of both sides'; so in
+    rounds its digits multiply, to hundreds of megabytes in the driver after ten or so."""
+    plan = df._jdf.logicalPlan()
+    if "E+" not in plan.stats().simpleString():  # Spark writes so what is beyond; the number itself may be too long for Python
+        return df
+    jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
+    none = jvm.scala.Option.empty()
+    known = (plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), plan.isStreaming(), plan.stream())
+    plan = jvm.org.apache.spark.sql.execution.LogicalRDD(*known, session, none, none)
+    return type(df)(jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, plan), df.sparkSession)
+
+
 def spread(df: DataFrame, *by: str) -> DataFrame:
     """A table of fewer pieces than there are cores, dealt out by columns, as the join to come
     multiplies its rows; larger ones as they are."""
