@@ -253,6 +253,21 @@ def near_pairs(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray, r: fl
     return tuple(np.concatenate(part) for part in zip(none, *near_chunks(x, y, u, v, r), strict=True))
 
 
+def any_near(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray, r: float, most: float) -> np.ndarray:
+    """Whether each point (x, y) has a point (u, v) with a d2 of `most` at most, which r reaches. A
+    small reach decides most points of dense fields; it doubles for the others."""
+    found, open_, reach = np.zeros(len(x), bool), np.arange(len(x)), r
+    while reach > r * 1e-6 and len(x) and _ranges(x, y, u, v, reach)[2].sum() > 8 * len(x):
+        reach /= 2
+    while len(open_):
+        for i, _, d2 in near_chunks(x[open_], y[open_], u, v, reach):
+            found[open_[i[d2 <= most]]] = True
+        if reach >= r:
+            break
+        open_, reach = open_[~found[open_]], min(2 * reach, r)
+    return found
+
+
 #: Candidates of a point at which whole rows of cells pay, and cells along the radius at most.
 DENSE, FINEST = 64, 64
 

@@ -489,10 +489,7 @@ def _(t):
     def one(v):
         v = v.seen()
         found = detected(v)
-        inlier = np.zeros(len(found["det_id"]), bool)
-        for _, j, d2 in views.near_chunks(v.star["x"], v.star["y"], found["x"], found["y"], 0.75):
-            inlier[j[d2 <= 0.5]] = True
-        return v.frame_id, found["det_id"], inlier
+        return v.frame_id, found["det_id"], views.any_near(found["x"], found["y"], v.star["x"], v.star["y"], 0.75, 0.5)
 
     return t.by_frame(each(one), "frame_id long, det_id long, inlier boolean")
 
