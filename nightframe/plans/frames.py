@@ -38,7 +38,26 @@ def _(t):
 
 @query("g24_residuals", f"SELECT frame_id, star_id, det_id, {r6('sqrt(d2)')} AS residual FROM ({_PAIRS}) WHERE star_id = det_id")
 def _(t):
-    return pairs(t).where("star_id = det_id").select("frame_id", "star_id", "det_id", R(F.sqrt("d2")).alias("residual"))
+    """Of all pairs those of a star and its own detection. Where each number is of one star, detections
+    are in the order of theirs, so nothing else is paired."""
+
+    def work(of_group):
+        for v in of_group:
+            v = v.seen()
+            star = v.star["star_id"]
+            if len(np.unique(star)) == len(star):
+                found, own = detected(v), np.fmod(star, 7) != 0
+                d2 = (v.star["x"][own] - found["x"]) ** 2 + (v.star["y"][own] - found["y"]) ** 2
+                near = d2 <= 9.0
+                det = found["det_id"][near]
+                yield v.frame_id, det, det, rounded(np.sqrt(d2[near]))
+                continue
+            _, found, chunks = paired(v)
+            for i, j, d2 in chunks:
+                same = star[i] == found["det_id"][j]
+                yield v.frame_id, star[i[same]], star[i[same]], rounded(np.sqrt(d2[same]))
+
+    return t.by_frame(work, "frame_id long, star_id long, det_id long, residual double")
 
 
 @query("g25_extrinsics", f"SELECT frame_id, {r6('fx')} AS fx, {r6('fy')} AS fy, {r6('fz')} AS fz, {r6('(roll % 360 + 360) % 360')} AS roll FROM frame_rot")
