@@ -13,7 +13,7 @@ from ..operators import views
 from ..operators.views import each, rounded
 from .bindings import FOCAL, HEIGHT, WIDTH, R, detected, r6
 from .registry import query
-from .sky import _CANDIDATES, _FOLD, _PAIRS, PLACES, candidates, paired, pairs, place
+from .sky import _CANDIDATES, _FOLD, _PAIRS, PLACES, candidates, paired, place
 
 
 @query("g10_pinhole", f"SELECT frame_id, star_id, {r6('w / 2.0 + focal * cx / cz')} AS x, {r6('h / 2.0 - focal * cy / cz')} AS y FROM cone WHERE cz > 0")
@@ -130,7 +130,24 @@ def _(t):
 
 @query("j03_correspondences", f"SELECT p.frame_id, p.det_id, p.star_id, s.mag, s.con FROM ({_PAIRS}) p JOIN stars s ON s.star_id = p.star_id")
 def _(t):
-    return pairs(t).join(t.stars.select("star_id", "mag", "con"), "star_id").select("frame_id", "det_id", "star_id", "mag", "con")
+    """Stars bring what is asked of them into the frames' tasks, so the pairs are not shuffled. Stars
+    that share a number share their place, so a frame that has one has all."""
+
+    def work(of_group):
+        for v in of_group:
+            stars, found, chunks = paired(v)
+            star = stars["star_id"]
+            order = np.argsort(star, kind="stable")
+            first, last = (np.searchsorted(star[order], star, side) for side in ("left", "right"))
+            several = len(star) and (last - first).max() > 1
+            for i, j, _ in chunks:
+                if several:
+                    n = (last - first)[i]
+                    j = np.repeat(j, n)
+                    i = order[np.arange(len(j)) + np.repeat(first[i] - (np.cumsum(n) - n), n)]
+                yield v.frame_id, found["det_id"][j], star[i], stars["mag"][i], stars["con"][i]
+
+    return t.by_frame(work, "frame_id long, det_id long, star_id long, mag double, con string", "con")
 
 
 _SCORED = f"SELECT *, exp(-d2) AS score, row_number() OVER (PARTITION BY frame_id ORDER BY exp(-d2) DESC, star_id, det_id) AS n FROM ({_PAIRS})"
