@@ -34,7 +34,7 @@ BATCH = 20000
 class View:
     """A frame and the stars about its axis: columns of the stars, `u` and `cam`, their vectors in
     the sky and the camera, and `place`, where they stand among the group's stars; `own`, more
-    columns of the frame."""
+    columns of the frame; `rot`, its rotation by rows."""
 
     frame_id: int
     focal: float
@@ -45,11 +45,12 @@ class View:
     cam: tuple[np.ndarray, ...]
     place: np.ndarray
     own: dict | None = None
+    rot: list[float] | None = None
 
     def only(self, mask: np.ndarray) -> View:
         at = np.flatnonzero(mask)
         take = lambda values: tuple(v[at] for v in values)
-        return View(self.frame_id, self.focal, self.w, self.h, {k: v[at] for k, v in self.star.items()}, take(self.u), take(self.cam), self.place[at], self.own)
+        return View(self.frame_id, self.focal, self.w, self.h, {k: v[at] for k, v in self.star.items()}, take(self.u), take(self.cam), self.place[at], self.own, self.rot)
 
     def seen(self, k1: float = 0.0) -> View:
         """The stars that the frame shows, with x and y."""
@@ -128,7 +129,7 @@ def _views(table: pa.Table, columns: list[str], least: float, choice: Choice) ->
             place = ok if isinstance(place, slice) else place[ok]
             near = tuple(v[place] for v in u)
             cam = (dot(rot[0:3], near), dot(rot[3:6], near), z[ok])  # noqa: B023
-            return View(frame_id, focal, w, h, {k: v[place] for k, v in own.items()}, near, cam, place, extra)  # noqa: B023
+            return View(frame_id, focal, w, h, {k: v[place] for k, v in own.items()}, near, cam, place, extra, rot)  # noqa: B023
 
         if choice.near:
             px, py, r = choice.near(extra)

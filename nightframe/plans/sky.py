@@ -174,12 +174,18 @@ def _(t):
 def _(t):
     """A pixel that leads back to its star's direction has the star's own place: what is left of the
     way there and back is rounding, which near the poles turns the sixth place of ra."""
-    px = t.in_frame.drop("w", "h").join(joins.with_rotation(t.frames), "frame_id")
-    px = px.withColumn("u", S.unproject(F.col("rot"), F.col("focal"), F.lit(0.0), F.col("w"), F.col("h"), F.col("x"), F.col("y")).struct())
-    own = S.unit(F.col("ra_deg"), F.col("dec_deg"))
-    back = F.greatest(*[F.abs(F.col(f"u.{c}") - v) for c, v in zip("xyz", own, strict=True)]) < 1e-12
-    ra, dec = S.ra_dec(F.col("u"))
-    return px.select("frame_id", "star_id", F.when(back, R(F.col("ra_deg"))).otherwise(R(ra) % 360.0).alias("ra"), R(F.when(back, F.col("dec_deg")).otherwise(dec)).alias("dec"))
+
+    def one(v):
+        v = v.seen()
+        dx, dy = (v.star["x"] - v.w / 2.0) / v.focal, (v.h / 2.0 - v.star["y"]) / v.focal
+        n = np.sqrt(dx * dx + dy * dy + 1.0)
+        u = [(dx * v.rot[c] + dy * v.rot[3 + c] + v.rot[6 + c]) / n for c in range(3)]
+        back = np.max([np.abs(a - b) for a, b in zip(u, v.u, strict=True)], axis=0) < 1e-12
+        ra, dec = np.degrees(np.arctan2(u[1], u[0])), np.degrees(np.arcsin(np.clip(u[2], -1.0, 1.0)))
+        ra = np.where(back, rounded(v.star["ra_deg"]), np.fmod(rounded(np.where(ra < 0, ra + 360, ra)), 360.0))
+        return v.frame_id, v.star["star_id"], ra, rounded(np.where(back, v.star["dec_deg"], dec))
+
+    return t.by_frame(each(one), "frame_id long, star_id long, ra double, dec double", "ra_deg", "dec_deg")
 
 
 _PM = "((star_id % 11 - 5) * 1e-6::DOUBLE)", "((star_id % 7 - 3) * 1e-6::DOUBLE)"

@@ -73,3 +73,15 @@ def test_any_near_makes_few_pairs_of_a_dense_field(monkeypatch):
     monkeypatch.setattr(views, "near_chunks", counted)
     assert views.any_near(x, y, u, v, 0.75, 0.5).all()
     assert sum(made) < 100_000
+
+
+def test_unprojected_pixels_are_not_joined(spark, tmp_path):
+    """A frame's rotation is where its stars are."""
+    folder = made(spark, tmp_path, range(1, 3001))
+    con = duckdb.connect()
+    for table in ("part", "supplier"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+    want = con.execute(SQL["g08_unproject"])
+    got = QUERIES["g08_unproject"](spark, folder)
+    assert got._jdf.queryExecution().optimizedPlan().nodeName() == "FlatMapGroupsInArrow"
+    assert rounded(map(tuple, got.select([c[0] for c in want.description]).collect())) == rounded(want.fetchall())
