@@ -141,7 +141,7 @@ def _(t):
 def _(t):
     """The truth tables of all frames that show stars, written and read (S13)."""
     path = folder(t)
-    outputs.write_truth(t.in_frame, path, by="frame_id")
+    outputs.write_truth(t.in_frame, path, by="frame_id", together=True)  # a frame's stars are made in one task
     return documents.truth_table(t.spark, path).withColumn("frame_id", F.col("frame_id").cast("long"))
 
 
